@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import fingerprints, mixing, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op8_mixing": mixing.op8_mixing,
+        "op9_quality": quality.op9_quality,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
