@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, quality, substring, toxicity
+from . import fingerprints, mixing, neardup, packing, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op3_fingerprints": fingerprints.op3_fingerprints,
+        "op4_neardup": neardup.op4_neardup,
         "op5_substring": substring.op5_substring,
         "op8_mixing": mixing.op8_mixing,
         "op9_quality": quality.op9_quality,
