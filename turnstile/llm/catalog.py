@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, neardup, packing, quality, substring, toxicity
+from . import embeddings, fingerprints, mixing, neardup, packing, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_neardup": neardup.op4_neardup,
         "op5_substring": substring.op5_substring,
+        "op6_embeddings": embeddings.op6_embeddings,
         "op8_mixing": mixing.op8_mixing,
         "op9_quality": quality.op9_quality,
         "op10_toxicity": toxicity.op10_toxicity,
