@@ -103,3 +103,45 @@ def bucket_of(key: str, cuts: list) -> Column:
         return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0))
     arr = F.lit(cuts).cast(T.ArrayType(T.LongType()))
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(arr, lambda c: c <= F.col(key))))
+
+
+def by_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each group in one partition, one group after the other, for ``whole_groups``."""
+    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def whole_groups(frames, keys: list[str]):
+    """Frames that hold whole groups only, with the group bounds, from batches sorted by ``keys``.
+
+    One call of Python for many small groups; memory follows a batch and the largest group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def bounds(f):
+        k = [f[c].to_numpy() for c in keys]
+        new = np.zeros(max(len(f) - 1, 0), bool)
+        for c in k:
+            new |= c[1:] != c[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [len(f)]])
+
+    def out(held):
+        f = held[0] if len(held) == 1 else pd.concat(held)
+        f = f.reset_index(drop=True)
+        return f, bounds(f)
+
+    held: list = []
+    for f in frames:
+        if not len(f):
+            continue
+        cut = int(bounds(f)[-2])
+        if cut:
+            yield out([*held, f.iloc[:cut]])
+            held = [f.iloc[cut:]]
+        elif held and any(held[-1][c].iloc[-1] != f[c].iloc[0] for c in keys):
+            yield out(held)
+            held = [f]
+        else:
+            held.append(f)
+    if held:
+        yield out(held)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import U, mix64, windows, word_hashes, word_spans
-from .common import Scratch, table
+from .common import Scratch, by_groups, table, whole_groups
 from .components import components
 
 K = 64
@@ -172,21 +172,31 @@ def linked(
     groups = scratch.cut(lists.join(pivots, "v").select("p", "rep").distinct())
     scratch.drop(lists)
 
-    def promising(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["rep", "n"])
-        good = _promising([np.asarray(s) for s in f["sketch"]], f["n"].to_numpy(), f["side"].to_numpy(), threshold, k)
-        return pd.DataFrame({"p": key[0], "rep": f["rep"][good]})
+    keys = ["p", "i", "j"]
+
+    def promising(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, at in whole_groups(frames, keys):
+            good = np.zeros(len(f), bool)
+            sketch, n, side = (f[c].to_numpy() for c in ("sketch", "n", "side"))
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                if hi - lo > 1:
+                    good[lo:hi] = _promising(list(sketch[lo:hi]), n[lo:hi], side[lo:hi], threshold, k)
+            yield f.loc[good, ["p", "rep"]]
 
     dealt = _blocks(groups, block).join(reps, "rep")
-    left = scratch.cut(dealt.groupBy("p", "i", "j").applyInPandas(promising, "p long, rep long").distinct())
+    left = scratch.cut(by_groups(dealt, keys).mapInPandas(promising, "p long, rep long").distinct())
 
-    def forest(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["rep", "side"], kind="stable")
-        edges = _forest([shingles(t, words) for t in f["text"]], f["rep"].to_numpy(), f["side"].to_numpy(), num, 100)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+    def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, at in whole_groups(frames, keys):
+            texts, rep, side = (f[c].to_numpy() for c in ("text", "rep", "side"))
+            edges = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                order = lo + np.lexsort((side[lo:hi], rep[lo:hi]))
+                edges += _forest([shingles(t, words) for t in texts[order]], rep[order], side[order], num, 100)
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     texts = docs.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
-    edges = _blocks(left, block).join(texts, "rep").groupBy("p", "i", "j").applyInPandas(forest, "a long, b long")
+    edges = by_groups(_blocks(left, block).join(texts, "rep"), keys).mapInPandas(forest, "a long, b long")
     comp = components(scratch, edges)
     scratch.drop(groups, left)
 
