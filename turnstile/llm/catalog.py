@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, fingerprints, mixing, neardup, packing, quality, substring, toxicity
+from . import embeddings, fingerprints, lm, mixing, neardup, packing, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_lm": lm.op2_lm,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_neardup": neardup.op4_neardup,
         "op5_substring": substring.op5_substring,
