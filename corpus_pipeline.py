@@ -1 +1,66 @@
-"""placeholder until the stages exist"""
+"""A corpus from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and
+read again as the next stage's documents. All but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnstile.llm import mixing, neardup, packing, substring, toxicity
+from turnstile.llm.common import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    return toxicity.without_toxic(spark, docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return neardup.without_near_copies(spark, docs, words=5, threshold=0.8)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that documents with smaller ids hold."""
+    names = docs.columns
+    more = [c for c in names if c != "text"]
+    out = substring.remove_repeats(spark, docs, rest=more)
+    cols = [F.col("kept").alias(c) if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names]
+    out = out.select(*cols)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at their target weights, as documents."""
+    return mixing.mixed_texts(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in training sequences."""
+    return packing.pack_documents(spark, docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: The stages hash, learn and tokenise: no SQL gives their rows.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.cut(docs)
+    return docs

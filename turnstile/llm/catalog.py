@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, fingerprints, lm, mixing, neardup, packing, quality, substring, toxicity
+import corpus_pipeline
+
+from . import embeddings, fingerprints, html, lm, mixing, neardup, packing, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_neardup": neardup.op4_neardup,
         "op5_substring": substring.op5_substring,
         "op6_embeddings": embeddings.op6_embeddings,
+        "op7_html": html.op7_html,
         "op8_mixing": mixing.op8_mixing,
         "op9_quality": quality.op9_quality,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -210,3 +210,11 @@ def linked(
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components: three words a shingle, Jaccard of at least 0.85."""
     return linked(spark, table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: that of its smallest id. Rows without id stay."""
+    kept = linked(spark, docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    named = named.join(kept, named["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

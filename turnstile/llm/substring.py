@@ -143,7 +143,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", tex
     """(doc_id, n_words, n_removed, removed, kept[, rest]) of every document.
 
     ``removed``: the maximal covered spans as (first word, words); ``kept``: the words
-    that stay, joined by one space. ``rest``: columns to carry along as one struct.
+    that stay, joined by one space. ``rest``: columns to carry along as one struct; then
+    ``kept`` is the text itself without the spans, white space and all.
     """
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block: 2 * block - 1 <= window")
@@ -166,15 +167,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", tex
                 out = []
                 for k in range(len(c.ids)):
                     a, n = int(c.first[k]), int(c.words[k])
-                    words = c.raw[c.begin[k] : c.begin[k] + c.lens[k]].split()
+                    text = c.raw[c.begin[k] : c.begin[k] + c.lens[k]]
+                    words = [] if rest else text.split()
                     g = gone[a : a + n]
                     spans = []
                     if g.any():
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
                         spans = [{"first": s, "words": e - s} for s, e in zip(edge[0::2].tolist(), edge[1::2].tolist())]
+                        if rest:  # from the first word of a span to the next word that stays
+                            cut = np.concatenate([c.starts[a : a + n] - c.begin[k], [len(text)]])
+                            ends = [0, *(int(cut[s["first"] + s["words"]]) for s in spans)]
+                            text = b"".join(text[e : int(cut[s["first"]])] for e, s in zip(ends, spans)) + text[ends[-1] :]
                         words = [w for w, x in zip(words, g.tolist()) if not x]
                     i = int(c.ids[k])
-                    out.append((row["chunk"], k, None if i == NULL_ID else i, n, int(g.sum()), spans, b" ".join(words).decode("utf-8", "replace")))
+                    text = text if rest else b" ".join(words)
+                    out.append((row["chunk"], k, None if i == NULL_ID else i, n, int(g.sum()), spans, text.decode("utf-8", "replace")))
                 frame = pd.DataFrame(out, columns=["chunk", "pos", "doc_id", "n_words", "n_removed", "removed", "kept"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame

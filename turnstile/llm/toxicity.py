@@ -309,3 +309,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label="
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, text="text", label="toxic", threshold=THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; learns from every labelled row."""
+    model = fit(Scratch(spark, "toxicity"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), labels, label, F.lit(True))
+    return docs.where(score_of(model)(F.col(text)) < threshold)
+
+
+def score_of(model: dict):
+    """The score of a text column as an expression."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lex = Lexicon(model["learnt"])
+        for t in texts:
+            x = np.array([text_features(v, lex) for v in t], float).reshape(len(t), len(NAMES))
+            yield pd.Series(1 - np.exp(-20 * x[:, 3]) if model["trees"] is None else calibrated(model["trees"].raw(x), model["knots"]))
+
+    return score
