@@ -4,12 +4,708 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..config import Roles
+from ..functions.frames import day_number
+from ..operators import distributions as dist
+from ..operators import estimators as est
+from ..operators import ratings, scaling, scoring, shaping
+from ..operators.shaping import Filter
+from ..operators.windows import AgainstOpponent, FeatureChain, Lag, Rolling, RollingBinary, RollingDays
+from ..sources import inputs
+from ..sources.inputs import DUELS, EVENTS, GAMES, SQUADS
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+PLAYERS = ("user_id",)
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def out(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Keys and values rounded to six places, with one zero."""
+    return df.select(*keys, *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in values])
+
+
+def r6(x: str, name: str) -> str:
+    return f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {name}"
+
+
+# -- inputs in SQL ------------------------------------------------------------
+
+HOLES = "e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v, 0.1 + (event_id % 10) / 10.0 AS w, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS won, (event_id % 10) / 10.0 AS prob FROM events)"
+GAMES_SQL = """games AS (SELECT a.event_id // 2 AS match_id, a.ts AS start_date, a.user_id AS team1, b.user_id AS team2, a.value AS score1, b.value AS score2, a.event_type AS league
+  FROM events a JOIN events b ON a.event_id // 2 = b.event_id // 2 AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 WHERE a.user_id <> b.user_id),
+duels AS (SELECT match_id, start_date, league, team1 AS team_id, team2 AS opponent_id, score1 AS score, score2 AS opponent_score FROM games
+  UNION ALL SELECT match_id, start_date, league, team2, team1, score2, score1 FROM games)"""
+SQUADS_SQL = """li AS (SELECT l_orderkey, l_suppkey, sum(l_quantity)::DOUBLE AS points, sum(l_quantity * l_discount)::DOUBLE AS points2, count(*) AS lines, max(l_tax)::DOUBLE AS weight FROM lineitem GROUP BY ALL),
+sr AS (SELECT li.*, n_regionkey, s_nationkey FROM li JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+two AS (SELECT l_orderkey FROM sr GROUP BY 1 HAVING count(DISTINCT n_regionkey) = 2),
+squads AS (SELECT sr.l_orderkey AS match_id, n_regionkey AS team_id, l_suppkey AS player_id, CAST(o_orderdate AS TIMESTAMP) AS start_date, points, points2, lines, weight, s_nationkey AS league
+  FROM sr JOIN two ON sr.l_orderkey = two.l_orderkey JOIN orders ON sr.l_orderkey = o_orderkey)"""
+BY = "PARTITION BY user_id ORDER BY ts, event_id"
+
+
+def rolled(value: str, name: str, keys: str = "event_id, user_id", by: str = BY, source: str = "e", ctes: str = HOLES) -> str:
+    """A window expression carried forward."""
+    return f"WITH {ctes}, g AS (SELECT *, {value} AS x FROM {source}) SELECT {keys}, {r6(f'last_value(x IGNORE NULLS) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', name)} FROM g"
+
+
+def frame(n: int, by: str = BY) -> str:
+    return f"({by} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+def holes(spark: SparkSession, sf: str) -> DataFrame:
+    e = inputs.entity_events(spark, sf)
+    return e.select(
+        "event_id", "ts", "user_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"), (F.lit(0.1) + (F.col("event_id") % 10) / 10.0).alias("w"),
+        (F.col("event_id") % 3 == 0).cast("int").alias("won"), ((F.col("event_id") % 10) / 10.0).alias("prob"),
+    )
+
+
+def one(spark, sf, generator, keys=("event_id", "user_id")) -> DataFrame:
+    return out(generator.transform(holes(spark, sf)), list(keys), generator.features_out)
+
+
+# -- lags and windows -----------------------------------------------------------
+
+
+@query(rolled(f"avg(v) OVER {frame(10)}", "rolling_mean_v10"))
+def rolling_mean(spark, sf):
+    return one(spark, sf, Rolling("v", PLAYERS, EVENTS, size=10))
+
+
+@query(rolled(f"sum(v) OVER {frame(5)}", "rolling_sum_v5"))
+def rolling_sum(spark, sf):
+    return one(spark, sf, Rolling("v", PLAYERS, EVENTS, size=5, how="sum"))
+
+
+@query(rolled(f"CASE WHEN count(v) OVER {frame(8)} >= 4 THEN var_samp(v) OVER {frame(8)} END", "rolling_var_v8"))
+def rolling_var(spark, sf):
+    return one(spark, sf, Rolling("v", PLAYERS, EVENTS, size=8, how="var", min_periods=4))
+
+
+@query(rolled(f"CASE WHEN sum(w) OVER {frame(6)} > 0 AND count(v) OVER {frame(6)} >= 2 THEN sum(v * w) OVER {frame(6)} / sum(w) OVER {frame(6)} END", "rolling_mean_v6"))
+def rolling_weighted(spark, sf):
+    return one(spark, sf, Rolling("v", PLAYERS, EVENTS, size=6, weight="w", min_periods=2))
+
+
+@query(f"WITH {HOLES} SELECT event_id, user_id, {', '.join(r6(f'lag(v, {k}) OVER ({BY})', f'lag_v{k}') for k in (1, 2, 3))} FROM e")
+def lag_k(spark, sf):
+    return one(spark, sf, Lag("v", PLAYERS, EVENTS, length=3))
+
+
+@query(f"WITH {HOLES} SELECT event_id, user_id, {', '.join(r6(f'lead(v, {k}) OVER ({BY})', f'lead_v{k}') for k in (1, 2))} FROM e")
+def lead_k(spark, sf):
+    return one(spark, sf, Lag("v", PLAYERS, EVENTS, length=2, future=True, prefix="lead"))
+
+
+_DAYS = "(PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {0} PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""WITH {HOLES} SELECT event_id, user_id, {r6(f"CASE WHEN count(*) OVER {_DAYS.format(2 * 86400000000)} >= 1 THEN coalesce(sum(v) OVER {_DAYS.format(2 * 86400000000)}, 0) / count(*) OVER {_DAYS.format(2 * 86400000000)} END", "rolling_mean_days_v2")},
+  {r6(f"count(*) OVER {_DAYS.format(2 * 86400000000)}", "rolling_mean_days_count2")} FROM e""")
+def rolling_days(spark, sf):
+    return one(spark, sf, RollingDays("v", PLAYERS, EVENTS, days=2, add_count=True))
+
+
+@query(f"""WITH {HOLES} SELECT event_id, user_id, {r6(f"CASE WHEN count(*) OVER {_DAYS.format(7 * 86400000000)} >= 3 AND sum(w) OVER {_DAYS.format(7 * 86400000000)} > 0 THEN sum(v * w) OVER {_DAYS.format(7 * 86400000000)} / sum(w) OVER {_DAYS.format(7 * 86400000000)} END", "rolling_mean_days_v7")} FROM e""")
+def rolling_days_weighted(spark, sf):
+    return one(spark, sf, RollingDays("v", PLAYERS, EVENTS, days=7, min_games=3, weight="w"))
+
+
+_SPLIT = f"""WITH {HOLES}, g AS (SELECT *, avg(CASE WHEN won = 1 THEN v END) OVER {frame(10)} AS x1, avg(CASE WHEN won = 0 THEN v END) OVER {frame(10)} AS x0 FROM e),
+h AS (SELECT *, last_value(x1 IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y1, last_value(x0 IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y0 FROM g)
+SELECT event_id, user_id, {r6('y1', 'rolling_mean_binary_v10_1')}, {r6('y0', 'rolling_mean_binary_v10_0')}"""
+
+
+@query(f"{_SPLIT} FROM h")
+def rolling_binary(spark, sf):
+    return one(spark, sf, RollingBinary("v", PLAYERS, EVENTS, size=10, flag="won"))
+
+
+@query(f"{_SPLIT}, {r6('y1 * prob + y0 * (1 - prob)', 'rolling_mean_binary_v10_prob')} FROM h")
+def rolling_binary_prob(spark, sf):
+    return one(spark, sf, RollingBinary("v", PLAYERS, EVENTS, size=10, flag="won", probability="prob"))
+
+
+@query(f"""WITH {GAMES_SQL}, g AS (SELECT opponent_id, match_id, league, min(start_date) AS d, avg(score) AS s FROM duels GROUP BY ALL),
+x AS (SELECT *, avg(s) OVER (PARTITION BY opponent_id, league ORDER BY d, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x FROM g),
+y AS (SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY opponent_id, league ORDER BY d, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM x)
+SELECT duels.match_id, team_id, {r6('y', 'rolling_mean_against_score5')} FROM duels LEFT JOIN y ON duels.opponent_id = y.opponent_id AND duels.match_id = y.match_id AND duels.league = y.league""")
+def rolling_against_opponent(spark, sf):
+    g = AgainstOpponent(("score",), ("league",), DUELS, size=5)
+    return out(g.transform(inputs.duel_matches(spark, sf)), ["match_id", "team_id"], g.features_out)
+
+
+@query(f"""WITH {SQUADS_SQL}, g AS (SELECT *, avg(points) OVER (PARTITION BY player_id ORDER BY start_date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS x FROM squads),
+h AS (SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY player_id ORDER BY start_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM g),
+t AS (SELECT match_id, team_id, avg(y) AS m FROM h GROUP BY ALL)
+SELECT h.match_id, h.team_id, player_id, {r6('y', 'rolling_mean_points10')}, {r6('t.m', 'rolling_mean_points10_opponent')} FROM h LEFT JOIN t ON h.match_id = t.match_id AND h.team_id <> t.team_id""")
+def opponent_join(spark, sf):
+    g = Rolling("points", ("player_id",), SQUADS, size=10, add_opponent=True)
+    return out(g.transform(inputs.squad_matches(spark, sf)), ["match_id", "team_id", "player_id"], g.features_out)
+
+
+@query(f"""WITH {SQUADS_SQL}, g AS (SELECT match_id, team_id, min(start_date) AS d, avg(points) AS p FROM squads GROUP BY ALL),
+x AS (SELECT *, lag(p) OVER (PARTITION BY team_id ORDER BY d, match_id) AS y FROM g)
+SELECT squads.match_id, squads.team_id, player_id, {r6('y', 'lag_points1')} FROM squads JOIN x ON squads.match_id = x.match_id AND squads.team_id = x.team_id""")
+def group_to_granularity(spark, sf):
+    g = Lag("points", ("team_id",), SQUADS, length=1)
+    return out(g.transform(inputs.squad_matches(spark, sf)), ["match_id", "team_id", "player_id"], g.features_out)
+
+
+BATCHED = Roles(match="event_id", team="user_id", date="ts", player="user_id", update="batch")
+
+
+@query(f"""WITH {HOLES}, g AS (SELECT *, event_id // 20 AS batch, avg(v) OVER {frame(4)} AS x FROM e),
+h AS (SELECT *, last_value(x IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM g)
+SELECT event_id, user_id, {r6('first_value(y) OVER (PARTITION BY batch, user_id ORDER BY ts, event_id)', 'rolling_mean_v4')} FROM h""")
+def equal_in_batch(spark, sf):
+    g = Rolling("v", PLAYERS, BATCHED, size=4)
+    return out(g.transform(holes(spark, sf).withColumn("batch", F.expr("event_id DIV 20"))), ["event_id", "user_id"], g.features_out)
+
+
+_LAST = "l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM e)"
+
+
+@query(f"WITH {HOLES}, {_LAST} SELECT user_id, {r6('avg(v)', 'rolling_mean_v10')} FROM l WHERE k <= 10 GROUP BY user_id")
+def future_state_rolling(spark, sf):
+    g = Rolling("v", PLAYERS, EVENTS, size=10)
+    df = holes(spark, sf)
+    return out(g.newest(g.tail(g.grouped(df))), ["user_id"], g.features_out)
+
+
+@query(f"WITH {HOLES}, {_LAST} SELECT user_id, {', '.join(r6(f'max(CASE WHEN k = {k} THEN v END)', f'lag_v{k}') for k in (1, 2, 3))} FROM l WHERE k <= 3 GROUP BY user_id")
+def future_state_lag(spark, sf):
+    g = Lag("v", PLAYERS, EVENTS, length=3)
+    return out(g.newest(g.tail(g.grouped(holes(spark, sf)))), ["user_id"], g.features_out)
+
+
+@query(f"WITH {HOLES} SELECT user_id, {r6('avg(v)', 'rolling_mean_days_v10')}, {r6('count(v)', 'rolling_mean_days_count10')} FROM e WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - 864000000000 GROUP BY user_id")
+def future_state_days(spark, sf):
+    g = RollingDays("v", PLAYERS, EVENTS, days=10, add_count=True)
+    return out(g.newest(g.tail(g.grouped(holes(spark, sf)))), ["user_id"], g.features_out)
+
+
+@query(f"""WITH {HOLES}, c AS (SELECT quantile_disc(epoch_us(ts), 0.5) AS t FROM events), g AS (SELECT *, avg(coalesce(v, 1)) OVER {frame(10)} AS x FROM e)
+SELECT event_id, user_id, {r6('x', 'rolling_mean_v10')} FROM g, c WHERE epoch_us(ts) > t""")
+def update_after_fit(spark, sf):
+    """Fit on the first half of the stream, update with the second: as if computed at once."""
+    df = holes(spark, sf).fillna({"v": 1.0}).withColumn("t", F.unix_micros("ts"))
+    cut = df.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t)")).first()[0]
+    g = Rolling("v", PLAYERS, EVENTS, size=10)
+    _, fitted = g.fit(df.where(F.col("t") <= cut).drop("t"))
+    rows, _ = fitted.update(df.where(F.col("t") > cut).drop("t"))
+    return out(rows, ["event_id", "user_id"], g.features_out)
+
+
+@query(f"""WITH {SQUADS_SQL}, g AS (SELECT *, lag(points) OVER (PARTITION BY player_id ORDER BY start_date, match_id) AS y FROM squads)
+SELECT match_id, team_id, {r6('CASE WHEN sum(CASE WHEN y IS NOT NULL THEN weight END) > 0 THEN sum(y * weight) / sum(CASE WHEN y IS NOT NULL THEN weight END) ELSE avg(y) END', 'lag_points1')} FROM g GROUP BY match_id, team_id""")
+def team_auto_aggregate(spark, sf):
+    g = FeatureChain((Lag("points", ("player_id",), SQUADS, length=1),), SQUADS, to_team=True)
+    return out(g.transform(inputs.squad_matches(spark, sf)), ["match_id", "team_id"], g.features_out())
+
+
+# -- shaping ----------------------------------------------------------------------
+
+
+@query(f"""WITH {SQUADS_SQL} SELECT match_id, team_id, {r6("CASE WHEN coalesce(sum(weight), 0) <> 0 THEN sum(points * weight) / sum(weight) ELSE avg(points) END", 'points')}, {r6('sum(weight)', 'weight')} FROM squads GROUP BY ALL""")
+def group_reducer_weighted(spark, sf):
+    df = inputs.squad_matches(spark, sf).select("match_id", "team_id", "points", "weight")
+    return out(shaping.reduce_groups(df, ["match_id", "team_id"], "weight"), ["match_id", "team_id"], ["points", "weight"])
+
+
+@query(f"WITH {SQUADS_SQL} SELECT match_id, team_id, player_id, {r6('points / sum(points) OVER (PARTITION BY match_id, team_id) * 240', 'points')} FROM squads")
+def normalize_to(spark, sf):
+    return out(shaping.normalise_to(inputs.squad_matches(spark, sf), "points", ["match_id", "team_id"], 240), ["match_id", "team_id", "player_id"], ["points"])
+
+
+@query(f"WITH {SQUADS_SQL} SELECT match_id, team_id, player_id, {r6('sum(points) OVER (PARTITION BY match_id, team_id)', 'team_points')}, {r6('avg(points) OVER ()', 'all_points')} FROM squads")
+def aggregator_over(spark, sf):
+    df = shaping.aggregate_over(inputs.squad_matches(spark, sf), "points", ["match_id", "team_id"], "sum", "team_points")
+    return out(shaping.aggregate_over(df, "points", [], "mean", "all_points"), ["match_id", "team_id", "player_id"], ["team_points", "all_points"])
+
+
+@query(f"WITH {SQUADS_SQL} SELECT match_id, team_id, player_id, {r6('points - points2', 'points_minus_points2')}, {r6('points * points2', 'points_times_points2')}, {r6('points2 / points', 'points2_divided_by_points')}, {r6('points + points2', 'points_plus_points2')} FROM squads")
+def column_arithmetic(spark, sf):
+    df = inputs.squad_matches(spark, sf)
+    for a, b, op in (("points", "points2", "subtract"), ("points", "points2", "multiply"), ("points2", "points", "divide"), ("points", "points2", "add")):
+        df = shaping.arithmetic(df, a, b, op)
+    return out(df, ["match_id", "team_id", "player_id"], ["points_minus_points2", "points_times_points2", "points2_divided_by_points", "points_plus_points2"])
+
+
+@query("SELECT event_id, CAST(dense_rank() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS match_number FROM events")
+def match_number(spark, sf):
+    return shaping.match_number(inputs.entity_events(spark, sf), EVENTS).select("event_id", F.col("match_number").cast("long").alias("match_number"))
+
+
+@query("""WITH n AS (SELECT event_id, ts, dense_rank() OVER (ORDER BY ts, event_id) - 1 AS k FROM events),
+d AS (SELECT list(DISTINCT ts ORDER BY ts) AS ds FROM events), c AS (SELECT min(k) AS lo, (SELECT max(k) FROM n) AS hi FROM n, d WHERE ts >= ds[len(ds) // 2 + 1])
+SELECT event_id, CAST(CASE WHEN k < lo THEN -1 ELSE least(3, floor((k - lo) / greatest(1, (hi - lo) // 4))) END AS INTEGER) AS fold FROM n, c""")
+def cv_split_labels(spark, sf):
+    return est.MatchKFold(EVENTS, n_splits=4).split_labels(inputs.entity_events(spark, sf)).select("event_id", "fold")
+
+
+@query("SELECT event_id, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) + 1 AS INTEGER) AS day_number FROM events")
+def day_numbers(spark, sf):
+    return inputs.entity_events(spark, sf).select("event_id", day_number(F.col("ts")).cast("int").alias("day_number"))
+
+
+@query(f"WITH {GAMES_SQL} SELECT match_id, team_id, opponent_id, {r6('score', 'score')}, {r6('opponent_score', 'opponent_score')} FROM duels")
+def wide_to_long(spark, sf):
+    return out(shaping.wide_to_long(inputs.games(spark, sf), GAMES), ["match_id", "team_id", "opponent_id"], ["score", "opponent_score"])
+
+
+@query("""WITH i AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+c AS (SELECT a.event_id, b.event_type, count(*) AS n, max(b.k) AS last FROM i a JOIN i b ON a.user_id = b.user_id AND b.k < a.k AND a.k - b.k <= 25 GROUP BY ALL),
+w AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, last DESC) AS r FROM c)
+SELECT i.event_id, w.event_type AS game_league FROM i LEFT JOIN w ON i.event_id = w.event_id AND r = 1""")
+def league_mode_25(spark, sf):
+    return shaping.league_by_history(inputs.entity_events(spark, sf), EVENTS).select("event_id", "game_league")
+
+
+@query("""SELECT event_id FROM events WHERE value > 10 AND value <= 80 AND event_type <> 'view' AND event_id % 2 IN (0, 1) AND user_id NOT IN (1, 2, 3) AND user_id IN (SELECT user_id FROM events WHERE user_id >= 5)
+  AND ts >= (SELECT min(ts) FROM events)""")
+def filters_all_ops(spark, sf):
+    e = inputs.entity_events(spark, sf).withColumn("parity", F.col("event_id") % 2)
+    first = e.agg(F.min("ts").cast("string")).first()[0]
+    fs = [Filter("value", 10, ">"), Filter("value", 80, "<="), Filter("event_type", "view", "!="), Filter("parity", [0, 1], "in"), Filter("user_id", [1, 2, 3], "not in"), Filter("user_id", 5, ">="), Filter("ts", first, ">=")]
+    return shaping.apply_filters(e, fs).select("event_id")
+
+
+# -- scaling ------------------------------------------------------------------------
+
+
+def scaled(spark, sf, step, names=("value",)) -> DataFrame:
+    e = inputs.entity_events(spark, sf)
+    return out(step.fit(e).transform(e), ["event_id"], list(names))
+
+
+@query(f"SELECT event_id, {r6('least(2.0, greatest(-1.5, (value - avg(value) OVER ()) / stddev_samp(value) OVER () * 0.55 + 0.5))', 'value')} FROM events")
+def std_scaler(spark, sf):
+    return scaled(spark, sf, scaling.PartialStandard(["value"]))
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events), x AS (SELECT event_id, least(1, greatest(0, (value - lo) / (hi - lo))) AS x FROM events, q)
+SELECT event_id, {r6('x + 0.5 - avg(x) OVER ()', 'value')} FROM x""")
+def minmax_scaler(spark, sf):
+    return scaled(spark, sf, scaling.MinMax(["value"]))
+
+
+@query(f"WITH q AS (SELECT quantile_cont(value, 0.93) AS c FROM events) SELECT event_id, {r6('CASE WHEN value > c THEN (value - c) * 0.8 + c ELSE value END', 'value')} FROM events, q")
+def diminishing(spark, sf):
+    return scaled(spark, sf, scaling.Diminishing(["value"]))
+
+
+_KNOTS = ", ".join(str(k / 200) for k in range(201))
+
+
+@query(f"""WITH x AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END AS x FROM events),
+z AS (SELECT avg(CASE WHEN abs(x) < 1e-10 THEN 1.0 ELSE 0 END) AS pi, quantile_cont(CASE WHEN abs(x) >= 1e-10 THEN x END, [{_KNOTS}]) AS q FROM x),
+k AS (SELECT *, len(list_filter(q, lambda v: v <= x)) AS k FROM x, z)
+SELECT event_id, {r6("CASE WHEN abs(x) < 1e-10 THEN pi / 2 WHEN k >= 201 THEN 1.0 WHEN k < 1 THEN pi ELSE pi + (1 - pi) * (k - 1 + (x - q[k]) / (q[k + 1] - q[k])) / 200 END", 'x')} FROM k""")
+def quantile_scaler(spark, sf):
+    e = inputs.entity_events(spark, sf).withColumn("x", F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(F.col("value")))
+    return out(scaling.Quantile(["x"], n=200).fit(e).transform(e), ["event_id"], ["x"])
+
+
+@query(f"""WITH {HOLES}, m AS (SELECT event_id, v / 100.0 AS a, prob AS b FROM e)
+SELECT event_id, {r6("least(1, greatest(0, (coalesce(a * 0.6, 0) + (1 - b) * 0.4) / (CASE WHEN a IS NULL THEN 0 ELSE 0.6 END + 0.4)))", 'mix')} FROM m""")
+def weights_mix(spark, sf):
+    df = holes(spark, sf).withColumns({"a": F.col("v") / 100.0, "b": F.col("prob")})
+    return out(scaling.weighted_mix(df, [scaling.ColumnWeight("a", 0.6), scaling.ColumnWeight("b", 0.4, True)], alias="mix"), ["event_id"], ["mix"])
+
+
+@query(f"WITH q AS (SELECT quantile_cont(value, 0.99) AS q FROM events) SELECT event_id, {r6('least(1, greatest(0, value / q))', 'weight')} FROM events, q")
+def participation_p99(spark, sf):
+    df, _ = scaling.scaled_weight(inputs.entity_events(spark, sf), "value", "weight")
+    return out(df, ["event_id"], ["weight"])
+
+
+@query()
+def symmetric_scaler(spark, sf):
+    return scaled(spark, sf, scaling.Symmetric(["value"], ["event_type"]))
+
+
+@query()
+def performance_chain(spark, sf):
+    return scaled(spark, sf, scaling.Performance(["value"], prefix=""))
+
+
+# -- ratings ----------------------------------------------------------------------------
+
+_MULT = "greatest(5.0, 50.0 * ((30.0 - {c}) / 140.0 + 1) * 0.9 + 5.0)"
+_CONF = "greatest(0.0, least(-least(CASE WHEN {l} IS NULL THEN 0 ELSE day - {l} END, 90.0) * 0.06 + {c} + 1.0, 150.0))"
+
+
+def _side(old: str, a: str, b: str) -> str:
+    return f"list_transform({old}, lambda x, j: CASE WHEN j = ia THEN {a} WHEN j = ib THEN {b} ELSE x END)"
+
+
+def _sig(x: str) -> str:
+    return f"1 / (1 + exp(-0.005757 * ({x})))"
+
+
+_FOLD = f"""WITH RECURSIVE {GAMES_SQL},
+t AS (SELECT team_id, row_number() OVER (ORDER BY team_id) AS i FROM (SELECT DISTINCT team_id FROM duels)),
+m AS (SELECT row_number() OVER (ORDER BY start_date, match_id) AS n, match_id, date_diff('day', DATE '2000-01-01', CAST(start_date AS DATE)) + 1 AS day,
+  least(team1, team2) AS ta, greatest(team1, team2) AS tb, (CASE WHEN team1 < team2 THEN score1 ELSE score2 END) AS sa, (CASE WHEN team1 < team2 THEN score2 ELSE score1 END) AS sb FROM games),
+p AS (SELECT m.*, a.i AS ia, b.i AS ib, sa / (sa + 50.0) AS pa, sb / (sb + 50.0) AS pb FROM m JOIN t a ON ta = a.team_id JOIN t b ON tb = b.team_id),
+f AS (SELECT CAST(0 AS BIGINT) AS n, (SELECT list(1000.0::DOUBLE) FROM t) AS o, (SELECT list(1000.0::DOUBLE) FROM t) AS d, (SELECT list(0.0::DOUBLE) FROM t) AS c, (SELECT list(NULL::DOUBLE) FROM t) AS l
+  UNION ALL SELECT p.n,
+    {_side('o', f"o[ia] + (pa - {_sig('o[ia] - d[ib]')}) * {_MULT.format(c='c[ia]')}", f"o[ib] + (pb - {_sig('o[ib] - d[ia]')}) * {_MULT.format(c='c[ib]')}")},
+    {_side('d', f"d[ia] + (1 - pb - {_sig('d[ia] - o[ib]')}) * {_MULT.format(c='c[ia]')}", f"d[ib] + (1 - pa - {_sig('d[ib] - o[ia]')}) * {_MULT.format(c='c[ib]')}")},
+    {_side('c', _CONF.format(l='l[ia]', c='c[ia]'), _CONF.format(l='l[ib]', c='c[ib]'))},
+    {_side('l', 'day', 'day')} FROM f JOIN p ON p.n = f.n + 1)
+SELECT match_id, ta AS team_id, {r6('o[ia]', 'team_off_rating_projected')}, {r6('d[ia]', 'team_def_rating_projected')}, {r6('d[ib]', 'opponent_def_rating_projected')}, {r6(_sig('o[ia] - d[ib]'), 'team_predicted_off_performance')}, {r6('o[ia] - d[ib]', 'team_rating_difference_projected')} FROM f JOIN p ON p.n = f.n + 1
+UNION ALL SELECT match_id, tb, {r6('o[ib]', 'x')}, {r6('d[ib]', 'y')}, {r6('d[ia]', 'z')}, {r6(_sig('o[ib] - d[ia]'), 'u')}, {r6('o[ib] - d[ia]', 'v')} FROM f JOIN p ON p.n = f.n + 1"""
+
+
+def duel_performance(spark, sf) -> DataFrame:
+    return inputs.duel_matches(spark, sf).withColumn("perf", F.col("score") / (F.col("score") + 50.0))
+
+
+@query(_FOLD)
+def team_rating(spark, sf):
+    df = duel_performance(spark, sf)
+    folded = ratings.team_fold(ratings.team_matches(df, DUELS, "perf"), ratings.RatingConfig())
+    names = ["team_off_rating_projected", "team_def_rating_projected", "opponent_def_rating_projected", "team_predicted_off_performance", "team_rating_difference_projected"]
+    return out(ratings.team_features(df, folded, DUELS), ["match_id", "team_id"], names)
+
+
+@query()
+def team_rating_future(spark, sf):
+    df = duel_performance(spark, sf)
+    folded = ratings.team_fold(ratings.team_matches(df, DUELS, "perf"), ratings.RatingConfig())
+    future = df.select("match_id", "start_date", "team_id", "opponent_id")
+    return out(ratings.project_teams(future, folded, DUELS), ["match_id", "team_id"], ratings.TEAM_OUT)
+
+
+@query()
+def team_rating_trials(spark, sf):
+    """Rating configurations side by side, each in a task of its own."""
+    df = duel_performance(spark, sf)
+    parts = []
+    for name, coef in (("flat", 0.003), ("steep", 0.009)):
+        f = ratings.team_fold(ratings.team_matches(df, DUELS, "perf"), ratings.RatingConfig(coef=coef))
+        parts.append(f.where("kind = 'match'").select(F.lit(name).alias("trial"), F.col("match").alias("match_id"), F.col("team").alias("team_id"), "team_off_rating_projected"))
+    return parts[0].unionByName(parts[1])
+
+
+def squad_performance(spark, sf) -> DataFrame:
+    return inputs.squad_matches(spark, sf).withColumns({"perf": F.col("points") / (F.col("points") + 25.0), "weight": F.least(F.lit(1.0), F.col("lines") / 2.0)})
+
+
+PLAYER_FEATURES = [
+    "player_off_rating", "player_def_rating", "player_predicted_off_performance", "team_off_rating_projected", "opponent_def_rating_projected", "team_rating_difference_projected",
+    "rating_mean_projected", "player_rating_difference_projected", "player_opponent_mean_projected", "team_rating", "opponent_rating",
+]
+
+
+@query()
+def player_rating(spark, sf):
+    df = squad_performance(spark, sf)
+    return out(ratings.player_features(df, ratings.player_ratings(df, SQUADS, "perf"), SQUADS), ["match_id", "team_id", "player_id"], PLAYER_FEATURES)
+
+
+@query()
+def player_rating_mean(spark, sf):
+    df = squad_performance(spark, sf)
+    c = ratings.RatingConfig(predictor="mean", mean_adjustment=True, start=ratings.StartRating(quantile=0.3, least_count=20))
+    return out(ratings.player_features(df, ratings.player_ratings(df, SQUADS, "perf", c), SQUADS), ["match_id", "team_id", "player_id"], PLAYER_FEATURES)
+
+
+# -- scores ---------------------------------------------------------------------------------
+
+PRED_SQL = """s AS (SELECT event_id, user_id, event_type, value AS y, value * 0.8 + (event_id * 37 % 41) - 20.0 AS p, 1.0 + event_id % 3 AS w, event_id % 2 AS flag,
+  ((event_id * 37 % 1000) + 0.5) / 1000 AS prob, CASE WHEN (event_id * 91 % 1000) / 1000.0 < ((event_id * 37 % 1000) + 0.5) / 1000 THEN 1 ELSE 0 END AS hit FROM events)"""
+CLASS_SQL = """c0 AS (SELECT event_id, user_id, event_type, event_id * 13 % 5 AS y, [1.0 + event_id * 3 % 11, 1.0 + event_id * 4 % 11, 1.0 + event_id * 5 % 11, 1.0 + event_id * 6 % 11, 1.0 + event_id * 7 % 11] AS raw, (event_id % 9) / 2.0 AS thr FROM events),
+c AS (SELECT *, list_transform(raw, lambda x: x / list_sum(raw)) AS p FROM c0)"""
+
+
+def predicted(spark, sf) -> DataFrame:
+    i = F.col("event_id")
+    prob = ((i * 37 % 1000) + 0.5) / 1000
+    return inputs.entity_events(spark, sf).select(
+        "event_id", "user_id", "event_type", F.col("value").alias("y"), (F.col("value") * 0.8 + (i * 37 % 41) - 20.0).alias("p"), (F.lit(1.0) + i % 3).alias("w"), (i % 2).alias("flag"),
+        prob.alias("prob"), F.when((i * 91 % 1000) / 1000.0 < prob, 1).otherwise(0).alias("hit"),
+    )
+
+
+def classed(spark, sf) -> DataFrame:
+    i = F.col("event_id")
+    raw = F.array(*[F.lit(1.0) + i * k % 11 for k in range(3, 8)])
+    df = inputs.entity_events(spark, sf).select("event_id", "user_id", "event_type", (i * 13 % 5).alias("y"), raw.alias("raw"), ((i % 9) / 2.0).alias("thr"))
+    return df.withColumn("p", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b)))
+
+
+def score(df: DataFrame, keys=()) -> DataFrame:
+    return out(df, list(keys), ["score"])
+
+
+@query(f"WITH {PRED_SQL} SELECT {r6('avg(abs(p - y))', 'score')} FROM s")
+def score_mae(spark, sf):
+    return score(scoring.MeanAbsoluteError("p", "y").score(predicted(spark, sf)))
+
+
+@query(f"WITH {PRED_SQL} SELECT {r6('sum((p - y) * (p - y) * w) / sum(w)', 'score')} FROM s")
+def score_mse_weighted(spark, sf):
+    return score(scoring.MeanSquaredError("p", "y", weight="w").score(predicted(spark, sf)))
+
+
+@query(f"WITH {PRED_SQL} SELECT event_type, {r6('sqrt(avg((p - y) * (p - y)))', 'score')} FROM s WHERE y > 5 GROUP BY event_type")
+def score_rmse_by_group(spark, sf):
+    return score(scoring.RootMeanSquaredError("p", "y", granularity=["event_type"], filters=[Filter("y", 5, ">")]).score(predicted(spark, sf)), ["event_type"])
+
+
+@query(f"WITH {PRED_SQL} SELECT {r6('-avg(CASE WHEN hit = 1 THEN ln(prob) ELSE ln(1 - prob) END)', 'score')} FROM s")
+def score_log_loss(spark, sf):
+    return score(scoring.LogLoss("prob", "hit").score(predicted(spark, sf)))
+
+
+@query(f"WITH {PRED_SQL} SELECT {r6('avg(CASE WHEN (prob >= 0.5) = (hit = 1) THEN 1.0 ELSE 0 END)', 'score')} FROM s")
+def score_accuracy(spark, sf):
+    return score(scoring.Accuracy("prob", "hit").score(predicted(spark, sf)))
+
+
+@query(f"""WITH {PRED_SQL}, g AS (SELECT event_type, prob, sum(hit) AS a, sum(1 - hit) AS b FROM s GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY event_type ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT event_type, {r6('sum(a * (below + b / 2)) / (sum(a) * sum(b))', 'score')} FROM u GROUP BY event_type""")
+def score_auc_by_group(spark, sf):
+    return score(scoring.AreaUnderCurve("prob", "hit", granularity=["event_type"]).score(predicted(spark, sf)), ["event_type"])
+
+
+@query(f"WITH {PRED_SQL} SELECT {r6('avg(p - y)', 'score')} FROM s")
+def score_bias(spark, sf):
+    return score(scoring.MeanBias("p", "y").score(predicted(spark, sf)))
+
+
+@query(f"WITH {PRED_SQL} SELECT {r6('(avg(p) FILTER (flag = 1) - avg(p) FILTER (flag = 0)) - (avg(y) FILTER (flag = 1) - avg(y) FILTER (flag = 0))', 'score')} FROM s")
+def score_relative_bias(spark, sf):
+    return score(scoring.MeanBias("p", "y", relative="flag").score(predicted(spark, sf)))
+
+
+@query(f"WITH {CLASS_SQL} SELECT {r6('avg(p[2] + 2 * p[3] + 3 * p[4] + 4 * p[5] - y)', 'score')} FROM c")
+def score_bias_lists(spark, sf):
+    return score(scoring.MeanBias("p", "y", classes=[0, 1, 2, 3, 4]).score(classed(spark, sf)))
+
+
+@query(f"WITH {CLASS_SQL} SELECT {r6('avg(p[1] * y * y + p[2] * (1 - y) * (1 - y) + p[3] * (2 - y) * (2 - y) + p[4] * (3 - y) * (3 - y) + p[5] * (4 - y) * (4 - y))', 'score')} FROM c")
+def score_pwmse(spark, sf):
+    return score(scoring.ProbabilityWeightedSquaredError("p", "y", classes=[0, 1, 2, 3, 4]).score(classed(spark, sf)))
+
+
+_RPS = " + ".join(f"pow(list_sum(p[1:{k + 1}]) - (CASE WHEN y <= {k} THEN 1 ELSE 0 END), 2)" for k in range(4))
+
+
+@query(f"WITH {CLASS_SQL} SELECT event_type, {r6(f'avg(({_RPS}) / 4)', 'score')} FROM c GROUP BY event_type")
+def score_rps_by_group(spark, sf):
+    return score(scoring.RankedProbability("p", "y", classes=[0, 1, 2, 3, 4], granularity=["event_type"]).score(classed(spark, sf)), ["event_type"])
+
+
+_INSIDE = "least(0.9999, greatest(0.0001, {0}))"
+_NAIVE_P = "list_value(" + ", ".join(f"avg(CASE WHEN y = {k} THEN 1.0 ELSE 0 END)" for k in range(5)) + ")"
+
+
+def _ordinal(p: str) -> str:
+    """The summed loss with every class present, as it is in these rows."""
+    cum, terms = f"{p}[1]", []
+    for k in range(1, 5):
+        inside = _INSIDE.format(cum)
+        terms.append(f"-(n[{k}] / total) * CASE WHEN y < {k} THEN ln({inside}) ELSE ln(1 - {inside}) END")
+        cum = f"least(1.0, {inside} + {p}[{k + 1}])"
+    return " + ".join(terms)
+
+
+_COUNTS = "k AS (SELECT list_value(" + ", ".join(f"sum(CASE WHEN y = {i} THEN 1.0 ELSE 0 END)" for i in range(4)) + f") AS n, sum(CASE WHEN y < 4 THEN 1.0 ELSE 0 END) AS total, {_NAIVE_P} AS np FROM c)"
+
+
+@query(f"WITH {CLASS_SQL}, {_COUNTS} SELECT {r6(f'avg({_ordinal("p")})', 'score')} FROM c, k")
+def score_ordinal(spark, sf):
+    return score(scoring.OrdinalLoss("p", "y", classes=[0, 1, 2, 3, 4]).score(classed(spark, sf)))
+
+
+@query(f"WITH {CLASS_SQL}, {_COUNTS} SELECT {r6(f'avg({_ordinal("np")}) - avg({_ordinal("p")})', 'score')} FROM c, k")
+def score_ordinal_naive(spark, sf):
+    return score(scoring.OrdinalLoss("p", "y", classes=[0, 1, 2, 3, 4], naive=True).score(classed(spark, sf)))
+
+
+_EVENT = "(CASE WHEN 0 >= t THEN p[1] ELSE 0 END + CASE WHEN 1 >= t THEN p[2] ELSE 0 END + CASE WHEN 2 >= t THEN p[3] ELSE 0 END + CASE WHEN 3 >= t THEN p[4] ELSE 0 END + CASE WHEN 4 >= t THEN p[5] ELSE 0 END)"
+
+
+@query(f"""WITH {CLASS_SQL}, x AS (SELECT *, round_even(thr, 0) AS t FROM c), q AS (SELECT greatest(1e-15, least(1 - 1e-15, {_EVENT})) AS q, y >= t AS hit FROM x)
+SELECT {r6('-avg(CASE WHEN hit THEN ln(q) ELSE ln(1 - q) END)', 'score')} FROM q""")
+def score_threshold_event(spark, sf):
+    return score(scoring.ThresholdEvent("p", "y", classes=[0, 1, 2, 3, 4], threshold="thr").score(classed(spark, sf)))
+
+
+@query(f"WITH {PRED_SQL}, b AS (SELECT *, avg(y) OVER (PARTITION BY event_type) AS m FROM s) SELECT {r6('avg(abs(m - y)) - avg(abs(p - y))', 'score')} FROM b")
+def score_naive(spark, sf):
+    return score(scoring.MeanAbsoluteError("p", "y", naive=True, naive_granularity=["event_type"]).score(predicted(spark, sf)))
+
+
+@query(f"WITH {PRED_SQL}, g AS (SELECT user_id, sum(p * w) / sum(w) AS p, avg(y) AS y FROM s GROUP BY user_id) SELECT {r6('avg(abs(p - y))', 'score')} FROM g")
+def score_by_level(spark, sf):
+    return score(scoring.MeanAbsoluteError("p", "y", level=["user_id"], how={"pred": ("weighted_mean", "w"), "target": "mean"}).score(predicted(spark, sf)))
+
+
+@query(f"""WITH {CLASS_SQL}, g AS (SELECT user_id, [{', '.join(f'avg(p[{k}])' for k in range(1, 6))}] AS p, min(y) AS y FROM c GROUP BY user_id) SELECT {r6(f'avg(({_RPS}) / 4)', 'score')} FROM g""")
+def score_list_level(spark, sf):
+    return score(scoring.RankedProbability("p", "y", classes=[0, 1, 2, 3, 4], level=["user_id"], how={"pred": "mean", "target": "first"}).score(classed(spark, sf)))
+
+
+# -- distributions and models --------------------------------------------------------------------
+
+
+def exploded(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    return out(df.select(*keys, F.posexplode(column).alias("k", "p")), [*keys, "k"], ["p"])
+
+
+@query(f"""WITH e AS (SELECT event_id, abs(value) / 10 + 0.1 AS mu, 2.0 + event_id % 5 AS r FROM events), k AS (SELECT unnest(range(0, 21)) AS k),
+x AS (SELECT event_id, CAST(k AS INTEGER) AS k, exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + k * ln(mu / (r + mu)) + r * ln(r / (r + mu))) AS p FROM e, k)
+SELECT event_id, k, {r6('p / sum(p) OVER (PARTITION BY event_id)', 'p')} FROM x""")
+def negative_binomial(spark, sf):
+    e = inputs.entity_events(spark, sf).select("event_id", (F.abs("value") / 10 + 0.1).alias("mu"), (F.lit(2.0) + F.col("event_id") % 5).alias("r"))
+    return exploded(e.withColumn("p", dist.negative_binomial(F.col("mu"), F.col("r"), 0, 20)), ["event_id"], "p")
+
+
+@query()
+def negative_binomial_fitted(spark, sf):
+    """Dispersion by event type, then the distribution of each row around its rolling mean."""
+    e = inputs.entity_events(spark, sf).withColumn("n", F.round(F.abs("value") / 5))
+    g = Rolling("n", PLAYERS, EVENTS, size=10)
+    rows = g.transform(e).where(F.col(g.features_out[0]) > 0)
+    r = dist.fit_dispersion(rows, g.features_out[0], "n", ["event_type"])
+    rows = rows.join(F.broadcast(r), "event_type").withColumn("p", dist.negative_binomial(F.col(g.features_out[0]), F.col("r"), 0, 30))
+    return exploded(rows, ["event_id"], "p")
+
+
+@query()
+def normal_distribution(spark, sf):
+    e = inputs.entity_events(spark, sf).withColumn("p", dist.normal(F.col("value") / 10, 2.5, 0, 12))
+    return exploded(e, ["event_id"], "p")
+
+
+@query()
+def student_t_distribution(spark, sf):
+    rows = predicted(spark, sf)
+    edges, sigmas, _ = dist.cell_sigmas(rows, "p", "y")
+    cell = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda c: c < F.col("p")))
+    rows = rows.withColumn("sigma", F.element_at(F.lit(sigmas).cast("array<double>"), cell + 1) / 10)
+    return exploded(rows.withColumn("d", dist.student_t(F.col("p") / 10, F.col("sigma"), 5.0, 0, 12)), ["event_id"], "d")
+
+
+@query(f"""WITH t AS (SELECT event_id, epoch_us(ts) / 86400e6 AS t FROM events) SELECT event_id, {r6('(t - min(t) OVER () + 0.1) / (2 * (max(t) OVER () - min(t) OVER ()) + 0.1)', 'weight')} FROM t""")
+def day_weights(spark, sf):
+    e = inputs.entity_events(spark, sf).withColumn("t", F.unix_micros("ts") / 86_400e6)
+    ends = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    e = e.crossJoin(F.broadcast(ends))  # one row
+    return out(e.withColumn("weight", (F.col("t") - F.col("lo") + 0.1) / (2 * (F.col("hi") - F.col("lo")) + 0.1)), ["event_id"], ["weight"])
+
+
+def modelled(spark, sf) -> DataFrame:
+    g = Rolling("value", PLAYERS, EVENTS, size=10)
+    df = g.transform(inputs.entity_events(spark, sf).select("event_id", "ts", "user_id", "event_type", "value")).withColumnRenamed(g.features_out[0], "form")
+    return df.withColumns({"high": (F.col("value") > 50).cast("double"), "level": F.floor(F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.col("value") / 30)))})
+
+
+FORM = est.Model("linear", "value", features=("form", "event_type"))
+
+
+@query()
+def model_pipeline(spark, sf):
+    df = modelled(spark, sf)
+    return out(FORM.fit(df).transform(df), ["event_id"], ["prediction"])
+
+
+@query()
+def cv_predictions(spark, sf):
+    df = modelled(spark, sf)
+    m = est.Model("logistic", "high", features=("form", "event_type"))
+    return est.MatchKFold(EVENTS, n_splits=2).predictions(df, m).select("event_id", F.round(F.col("probability")[1], 6).alias("p"), "is_validation")
+
+
+@query()
+def regressor_feature(spark, sf):
+    rows, _ = est.RegressorFeature(FORM, est.MatchKFold(EVENTS, n_splits=2)).fit(modelled(spark, sf))
+    return out(rows, ["event_id"], ["prediction"])
+
+
+@query()
+def net_over_predicted(spark, sf):
+    df = modelled(spark, sf)
+    return out(est.NetOverPredicted(FORM).fit(df).transform(df), ["event_id"], ["net_over_predicted"])
+
+
+@query()
+def ratio_to_group(spark, sf):
+    df = modelled(spark, sf).fillna({"form": 0.0}).withColumn("day", F.to_date("ts"))
+    m = est.Model("linear", "value", features=("form",))
+    return out(est.Ratio(m, ("day",)).fit(df).transform(df), ["event_id"], ["ratio"])
+
+
+@query()
+def model_by_value(spark, sf):
+    df = modelled(spark, sf)
+    return out(est.ByValue(est.Model("linear", "value", features=("form",)), "event_type").fit(df).transform(df), ["event_id"], ["prediction"])
+
+
+@query()
+def group_model(spark, sf):
+    df = inputs.squad_matches(spark, sf)
+    m = est.Model("linear", "team_points", features=("points", "lines"), granularity=("match_id", "team_id"), aggregation_weight="weight")
+    df = df.withColumn("team_points", F.sum("points").over(Window.partitionBy("match_id", "team_id")))
+    return out(m.fit(df).transform(df), ["match_id", "team_id", "player_id"], ["prediction"])
+
+
+@query()
+def ordinal_classifier(spark, sf):
+    df = modelled(spark, sf)
+    return exploded(est.Ordinal(est.Model("logistic", "level", features=("form", "event_type"))).fit(df).transform(df), ["event_id"], "probability")
+
+
+@query()
+def frequency_bucketing(spark, sf):
+    df = modelled(spark, sf)
+    return exploded(est.FrequencyBuckets(est.Model("logistic", "level", features=("form", "event_type")), least=0.2).fit(df).transform(df), ["event_id"], "probability")
+
+
+@query()
+def conditional_classifier(spark, sf):
+    df = modelled(spark, sf).withColumn("distance", F.lit(2.0))
+    return exploded(est.Conditional(est.Model("logistic", "level", features=("form", "event_type", "distance")), "distance").fit(df).transform(df), ["event_id"], "probability")
+
+
+@query()
+def tuned_model(spark, sf):
+    """A random search over ridge strengths by cross-validated error; all trials are returned."""
+    df = modelled(spark, sf).persist()
+
+    def objective(params: dict) -> float:
+        m = est.Model("linear", "value", features=("form", "event_type"), params=params)
+        return scoring.MeanAbsoluteError("prediction", "value").value(est.MatchKFold(EVENTS, n_splits=1).predictions(df, m))
+
+    _, _, tried = est.search(objective, {"regParam": est.SPACES["linear"]["regParam"]}, trials=3)
+    return spark.createDataFrame([(k, float(p["regParam"]), float(s)) for k, (p, s) in enumerate(tried)], "trial int, reg double, score double")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
