@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: higher-order functions evaluate what they capture again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def negative_binomial(mu: Column, r: Column, low: int, high: int) -> Column:
     """Truncated and renormalised probabilities of low..high; Poisson where the variance hardly exceeds the mean.
 
@@ -24,9 +29,8 @@ def negative_binomial(mu: Column, r: Column, low: int, high: int) -> Column:
         lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + ratio(k.cast("double")))),
     ) if high > 0 else start
     held = F.slice(logs, max(low, 0) + 1, high - max(low, 0) + 1)
-    weights = F.transform(held, lambda x: F.exp(x - F.array_max(held)))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    probs = F.transform(weights, lambda x: x / total)
+    weights = let(held, lambda xs: let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top))))
+    probs = let(weights, lambda ws: let(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(ws, lambda w: w / t)))
     return F.concat(F.array_repeat(F.lit(0.0), -low), probs) if low < 0 else probs
 
 

@@ -177,13 +177,14 @@ class MatchKFold:
     def labelled(self, df: DataFrame) -> tuple[DataFrame, int, int]:
         """``df`` with ``__match``, the first cut, and the step."""
         df = match_number(df, self.roles, "__match")
-        day = self.min_date
-        if day is None:  # the middle distinct date
-            dates = df.select(F.col(self.roles.date).alias("d")).distinct()
+        t = F.unix_micros(F.col(self.roles.date).cast("timestamp"))
+        if self.min_date is None:  # the middle distinct date
+            dates = df.select(t.alias("d")).distinct()
             n = dates.count()
-            cut = dates.agg(F.expr(f"percentile_disc({(n // 2 + 1) / n - 0.5 / n}) WITHIN GROUP (ORDER BY d)")).first()[0]
-            day = cut
-        last, first = df.agg(F.max("__match"), F.min(F.when(F.col(self.roles.date) >= F.lit(day), F.col("__match")))).first()
+            cut = F.lit(dates.agg(F.expr(f"percentile_disc({(n // 2 + 0.5) / n}) WITHIN GROUP (ORDER BY d)")).first()[0])
+        else:
+            cut = F.unix_micros(F.lit(self.min_date).cast("timestamp"))
+        last, first = df.agg(F.max("__match"), F.min(F.when(t >= cut, F.col("__match")))).first()
         return df, first, max(1, (last - first) // self.n_splits)
 
     def split_labels(self, df: DataFrame) -> DataFrame:

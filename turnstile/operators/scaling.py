@@ -134,36 +134,47 @@ class Symmetric:
         high = F.when(x >= c, (x - c) * m + c).otherwise(x)
         return F.when(reverse, low).otherwise(high)
 
+    def _plan(self, q: list, low: float, at: int, round_: int, reverse: bool, n: int) -> list[tuple]:
+        """The next ``n`` rounds of a group if its tail stays on one side: (round, cut index, cut-off, multiplier)."""
+        out = []
+        for k in range(round_, min(round_ + n, self.rounds)):
+            mult = self.multiplier * 0.94**k
+            out.append((k, at, q[self.rounds + 1 + at] if reverse else q[at], mult))
+            if mult * 0.94 < self.least_multiplier:
+                break
+            if q[at + 1] > low:  # bending keeps the order, so quantiles of the original values decide
+                at += 1
+        return out
+
     def fit(self, df: DataFrame) -> Symmetric:
+        cuts = [self.cutoff * 0.994**k for k in range(self.rounds + 1)]
+        grid = F.lit([*cuts, *[1 - c for c in cuts]]).cast("array<double>")
         for f in self.features:
             rows = df.select(self._key().alias("g"), finite(F.col(f)).alias("x")).where("x IS NOT NULL")
-            first = rows.groupBy("g").agg(F.skewness("x").alias("s"), F.count("*").alias("n")).collect()  # one row a group
-            todo = {r["g"]: (r["s"], self.cutoff) for r in first if r["s"] is not None and r["n"] > self.least_rows and abs(r["s"]) > self.skewness}
+            first = rows.groupBy("g").agg(F.skewness("x").alias("s"), F.count("*").alias("n"), F.min("x").alias("lo"), F.percentile("x", grid).alias("q")).collect()  # one row a group
+            info = {r["g"]: r for r in first}
+            todo = {g: (0, 0, r["s"]) for g, r in info.items() if r["s"] is not None and r["n"] > self.least_rows and abs(r["s"]) > self.skewness}
             done: dict[str, tuple] = {}
-            mult = self.multiplier
-            for _ in range(self.rounds):
-                if not todo:
+            while todo:  # some rounds at a time, as the side of the tail seldom changes
+                plans = {g: self._plan(info[g]["q"], info[g]["lo"], at, k, s < 0, 8) for g, (k, at, s) in todo.items()}
+                flat = [(g, todo[g][2] < 0, k, float(c), float(m)) for g, p in plans.items() for k, _, c, m in p]
+                if not flat:
                     break
-                schema = "g string, rev boolean, cut double"
-                plan = F.broadcast(df.sparkSession.createDataFrame([(g, s < 0, c) for g, (s, c) in todo.items()], schema))
-                part = rows.join(plan, "g")
-                cuts = {}
-                for cut in {c for _, c in todo.values()}:  # as a rule one value, as groups share the rounds
-                    for r in part.where(F.col("cut") == cut).groupBy("g").agg(F.percentile("x", F.lit([1 - cut, cut]).cast("array<double>")).alias("q")).collect():
-                        cuts[r["g"]] = r["q"][0] if todo[r["g"]][0] < 0 else r["q"][1]
-                at = F.broadcast(df.sparkSession.createDataFrame(list(cuts.items()), "g string, c double"))
-                bent = part.join(at, "g").withColumn("y", self._bent(F.col("x"), F.col("c"), F.lit(mult), F.col("rev")))
-                nexts = [round(c * 0.994, 12) for _, c in todo.values()]
-                got = bent.groupBy("g").agg(F.skewness("y").alias("s"), F.min("y").alias("lo"), F.percentile("y", F.lit(nexts[0])).alias("q")).collect()
-                nxt = mult * 0.94
-                for r in got:
-                    g, (s, cut) = r["g"], todo[r["g"]]
-                    done[g] = (s < 0, cuts[g], mult)
-                    if nxt < self.least_multiplier or r["s"] is None or abs(r["s"]) <= self.skewness:
-                        todo.pop(g)
-                    else:
-                        todo[g] = (r["s"], cut * 0.994 if r["q"] > r["lo"] else cut)
-                mult = nxt
+                part = rows.join(F.broadcast(df.sparkSession.createDataFrame(flat, "g string, rev boolean, k int, c double, m double")), "g")
+                skew = part.groupBy("g", "k").agg(F.skewness(self._bent(F.col("x"), F.col("c"), F.col("m"), F.col("rev"))).alias("s")).collect()
+                skew = {(r["g"], r["k"]): r["s"] for r in skew}
+                nxt = {}
+                for g, p in plans.items():
+                    rev = todo[g][2] < 0
+                    for j, (k, at, c, m) in enumerate(p):
+                        s = skew[g, k]
+                        done[g] = (rev, c, m)
+                        if s is None or abs(s) <= self.skewness or m * 0.94 < self.least_multiplier or k + 1 >= self.rounds:
+                            break
+                        if (s < 0) != rev or j == len(p) - 1:
+                            nxt[g] = (k + 1, at + (info[g]["q"][at + 1] > info[g]["lo"]), s)
+                            break
+                todo = nxt
             self.steps[f] = done
         return self
 

@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 PLAYERS = ("user_id",)
+SHIFT = 3.7e-7
 
 
 def query(sql: str | None = None):
@@ -34,12 +35,13 @@ def query(sql: str | None = None):
 
 
 def out(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Keys and values rounded to six places, with one zero."""
-    return df.select(*keys, *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in values])
+    """Keys and values to six places. Before rounding values are shifted a little, the same
+    on both sides of a comparison, so that exact halves don't depend on the last bit."""
+    return df.select(*keys, *[(F.round(F.col(c).cast("double") + F.lit(SHIFT), 6) + F.lit(0.0)).alias(c) for c in values])
 
 
 def r6(x: str, name: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {name}"
+    return f"round(CAST({x} AS DOUBLE) + {SHIFT:.8f}, 6) + 0.0 AS {name}"
 
 
 # -- inputs in SQL ------------------------------------------------------------
