@@ -237,7 +237,7 @@ class Quantile:
         got = got.where((F.col("s") > lo) & (F.col("s") <= F.col("p")))
         y = F.when(F.col("lag").isNull(), F.col("x")).otherwise(F.col("lag.x") + (F.col("x") - F.col("lag.x")) * (F.col("s") - F.col("lag.p")) / (F.col("p") - F.col("lag.p")))
         found = {r["k"]: r["y"] for r in got.select("k", y.alias("y")).collect()}  # n + 1 rows
-        top = max(found.values())
+        top = values.agg(F.max("x")).first()[0]  # the last step, should shares add up to a little less than one
         return [found.get(i, top) for i in range(self.n + 1)]
 
     def expr(self, f: str) -> Column:
