@@ -10,28 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: higher-order functions evaluate what they capture again for each element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def negative_binomial(mu: Column, r: Column, low: int, high: int) -> Column:
     """Truncated and renormalised probabilities of low..high; Poisson where the variance hardly exceeds the mean.
 
     Truncation cancels the normalising terms, so ratios of neighbouring classes are enough:
-    logs are accumulated and shifted by their maximum.
+    their logs are accumulated, for a batch of rows at once, and shifted by the maximum.
     """
-    poisson = mu * mu / r < 0.01 * F.greatest(mu, F.lit(1e-12))
-    ratio = lambda k: F.when(poisson, F.log(mu) - F.log(k + 1.0)).otherwise(F.log((k + r) / (k + 1.0)) + F.log(mu / (r + mu)))
-    start = F.array(F.lit(0.0))
-    logs = F.aggregate(
-        F.sequence(F.lit(0), F.lit(high - 1)), start,
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + ratio(k.cast("double")))),
-    ) if high > 0 else start
-    held = F.slice(logs, max(low, 0) + 1, high - max(low, 0) + 1)
-    weights = let(held, lambda xs: let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top))))
-    probs = let(weights, lambda ws: let(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(ws, lambda w: w / t)))
-    return F.concat(F.array_repeat(F.lit(0.0), -low), probs) if low < 0 else probs
+    k = np.arange(max(high, 0), dtype=float)
+
+    @F.pandas_udf("array<double>")
+    def run(m: pd.Series, d: pd.Series) -> pd.Series:
+        mu_, r_ = m.to_numpy(float)[:, None], d.to_numpy(float)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            poisson = mu_ * mu_ / r_ < 0.01 * np.maximum(mu_, 1e-12)
+            step = np.where(poisson, np.log(mu_) - np.log(k + 1), np.log((k + r_) / (k + 1)) + np.log(mu_ / (r_ + mu_)))
+        logs = np.concatenate([np.zeros((len(mu_), 1)), np.cumsum(step, 1)], 1)[:, max(low, 0) : high + 1]
+        w = np.exp(logs - logs.max(1, keepdims=True))
+        p = np.concatenate([np.zeros((len(w), max(-low, 0))), w / w.sum(1, keepdims=True)], 1)
+        missing = (m.isna() | d.isna()).to_numpy()
+        return pd.Series([None if no else x for no, x in zip(missing, p)])
+
+    return run(mu, r)
 
 
 def fit_dispersion(rows: DataFrame, mean: str, count: str, by: list[str] = (), least: float = 0.01) -> DataFrame:

@@ -142,12 +142,18 @@ class Fitted:
 
 
 def opponent_means(df: DataFrame, roles: Roles, columns: list[str]) -> DataFrame:
-    """``{column}_opponent``: the mean over the other team of the same update batch."""
-    means = df.groupBy(roles.batch, roles.team).agg(*[F.avg(c).alias(c) for c in columns])
-    pair = means.select(F.col(roles.batch).alias("__b"), F.col(roles.team).alias("__t"), *[F.col(c).alias(f"{c}_opponent") for c in columns])
-    keys = means.select(roles.batch, roles.team)
-    other = keys.join(pair, (F.col(roles.batch) == F.col("__b")) & (F.col(roles.team) != F.col("__t"))).drop("__b", "__t")
-    return df.join(other, [roles.batch, roles.team], "left")
+    """``{column}_opponent``: the mean over the rows of the other team in the same update batch.
+
+    What the batch holds less what the own team holds, so both windows share one exchange
+    (by batch) and nothing is joined or computed twice.
+    """
+    all_, own = Window.partitionBy(roles.batch), Window.partitionBy(roles.batch, roles.team)
+
+    def mean(c: str) -> Column:
+        n = F.count(c).over(all_) - F.count(c).over(own)
+        return F.when(n > 0, (F.sum(c).over(all_) - F.coalesce(F.sum(c).over(own), F.lit(0.0))) / n)
+
+    return df.withColumns({f"{c}_opponent": mean(c) for c in columns})
 
 
 def filled(c: Column, by) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import GameRoles, Roles
@@ -41,14 +41,16 @@ def duel_matches(spark: SparkSession, root: str) -> DataFrame:
 
 def squad_matches(spark: SparkSession, root: str) -> DataFrame:
     """Orders served by suppliers of exactly two regions: suppliers are players, regions teams."""
-    li = table(spark, root, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+    # One exchange by order serves the grouping, the window and the join with orders.
+    li = table(spark, root, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount", "l_tax").repartition("l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(
         F.sum("l_quantity").cast("double").alias("points"), F.sum(F.col("l_quantity") * F.col("l_discount")).cast("double").alias("points2"), F.count("*").alias("lines"), F.max("l_tax").cast("double").alias("weight")
     )
     small = table(spark, root, "supplier").join(table(spark, root, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = li.join(small.select("s_suppkey", "n_regionkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    two = rows.groupBy("l_orderkey").agg(F.countDistinct("n_regionkey").alias("teams")).where("teams = 2")
+    sides = F.size(F.collect_set("n_regionkey").over(Window.partitionBy("l_orderkey")))
+    rows = rows.withColumn("sides", sides).where("sides = 2")
     orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("start_date"))
-    out = rows.join(two.select("l_orderkey"), "l_orderkey").join(orders, "l_orderkey")
+    out = rows.join(orders, "l_orderkey")
     return out.select(
         F.col("l_orderkey").alias("match_id"), F.col("n_regionkey").alias("team_id"), F.col("l_suppkey").alias("player_id"), "start_date",
         "points", "points2", "lines", "weight", F.col("s_nationkey").alias("league"),
