@@ -145,3 +145,24 @@ def whole_groups(frames, keys: list[str]):
             held.append(f)
     if held:
         yield out(held)
+
+
+FILTER_BITS = 1 << 24
+
+
+def probably_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` may occur in ``wanted``: a filter ahead of a join.
+
+    A bitmap of ``FILTER_BITS`` hashed keys, 2 MB at most however long ``wanted`` is, is
+    broadcast by words of 64 bits. It lets some other rows through (all, once it is full),
+    so the join that follows still decides; it only keeps rows from being shuffled.
+    """
+
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+
+    words = wanted.select(bit(wanted_key).alias("__bit")).groupBy(F.expr("__bit DIV 64").alias("__word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(__bit % 64 as int)))").alias("__mask"))
+    held = df.withColumn("__bit", bit(key)).withColumn("__at", F.expr("__bit DIV 64"))
+    held = held.join(F.broadcast(words), F.col("__at") == F.col("__word"))
+    return held.where("(shiftrightunsigned(__mask, cast(__bit % 64 as int)) & 1L) = 1").drop("__bit", "__at", "__word", "__mask")

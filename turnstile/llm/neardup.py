@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import U, mix64, windows, word_hashes, word_spans
-from .common import Scratch, by_groups, table, whole_groups
+from .common import Scratch, by_groups, probably_in, table, whole_groups
 from .components import components
 
 K = 64
@@ -195,7 +195,7 @@ def linked(
                 edges += _forest([shingles(t, words) for t in texts[order]], rep[order], side[order], num, 100)
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    texts = docs.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
+    texts = probably_in(docs, "doc_id", left, "rep").join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
     edges = by_groups(_blocks(left, block).join(texts, "rep"), keys).mapInPandas(forest, "a long, b long")
     comp = components(scratch, edges)
     scratch.drop(groups, left)
