@@ -61,11 +61,15 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
-def batch_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches small enough for long texts, unless the session has its own setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) in ("10000", None):
-        spark.conf.set(key, str(rows))
+def batch_rows(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Arrow batches small enough for long texts and chunks, unless the session has tighter settings.
+
+    Batches take memory outside the JVM's heap, on both sides of the pipe.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key)).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -37,6 +37,8 @@ from .chunks import NULL_ID, U, Chunk, bucket_count, by_bucket, mix64, pack, wit
 from .common import Scratch, table
 
 ORDER = 6
+CHUNK_BYTES = 2 << 20
+BATCH = 200_000
 END = 10  # a line feed: no word holds one
 END_WORD = U(0x656E64)  # the key of the end token
 _MASK = (1 << 64) - 1
@@ -56,24 +58,29 @@ class Corpus:
         stream = np.frombuffer(b"".join(pad + t + b"\n" for t in texts), np.uint8)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.symbols = sizes
-        at = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(np.arange(1, len(sizes) + 1) * order, sizes)
-        key = stream[at].astype(U)
-        for k in range(1, order + 1):
-            key |= stream[at - k].astype(U) << U(8 * (order + 1 - k))
-        self.keys = key  # from the top: the last byte of context, the one before, ..., the symbol
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        kept = np.ones(len(stream), bool)  # all but the padding before each text
+        begin = np.cumsum(sizes + order) - sizes - order
+        for k in range(order):
+            kept[begin + k] = False
+        key = np.zeros(len(stream) - order if len(stream) else 0, U)
+        for k in range(order, 0, -1):  # from the top: the last byte of context, the one before, ..., the symbol
+            key |= stream[order - k : len(stream) - k].astype(U) << U(8 * (order + 1 - k))
+        key |= stream[order:]
+        self.keys = key[kept[order:]]
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.words = c.hashes()
         self.word_of = c.doc
 
 
 def _distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys and how many of each are counted."""
-    order = np.argsort(keys, kind="stable")
-    k, c = keys[order], counted[order]
+    """Ascending distinct keys of at most 63 bits and how many of each are counted."""
+    k = np.sort((keys << U(1)) | counted.astype(U))
     if not len(k):
         return k, np.zeros(0, np.int64)
+    c = k & U(1)
+    k >>= U(1)
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c.astype(np.int64), first)
+    return k[first], np.add.reduceat(c, first).astype(np.int64)
 
 
 def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -115,15 +122,37 @@ class Level:
 
 
 def path_costs(keys: np.ndarray, counts: np.ndarray, order: int, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """log10 probability of each path (order bytes of context, symbol), all with the paths that share two bytes of context.
+    """log10 probability of each path (order bytes of context, symbol).
 
-    ``one``: counts of (byte, symbol), 256 x 256; ``zero``: counts of symbols, 256.
+    ``keys`` ascend and hold all paths of their last two bytes of context. ``one``: counts
+    of (byte, symbol), 256 x 256; ``zero``: counts of symbols, 256. Contexts of two bytes
+    are summed up first; then the paths are taken in batches that share three bytes.
     """
-    levels: dict[int, Level] = {}
+    short = ((keys >> U(8 * (order - 1))) << U(8)) | (keys & U(255))
+    branch, inverse = np.unique(short, return_inverse=True)
+    two = Level(branch, np.bincount(inverse, weights=counts, minlength=len(branch)).astype(np.int64))
+    del inverse, short
+    if order == 2:
+        return _batch_costs(keys, counts, order, two, one, zero)
+    third = keys >> U(8 * (order - 2))
+    ends = np.concatenate([np.flatnonzero(third[1:] != third[:-1]) + 1, [len(keys)]])
+    out, lo = np.empty(len(keys)), 0
+    while lo < len(keys):
+        hi = int(ends[min(np.searchsorted(ends, lo + BATCH), len(ends) - 1)])
+        out[lo:hi] = _batch_costs(keys[lo:hi], counts[lo:hi], order, two, one, zero)
+        lo = hi
+    return out
+
+
+def _batch_costs(keys: np.ndarray, counts: np.ndarray, order: int, two: Level, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    levels: dict[int, Level] = {2: two}
     where: dict[int, np.ndarray] = {}  # branch of each path at a level
     symbol = keys & U(255)
     for m in range(order, 1, -1):
         short = ((keys >> U(8 * (order + 1 - m))) << U(8)) | symbol
+        if m == 2:
+            where[m] = np.searchsorted(two.branch, short)
+            continue
         branch, inverse = np.unique(short, return_inverse=True)
         levels[m] = Level(branch, np.bincount(inverse, weights=counts, minlength=len(branch)).astype(np.int64))
         where[m] = inverse
@@ -134,7 +163,7 @@ def path_costs(keys: np.ndarray, counts: np.ndarray, order: int, one: np.ndarray
 
     def step(c, total, distinct):
         """Codes the symbol or an escape in contexts with these counts, less the excluded ones."""
-        nonlocal cost, open_
+        nonlocal open_
         t, d = total - ex_total, distinct - ex_distinct
         found = open_ & (c > 0)
         cost[found] += np.log10((2 * c[found] - 1) / (2 * t[found]))
@@ -198,12 +227,12 @@ def score_documents(
 
     Learns from rows whose crc32(id) mod ``mod`` is not ``held``.
     """
-    if not 2 <= order <= 7:
-        raise ValueError("order must be 2 to 7")
+    if not 2 <= order <= 6:
+        raise ValueError("order must be 2 to 6")
     import zlib
 
     scratch = Scratch(spark, "lm")
-    chunks = pack(scratch, docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    chunks = pack(scratch, docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chunk_bytes=CHUNK_BYTES)
     size = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(16, min(2048, bucket_count(size // 8)))
     word_buckets = bucket_count(size // 24)
@@ -243,7 +272,7 @@ def score_documents(
         return keys[by], counts[by], b[by]
 
     def by_word(c: Corpus):
-        keys = np.concatenate([c.words, np.full(len(c.ids), END_WORD)])
+        keys = np.concatenate([c.words >> U(1), np.full(len(c.ids), END_WORD)])
         of = np.concatenate([c.word_of, np.arange(len(c.ids))])
         return keys, of, *_distinct(keys, c.train[of])
 
@@ -256,7 +285,7 @@ def score_documents(
                 cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
                 out += [(int(b[lo]), _squeeze(keys[lo:hi], counts[lo:hi])) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 _, _, keys, counts = by_word(c)
-                out += [(buckets + w, _squeeze(keys[lo:hi], counts[lo:hi])) for w, lo, hi in by_bucket(keys, word_buckets)]
+                out += [(buckets + w, _squeeze(keys[lo:hi], counts[lo:hi])) for w, lo, hi in by_bucket(keys << U(1), word_buckets)]
                 yield pd.DataFrame({"chunk": row["chunk"], "bucket": [x for x, _ in out], "payload": [y for _, y in out]})
 
     def reply(f: pd.DataFrame) -> pd.DataFrame:
