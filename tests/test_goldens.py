@@ -178,3 +178,11 @@ def test_streamed_features(spark, tmp_path):
     s.process(df.where("game >= 3"), 1)  # run again after a failure
     got = {r["game"]: r["rolling_mean_points3"] for r in spark.read.parquet(f"{tmp_path}/features").collect()}
     assert got == {r["game"]: r["rolling_mean_points3"] for r in g.transform(df).collect()}
+
+
+def test_missing_targets_are_filled(spark):
+    data = [(float(k), 2.0 * k + 1 if k % 3 else None) for k in range(12)] + [(20.0, float("nan"))]
+    df = spark.createDataFrame(data, "a double, target double")
+    got = estimators.Imputed(estimators.Model("linear", "target", features=("a",))).fit(df).transform(df)
+    assert {r["a"]: pytest.approx(r["target"], abs=1e-3) for r in got.collect()} == {**{float(k): 2.0 * k + 1 for k in range(12)}, 20.0: 41.0}
+    assert got.columns == df.columns

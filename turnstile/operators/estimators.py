@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Roles
-from ..functions.frames import clip
+from ..functions.frames import clip, finite
 from .shaping import Filter, apply_filters, constant_target, match_number, reduce_groups
 
 KINDS = {
@@ -249,6 +249,27 @@ class _Residual:
         return out.withColumn(self.alias, F.col(self.fitted.model.target) - F.col(self.fitted.model.output))
 
 
+@dataclass(frozen=True)
+class Imputed:
+    """The target where it is a finite number, else its prediction from the other columns."""
+
+    model: Model
+
+    def fit(self, df: DataFrame):
+        t = self.model.target
+        return _FittedImputed(replace(self.model, output="__filled").fit(df.withColumn(t, finite(F.col(t)))))
+
+
+@dataclass(frozen=True)
+class _FittedImputed:
+    fitted: FittedModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        t = self.fitted.model.target
+        out = self.fitted.transform(df)
+        return out.withColumn(t, F.coalesce(finite(F.col(t)), F.col("__filled"))).drop("__filled")
+
+
 @dataclass(frozen=True)
 class Ratio:
     """A row's prediction over its group's; the group model learns from group means."""

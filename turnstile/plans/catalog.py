@@ -651,6 +651,12 @@ def net_over_predicted(spark, sf):
     return out(est.NetOverPredicted(FORM).fit(df).transform(df), ["event_id"], ["net_over_predicted"])
 
 
+@query()
+def imputed_by_model(spark, sf):
+    df = modelled(spark, sf).withColumn("value", F.when(F.col("event_id") % 9 != 0, F.col("value")))
+    return out(est.Imputed(FORM).fit(df).transform(df), ["event_id"], ["value"])
+
+
 @query()
 def ratio_to_group(spark, sf):
     df = modelled(spark, sf).fillna({"form": 0.0}).withColumn("day", F.to_date("ts"))
