@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from .chunks import NULL_ID, U, Chunk, bucket_count, by_bucket, mix64, pack, with_answers
 from .common import Scratch, table
 
-ORDER = 6
+ORDER = 5
 CHUNK_BYTES = 2 << 20
 BATCH = 200_000
+STEPS = 4096  # code lengths travel in this part of a digit, as 16-bit numbers: up to 16 digits a symbol
 END = 10  # a line feed: no word holds one
 END_WORD = U(0x656E64)  # the key of the end token
 _MASK = (1 << 64) - 1
@@ -293,13 +294,17 @@ def score_documents(
         bucket = int(f["bucket"].iloc[0])
         own, keys, counts = _merge(f["payload"].tolist())
         if bucket < buckets:
-            found = path_costs(keys, counts, order, one, zero).astype("<f4")
+            found = np.minimum(np.rint(path_costs(keys, counts, order, one, zero) * -STEPS), 65_535).astype("<u2")
             known = 0
         else:
             found = np.minimum(counts, (1 << 32) - 1).astype("<u4")
             known = int((counts > 0).sum())
         squeeze = zstandard.ZstdCompressor(level=1)
-        out = pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "payload": [squeeze.compress(found[np.searchsorted(keys, k)].tobytes()) for k in own], "known": None})
+
+        def planes(x: np.ndarray) -> bytes:
+            return squeeze.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+        out = pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "payload": [planes(found[np.searchsorted(keys, k)]) for k in own], "known": None})
         return pd.concat([out, pd.DataFrame({"chunk": [None], "bucket": [bucket], "payload": [None], "known": [known]})])
 
     messages = chunks.mapInPandas(ask, "chunk long, bucket int, payload binary")
@@ -313,13 +318,19 @@ def score_documents(
             for _, row in f.iterrows():
                 c = read(row)
                 d = zstandard.ZstdDecompressor()
-                costs = np.frombuffer(b"".join(d.decompress(p[1:]) for p in row["answers"] if p[:1] == b"c"), "<f4")
-                seen = np.frombuffer(b"".join(d.decompress(p[1:]) for p in row["answers"] if p[:1] == b"w"), "<u4")
+
+                def joined(kind: bytes, dtype: str) -> np.ndarray:
+                    parts = (np.frombuffer(d.decompress(p[1:]), np.uint8) for p in row["answers"] if p[:1] == kind)
+                    whole = [np.ascontiguousarray(p.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1) for p in parts]
+                    return np.concatenate(whole) if whole else np.zeros(0, dtype)
+
+                costs = joined(b"c", "<u2") / -STEPS
+                seen = joined(b"w", "<u4")
                 keys, _, _ = by_context(c)
                 order_ = np.argsort(keys, kind="stable")
                 at = order_[np.searchsorted(keys[order_], c.keys)]
                 n = len(c.ids)
-                score = np.bincount(c.of, weights=costs[at].astype(float), minlength=n)
+                score = np.bincount(c.of, weights=costs[at], minlength=n)
                 keys, of, distinct_words, _ = by_word(c)
                 count = seen[np.searchsorted(distinct_words, keys)].astype(float)
                 base = np.bincount(of, weights=np.log10(count + 1), minlength=n) - (c.n_words + 1) * floor
