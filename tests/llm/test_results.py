@@ -247,6 +247,19 @@ def test_wrappers_leave_chrome_out():
     assert runs[0][2][0][:2] == ["(", "+"]
 
 
+def pages_of(spark, htmls, url="http://h.example/"):
+    df = spark.createDataFrame([(k, url + str(k), h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html.main_texts(spark, df).collect(), key=lambda r: r["page_id"])]
+
+
+def test_wrapper_tells_template_slots(spark):
+    page = "<body><article><h1>T{0}</h1><ul><li>Home<li>About us</ul><p>Text {0}</p><div class='x'>Always here</div>{1}</article></body>"
+    htmls = [page.format(k, "<h6>Seldom</h6>" if k < 3 else "") for k in range(8)]
+    want = [f"T{k} Text {k}" + (" Seldom" if k < 3 else "") for k in range(8)]
+    assert pages_of(spark, htmls) == want  # constant on 3 of 8 pages and optional: kept
+    assert pages_of(spark, htmls[:1] * 5) == ["T0 Home About us Text 0 Always here Seldom"] * 5  # copies of one page
+
+
 def test_mixing_targets(spark):
     rows = run(spark, "op8_mixing")
     src = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
