@@ -105,6 +105,13 @@ def test_lm_base_scores_and_gain(spark, texts):
     assert sum(r["score"] for r in out) > 0.75 * flat
 
 
+def test_lm_reads_six_bytes_of_context(spark):
+    rows = [(k, " ".join(f"{c}bcdef{d}" for c, d in ("au", "gv", "hw", "ix") * 20)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total = lambda **how: sum(r["score"] for r in lm.score_documents(spark, df, **how).collect() if r["held_out"])
+    assert total() == pytest.approx(total(order=6)) and total() > 0.5 * total(order=5)
+
+
 def test_lm_probabilities_add_up():
     order, rng = 3, random.Random(3)
     text = bytes(rng.choice(b"abcd \n") for _ in range(500))

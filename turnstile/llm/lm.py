@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .chunks import NULL_ID, U, Chunk, bucket_count, by_bucket, mix64, pack, with_answers
 from .common import Scratch, table
 
-ORDER = 5
+ORDER = 6
 CHUNK_BYTES = 2 << 20
 BATCH = 200_000
 STEPS = 4096  # code lengths travel in this part of a digit, as 16-bit numbers: up to 16 digits a symbol
