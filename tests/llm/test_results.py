@@ -267,6 +267,17 @@ def test_wrapper_tells_template_slots(spark):
     assert pages_of(spark, htmls[:1] * 5) == ["T0 Home About us Text 0 Always here Seldom"] * 5  # copies of one page
 
 
+def test_chrome_words_spare_the_text():
+    text = "<p>" + "word " * 30 + "</p>"
+    want = ("word " * 30).strip()
+    for tag in ('div class="layout has-sidebar"', 'div id="content-with-comments"', 'form id="aspnetForm"'):
+        end = tag.split()[0]
+        assert html.extract(f"<body><nav>Menu</nav><{tag}><article>{text}</article></{end}></body>", None) == want
+        assert html.extract(f"<body><nav>Menu</nav><{tag}><div class=sidebar>Links</div>{text}</{end}></body>", None) == want
+    for name in ("alert", "notice", "legal", "discussion", "related", "social"):
+        assert html.extract(f"<article>{text}<div class={name}>Real</div><div class=ad>Buy</div></article>", None) == want + " Real"
+
+
 def test_mixing_targets(spark):
     rows = run(spark, "op8_mixing")
     src = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
