@@ -278,6 +278,13 @@ def test_chrome_words_spare_the_text():
         assert html.extract(f"<article>{text}<div class={name}>Real</div><div class=ad>Buy</div></article>", None) == want + " Real"
 
 
+def test_unclosed_raw_elements_keep_the_text():
+    assert html.extract("<article><p>One <svg width='1'/> two</p><p>Three</p><svg><text>no</text></svg><p>Four</p></article>", None) == "One two Three Four"
+    for tag in ("svg", "template", "noscript"):
+        assert html.extract(f"<article><p>One</p><{tag}><p>Two</p></article>", None) == "One Two"
+    assert html.extract("<article><p>One</p><script>no <p>no", None) == "One"
+
+
 def test_mixing_targets(spark):
     rows = run(spark, "op8_mixing")
     src = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
