@@ -285,6 +285,14 @@ def test_unclosed_raw_elements_keep_the_text():
     assert html.extract("<article><p>One</p><script>no <p>no", None) == "One"
 
 
+def test_all_sibling_articles_are_text(spark):
+    both = "<body><article class='post news'><p>Lead</p></article><article class='post sports'><p>Body of it</p></article><div>Else</div></body>"
+    assert html.extract(both, None) == "Lead Body of it"
+    assert html.extract("<main><p>Intro</p><article><p>Text</p></article></main>", None) == "Intro Text"
+    one = "<body><article class='post sports'><p>Only {}</p></article></body>"
+    assert pages_of(spark, [both, one.format(1), one.format(2)]) == ["Lead Body of it", "Only 1", "Only 2"]
+
+
 def test_mixing_targets(spark):
     rows = run(spark, "op8_mixing")
     src = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
