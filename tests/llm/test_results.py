@@ -112,22 +112,53 @@ def test_lm_reads_six_bytes_of_context(spark):
     assert total() == pytest.approx(total(order=6)) and total() > 0.5 * total(order=5)
 
 
-def test_lm_probabilities_add_up():
-    order, rng = 3, random.Random(3)
-    text = bytes(rng.choice(b"abcd \n") for _ in range(500))
-    grams = Counter(text[i - order : i + 1] for i in range(order, len(text)))
-    one = np.zeros((256, 256), np.int64)
-    for g, k in grams.items():
-        one[g[-2], g[-1]] += k
-    zero = one.sum(0)
-    key = lambda ctx, s: sum(b << (8 * (order - k)) for k, b in enumerate(reversed(ctx))) | s
-    for ctx in (text[10:13], text[10:11] + b"zb", b"zzz"):
-        same = [g for g in grams if g[-3:-1] == ctx[-2:]]
-        asked = sorted({key(g[:-1], g[-1]): grams[g] for g in same}.items() | {(key(ctx, s), grams.get(ctx + bytes([s]), 0)) for s in range(256)})
-        keys = np.array([k for k, _ in asked], np.uint64)
-        cost = lm.path_costs(keys, np.array([n for _, n in asked]), order, one, zero)
-        own = {int(k): x for k, x in zip(keys, cost)}
-        assert sum(10 ** own[key(ctx, s)] for s in range(256)) == pytest.approx(1.0, abs=1e-9)
+def symbols(text):
+    return b" ".join(lower(text).encode().split()) + b"\n"
+
+
+class Trie:
+    """Static prediction by partial matching from plain dictionaries of contexts."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for t in texts:
+            raw = b"\n" * order + symbols(t)
+            for i in range(order, len(raw)):
+                for m in range(order + 1):
+                    self.seen.setdefault(raw[i - m : i], Counter())[raw[i]] += 1
+
+    def p(self, past, s):
+        out, gone = 1.0, set()
+        for m in range(self.order, -1, -1):
+            own = self.seen.get(past[len(past) - m :], {})
+            live = {k: v for k, v in own.items() if k not in gone}
+            if not live:
+                continue
+            total = 2 * sum(live.values())
+            if s in live:
+                return out * (2 * live[s] - 1) / total
+            out *= len(live) / total
+            gone = set(own)
+        return out / (256 - len(self.seen.get(b"", {})))
+
+    def score(self, text):
+        raw = b"\n" * self.order + symbols(text)
+        return sum(math.log10(self.p(raw[i - self.order : i], raw[i])) for i in range(self.order, len(raw)))
+
+
+@pytest.mark.parametrize("order", [3, 6])
+def test_lm_scores_against_plain_dictionaries(spark, texts, order):
+    some = dict(sorted(texts.items())[:60]) | {10**6: "zq\x01 xj\u00ff", 10**6 + 5: None}
+    trie = Trie([t for k, t in some.items() if zlib.crc32(str(k).encode()) % 7 != 2], order)
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark, df, order=order).collect()}
+    assert got == {k: pytest.approx(trie.score(t), rel=1e-9) for k, t in some.items()}
+
+
+def test_lm_probabilities_add_up(spark, texts):
+    trie = Trie(list(texts.values())[:30], 3)
+    for past in (b"the", b"\n\n\n", b"zzz", b"\xc3\xa9 "):
+        assert sum(trie.p(past, s) for s in range(256)) == pytest.approx(1.0, abs=1e-9)
     assert lm.adaptive_code_length("abababababababab") > lm.adaptive_code_length("qwmznxbvlaksjdhf")
 
 

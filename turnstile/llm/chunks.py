@@ -148,7 +148,7 @@ class Chunk:
 
 def bucket_count(keys: int) -> int:
     """A power of two of buckets, about KEYS_PER_BUCKET keys each."""
-    want = max(16, min(1 << 16, keys // KEYS_PER_BUCKET + 1))
+    want = max(16, keys // KEYS_PER_BUCKET + 1)
     return 1 << (want - 1).bit_length()
 
 

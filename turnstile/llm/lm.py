@@ -11,9 +11,11 @@ comes a uniform code. The code lengths add up to a text's log10 probability.
 
 Neither trie nor word counts are ever gathered in one place. Every chunk of documents asks
 for the paths and words it holds, with its own training counts; a bucket of the key space
-adds up the counts of all chunks, works out the probabilities, and answers each chunk.
-Paths meet by their last two bytes of context. Only the counts of symbols after no or one
-byte of context (at most 257 x 256 numbers) are collected.
+adds up the counts of all chunks and answers each chunk with the probability of each of its
+paths as a product of fractions of whole numbers, without rounding. Paths meet by their
+last three bytes of context. The counts of symbols after up to two bytes of context (a table of 2^24 cells,
+of which texts of some languages fill a few ten thousand) are summed in a tree and sent
+to every task.
 
 ``adaptive_code_length`` is the same code learnt while reading one text.
 
@@ -25,6 +27,7 @@ code; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +42,9 @@ from .common import Scratch, table
 ORDER = 6
 CHUNK_BYTES = 2 << 20
 BATCH = 200_000
-STEPS = 4096  # code lengths travel in this part of a digit, as 16-bit numbers: up to 16 digits a symbol
+TREE = 64  # partial sums that meet in one task of the tree of short contexts
 END = 10  # a line feed: no word holds one
 END_WORD = U(0x656E64)  # the key of the end token
-_MASK = (1 << 64) - 1
 
 
 class Corpus:
@@ -88,20 +90,53 @@ def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys as differences, in planes of bytes, with their counts."""
     gaps = np.diff(keys, prepend=U(0)).astype("<u8")
     planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
-    more = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    more = np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(planes + more)
 
 
 def _expand(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8).reshape(12, -1)
-    gaps = np.ascontiguousarray(raw[:8].T).view("<u8").reshape(-1)
-    return np.cumsum(gaps.astype(U), dtype=U), np.ascontiguousarray(raw[8:].T).view("<u4").reshape(-1).astype(np.int64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8).reshape(16, -1)
+    gaps, counts = (np.ascontiguousarray(x.T).view("<u8").reshape(-1) for x in (raw[:8], raw[8:]))
+    return np.cumsum(gaps.astype(U), dtype=U), counts.astype(np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, in as few bytes each as the largest needs."""
+    size = next(k for k in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * k))
+    raw = values.astype(f"<u{size}").view(np.uint8).reshape(-1, size)
+    return zstandard.ZstdCompressor(level=1).compress(bytes([size]) + np.ascontiguousarray(raw.T).tobytes())
+
+
+def _from_planes(payload: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1).T).view(f"<u{raw[0]}").reshape(-1)
+
+
+def _coded(arrays: list[np.ndarray]) -> bytes:
+    parts = [_planes(x) for x in arrays]
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+
+
+def _decoded(payload: bytes, n: int) -> list[np.ndarray]:
+    sizes, at, out = struct.unpack_from(f"<{n}I", payload), 4 * n, []
+    for size in sizes:
+        out.append(_from_planes(payload[at : at + size]))
+        at += size
+    return out
+
+
+def _taken(which: np.ndarray, per: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of all entries of the items ``which``; ``per``: entries of each item, ``first``: its first one."""
+    n = per[which]
+    return np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def _merge(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     own = [_expand(p) for p in payloads]
     k = np.concatenate([a for a, _ in own])
     n = np.concatenate([b for _, b in own])
+    if not len(k):
+        return [a for a, _ in own], k, n
     order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -122,76 +157,92 @@ class Level:
         self.n = len(first)
 
 
-def path_costs(keys: np.ndarray, counts: np.ndarray, order: int, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """log10 probability of each path (order bytes of context, symbol).
+class Short:
+    """The trie down to two bytes of context, from ``keys`` (two bytes, symbol) and their training counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys.astype(U), counts
+        ctx, symbol = (keys >> 8).astype(np.int64), (keys & 255).astype(np.int64)
+        self.one = np.bincount((ctx >> 8 << 8) | symbol, weights=counts, minlength=1 << 16).astype(np.int64).reshape(256, 256)
+        self.zero = self.one.sum(0)
+        self.total = np.bincount(ctx, weights=counts, minlength=1 << 16).astype(np.int64)
+        self.distinct = np.bincount(ctx, minlength=1 << 16)
+        self.below = np.bincount(ctx, weights=self.one[ctx >> 8, symbol], minlength=1 << 16).astype(np.int64)  # what its symbols weigh one byte shorter
 
-    ``keys`` ascend and hold all paths of their last two bytes of context. ``one``: counts
-    of (byte, symbol), 256 x 256; ``zero``: counts of symbols, 256. Contexts of two bytes
-    are summed up first; then the paths are taken in batches that share three bytes.
+    def count(self, ctx_symbol: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(ctx_symbol), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, ctx_symbol), len(self.keys) - 1)
+        return np.where(self.keys[at] == ctx_symbol, self.counts[at], 0)
+
+
+def path_codes(keys: np.ndarray, counts: np.ndarray, order: int, short: Short) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The probability of each path (order bytes of context, symbol) as a product of fractions:
+    how many each path has, their numerators and denominators, path after path.
+
+    ``keys`` ascend and hold all paths of their last three bytes of context; they are taken
+    in batches that don't cut such a context.
     """
-    short = ((keys >> U(8 * (order - 1))) << U(8)) | (keys & U(255))
-    branch, inverse = np.unique(short, return_inverse=True)
-    two = Level(branch, np.bincount(inverse, weights=counts, minlength=len(branch)).astype(np.int64))
-    del inverse, short
-    if order == 2:
-        return _batch_costs(keys, counts, order, two, one, zero)
     third = keys >> U(8 * (order - 2))
     ends = np.concatenate([np.flatnonzero(third[1:] != third[:-1]) + 1, [len(keys)]])
-    out, lo = np.empty(len(keys)), 0
+    out, lo = [], 0
     while lo < len(keys):
         hi = int(ends[min(np.searchsorted(ends, lo + BATCH), len(ends) - 1)])
-        out[lo:hi] = _batch_costs(keys[lo:hi], counts[lo:hi], order, two, one, zero)
+        out.append(_batch_codes(keys[lo:hi], counts[lo:hi], order, short))
         lo = hi
-    return out
+    per, num, den = (np.concatenate(x) for x in zip(*out))
+    return per, num, den
+
+
+def path_costs(per: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray:
+    """log10 of the products of ``path_codes``."""
+    return np.bincount(np.repeat(np.arange(len(per)), per), weights=np.log10(num / den), minlength=len(per))
 
 
-def _batch_costs(keys: np.ndarray, counts: np.ndarray, order: int, two: Level, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    levels: dict[int, Level] = {2: two}
+def _batch_codes(keys: np.ndarray, counts: np.ndarray, order: int, short: Short) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    levels: dict[int, Level] = {}
     where: dict[int, np.ndarray] = {}  # branch of each path at a level
     symbol = keys & U(255)
-    for m in range(order, 1, -1):
-        short = ((keys >> U(8 * (order + 1 - m))) << U(8)) | symbol
-        if m == 2:
-            where[m] = np.searchsorted(two.branch, short)
-            continue
-        branch, inverse = np.unique(short, return_inverse=True)
-        levels[m] = Level(branch, np.bincount(inverse, weights=counts, minlength=len(branch)).astype(np.int64))
-        where[m] = inverse
-    cost = np.zeros(len(keys))
+    for m in range(order, 2, -1):
+        branch, where[m] = np.unique(((keys >> U(8 * (order + 1 - m))) << U(8)) | symbol, return_inverse=True)
+        levels[m] = Level(branch, np.bincount(where[m], weights=counts, minlength=len(branch)).astype(np.int64))
+    codes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = np.arange(len(keys))
     open_ = np.ones(len(keys), bool)
-    ex_total = np.zeros(len(keys))  # what the symbols of the longer context weigh in this one
-    ex_distinct = np.zeros(len(keys))
+    ex_total = np.zeros(len(keys), np.int64)  # what the symbols of the longer context weigh in this one
+    ex_distinct = np.zeros(len(keys), np.int64)
 
     def step(c, total, distinct):
         """Codes the symbol or an escape in contexts with these counts, less the excluded ones."""
         nonlocal open_
         t, d = total - ex_total, distinct - ex_distinct
         found = open_ & (c > 0)
-        cost[found] += np.log10((2 * c[found] - 1) / (2 * t[found]))
         miss = open_ & (c == 0) & (t > 0)
-        cost[miss] += np.log10(d[miss] / (2 * t[miss]))
+        for at, num in ((found, 2 * c - 1), (miss, d)):
+            codes.append((rows[at], num[at], 2 * t[at]))
         open_ &= ~found
 
-    for m in range(order, 1, -1):
+    for m in range(order, 2, -1):
         lv, at = levels[m], where[m]
         node = lv.node[at]
         step(lv.counts[at], lv.total[node], lv.distinct[node])
         # Exclusion for the next shorter context: its counts of the symbols seen here.
-        if m > 2:
-            low = levels[m - 1]
-            parent = np.searchsorted(low.branch, ((lv.branch >> U(16)) << U(8)) | (lv.branch & U(255)))
-            below = low.counts[parent]
-        else:
-            below = one[(lv.branch >> U(16)).astype(np.int64), (lv.branch & U(255)).astype(np.int64)]
-        weight = np.bincount(lv.node, weights=np.where(lv.counts > 0, below, 0), minlength=lv.n)
-        ex_total, ex_distinct = weight[node], lv.distinct[node].astype(float)
-    byte, sym = (keys >> U(8 * order)).astype(np.int64), symbol.astype(np.int64)
-    step(one[byte, sym], one.sum(1)[byte], (one > 0).sum(1)[byte])
-    ex_total = ((one > 0) @ zero)[byte].astype(float)
-    ex_distinct = (one > 0).sum(1)[byte].astype(float)
+        less = ((lv.branch >> U(16)) << U(8)) | (lv.branch & U(255))
+        below = levels[m - 1].counts[np.searchsorted(levels[m - 1].branch, less)] if m > 3 else short.count(less)
+        weight = np.bincount(lv.node, weights=np.where(lv.counts > 0, below, 0), minlength=lv.n).astype(np.int64)
+        ex_total, ex_distinct = weight[node], lv.distinct[node]
+    two, sym = (keys >> U(8 * (order - 1))).astype(np.int64), symbol.astype(np.int64)
+    step(short.count((two.astype(U) << U(8)) | symbol), short.total[two], short.distinct[two])
+    ex_total, ex_distinct = short.below[two], short.distinct[two]
+    one, zero = short.one, short.zero
+    byte, seen = two >> 8, one > 0
+    step(one[byte, sym], one.sum(1)[byte], seen.sum(1)[byte])
+    ex_total, ex_distinct = (seen @ zero)[byte], seen.sum(1)[byte]
     step(zero[sym], np.full(len(keys), zero.sum()), np.full(len(keys), (zero > 0).sum()))
-    cost[open_] -= np.log10(np.maximum(256 - (zero > 0).sum(), 1))
-    return cost
+    codes.append((rows[open_], np.ones(int(open_.sum()), np.int64), np.full(int(open_.sum()), max(256 - int((zero > 0).sum()), 1))))
+    at, num, den = (np.concatenate(x) for x in zip(*codes))
+    by = np.argsort(at, kind="stable")
+    return np.bincount(at, minlength=len(keys)), num[by], den[by]
 
 
 def adaptive_code_length(text: str, order: int = ORDER) -> float:
@@ -228,47 +279,23 @@ def score_documents(
 
     Learns from rows whose crc32(id) mod ``mod`` is not ``held``.
     """
-    if not 2 <= order <= 6:
-        raise ValueError("order must be 2 to 6")
+    if not 3 <= order <= 6:
+        raise ValueError("order must be 3 to 6")
     import zlib
 
     scratch = Scratch(spark, "lm")
     chunks = pack(scratch, docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chunk_bytes=CHUNK_BYTES)
     size = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = max(16, min(2048, bucket_count(size // 8)))
-    word_buckets = bucket_count(size // 24)
+    buckets, word_buckets = bucket_count(size // 8), bucket_count(size // 24)
 
     def read(row) -> Corpus:
         held_out = [i != NULL_ID and zlib.crc32(str(i).encode()) % mod == held for i in map(int, row["ids"])]
         return Corpus(row["ids"], row["lens"], row["blob"], held_out, order)
 
-    def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(1 << 16, np.int64)
-        tokens = 0
-        for f in frames:
-            for _, row in f.iterrows():
-                c = read(row)
-                k = c.keys[c.train[c.of]]
-                sums += np.bincount(((k >> U(8 * order)) << U(8) | (k & U(255))).astype(np.int64), minlength=1 << 16)
-                tokens += int((c.n_words[c.train] + 1).sum())
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"k": [*at.tolist(), -1], "n": [*sums[at].tolist(), tokens]})
-
-    one = np.zeros(1 << 16, np.int64)
-    train_tokens = 0
-    for r in chunks.mapInPandas(short, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most 65,537 rows
-        if r["k"] < 0:
-            train_tokens = r["n"]
-        else:
-            one[r["k"]] = r["n"]
-    one = one.reshape(256, 256)
-    zero = one.sum(0)
-    deal = (mix64(np.arange(1 << 16, dtype=U)) % U(buckets)).astype(np.int64)  # bucket of two bytes of context
-
     def by_context(c: Corpus):
         """Distinct paths in the order they are asked for, with their training counts and buckets."""
         keys, counts = _distinct(c.keys, c.train[c.of])
-        b = deal[(keys >> U(8 * (order - 1))).astype(np.int64)]
+        b = (mix64(keys >> U(8 * (order - 2))) % U(buckets)).astype(np.int64)
         by = np.argsort(b, kind="stable")
         return keys[by], counts[by], b[by]
 
@@ -277,55 +304,70 @@ def score_documents(
         of = np.concatenate([c.word_of, np.arange(len(c.ids))])
         return keys, of, *_distinct(keys, c.train[of])
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What chunks ask about words (bucket 0 on), and the partition's short contexts (-2) and tokens (-1)."""
+        from pyspark import TaskContext
+
+        sums, tokens, part = np.zeros(0, U), 0, TaskContext.get().partitionId()
+        counts = np.zeros(0, np.int64)
         for f in frames:
             for _, row in f.iterrows():
                 c = read(row)
-                out = []
-                keys, counts, b = by_context(c)
-                cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
-                out += [(int(b[lo]), _squeeze(keys[lo:hi], counts[lo:hi])) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                _, _, keys, counts = by_word(c)
-                out += [(buckets + w, _squeeze(keys[lo:hi], counts[lo:hi])) for w, lo, hi in by_bucket(keys << U(1), word_buckets)]
-                yield pd.DataFrame({"chunk": row["chunk"], "bucket": [x for x, _ in out], "payload": [y for _, y in out]})
+                k = c.keys[c.train[c.of]]
+                k, n = np.unique((k >> U(8 * (order - 1))) << U(8) | (k & U(255)), return_counts=True)
+                sums, at = np.unique(np.concatenate([sums, k]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(sums)).astype(np.int64)
+                tokens += int((c.n_words[c.train] + 1).sum())
+                _, _, keys, n = by_word(c)
+                out = [(w, _squeeze(keys[lo:hi], n[lo:hi])) for w, lo, hi in by_bucket(keys << U(1), word_buckets)]
+                yield pd.DataFrame({"chunk": row["chunk"], "bucket": [x for x, _ in out], "payload": [y for _, y in out], "n": 0})
+        yield pd.DataFrame({"chunk": part, "bucket": [-2, -1], "payload": [_squeeze(sums, counts), None], "n": [0, tokens]})
 
-    def reply(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("chunk")
-        bucket = int(f["bucket"].iloc[0])
+    kind = "chunk long, bucket int, payload binary, n long"
+    asked = scratch.cut(chunks.mapInPandas(first_pass, kind))
+    train_tokens = asked.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
+    short = _short_contexts(asked.where("bucket = -2").select("chunk", "payload"))
+
+    def word_reply(f: pd.DataFrame) -> pd.DataFrame:
         own, keys, counts = _merge(f["payload"].tolist())
-        if bucket < buckets:
-            found = np.minimum(np.rint(path_costs(keys, counts, order, one, zero) * -STEPS), 65_535).astype("<u2")
-            known = 0
-        else:
-            found = np.minimum(counts, (1 << 32) - 1).astype("<u4")
-            known = int((counts > 0).sum())
-        squeeze = zstandard.ZstdCompressor(level=1)
+        out = pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "payload": [b"w" + _coded([counts[np.searchsorted(keys, k)]]) for k in own], "n": 0})
+        return pd.concat([out, pd.DataFrame({"chunk": [-1], "bucket": [-1], "payload": [None], "n": [int((counts > 0).sum())]})])
 
-        def planes(x: np.ndarray) -> bytes:
-            return squeeze.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    words = scratch.cut(asked.where("bucket >= 0").groupBy("bucket").applyInPandas(word_reply, kind))
+    scratch.drop(asked)
+    distinct = words.where("chunk < 0").agg(F.sum("n")).first()[0] or 0
+    floor = math.log10(train_tokens + distinct + 1)
 
-        out = pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "payload": [planes(found[np.searchsorted(keys, k)]) for k in own], "known": None})
-        return pd.concat([out, pd.DataFrame({"chunk": [None], "bucket": [bucket], "payload": [None], "known": [known]})])
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for _, row in f.iterrows():
+                keys, counts, b = by_context(read(row))
+                cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
+                out = [(int(b[lo]), _squeeze(keys[lo:hi], counts[lo:hi])) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()) if hi > lo]
+                yield pd.DataFrame({"chunk": row["chunk"], "bucket": [x for x, _ in out], "payload": [y for _, y in out]})
 
-    messages = chunks.mapInPandas(ask, "chunk long, bucket int, payload binary")
-    replies = scratch.cut(messages.groupBy("bucket").applyInPandas(reply, "chunk long, bucket int, payload binary, known long"))
-    distinct = replies.where("chunk IS NULL").agg(F.sum("known")).first()[0] or 0
-    answers = replies.where("chunk IS NOT NULL").withColumn("payload", F.concat(F.when(F.col("bucket") < buckets, F.lit(b"c")).otherwise(F.lit(b"w")), "payload"))
-    floor = math.log10(train_tokens + distinct + 1)
+    def reply(f: pd.DataFrame) -> pd.DataFrame:
+        own, keys, counts = _merge(f["payload"].tolist())
+        per, num, den = path_codes(keys, counts, order, Short(*short))
+        first = np.cumsum(per) - per
+        out = []
+        for k in own:
+            which = np.searchsorted(keys, k)
+            at = _taken(which, per, first)
+            out.append(b"c" + _coded([per[which], num[at], den[at]]))
+        return pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "payload": out})
+
+    kind = "chunk long, bucket int, payload binary"
+    answers = chunks.mapInPandas(ask, kind).groupBy("bucket").applyInPandas(reply, kind)
+    answers = answers.unionByName(words.where("chunk >= 0").select("chunk", (F.col("bucket") + buckets).alias("bucket"), "payload"))
 
     def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for _, row in f.iterrows():
                 c = read(row)
-                d = zstandard.ZstdDecompressor()
-
-                def joined(kind: bytes, dtype: str) -> np.ndarray:
-                    parts = (np.frombuffer(d.decompress(p[1:]), np.uint8) for p in row["answers"] if p[:1] == kind)
-                    whole = [np.ascontiguousarray(p.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1) for p in parts]
-                    return np.concatenate(whole) if whole else np.zeros(0, dtype)
 
-                costs = joined(b"c", "<u2") / -STEPS
-                seen = joined(b"w", "<u4")
+                costs = np.concatenate([np.zeros(0), *(path_costs(*_decoded(p[1:], 3)) for p in row["answers"] if p[:1] == b"c")])
+                seen = np.concatenate([np.zeros(0, np.int64), *(_decoded(p[1:], 1)[0] for p in row["answers"] if p[:1] == b"w")])
                 keys, _, _ = by_context(c)
                 order_ = np.argsort(keys, kind="stable")
                 at = order_[np.searchsorted(keys[order_], c.keys)]
@@ -344,6 +386,21 @@ def score_documents(
     return with_answers(chunks, answers).mapInPandas(add_up, schema)
 
 
+def _short_contexts(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the partitions' (two bytes of context, symbol) counts: a few partitions a task, round after round."""
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        _, keys, counts = _merge(f["payload"].tolist())
+        return pd.DataFrame({"chunk": [int(f["chunk"].iloc[0]) // TREE], "payload": [_squeeze(keys, counts)]})
+
+    n = (parts.agg(F.max("chunk")).first()[0] or 0) + 1
+    while n > TREE:
+        parts = parts.groupBy(F.expr(f"chunk DIV {TREE}")).applyInPandas(add, "chunk long, payload binary")
+        n = -(-n // TREE)
+    got = [r["payload"] for r in parts.select("payload").collect()]  # at most TREE payloads
+    return _merge(got)[1:] if got else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model learnt from six sevenths of them."""
     return score_documents(spark, table(spark, sf_dir, "documents"))
