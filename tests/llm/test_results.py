@@ -298,6 +298,28 @@ def test_wrapper_tells_template_slots(spark):
     assert pages_of(spark, htmls[:1] * 5) == ["T0 Home About us Text 0 Always here Seldom"] * 5  # copies of one page
 
 
+def test_wrapper_finds_the_text_without_article_and_class_names(spark):
+    """Menu, text, advert and footer in elements of the same meaningless name: only the wrapper tells them apart."""
+    head = "<div class=q><ul><li>Start<li>Stories<li>Shop</ul></div>"
+    foot = "<div class=q><table><tr><td>Made by us<td>All rights</table></div>"
+    body = "<html><body><div class=a>{0}<div class=q><h2>Title {1}</h2><p>First words of {1}</p><p>More of {1}</p></div>{2}</div></body></html>"
+    htmls = [body.format(head if k != 3 else "", f"page{k}", foot) for k in range(8)]
+    want = [f"Title page{k} First words of page{k} More of page{k}" for k in range(8)]
+    assert pages_of(spark, htmls) == want
+    assert all("Made by us" in html.extract(h, None) for h in htmls)  # without the wrapper
+
+
+def test_deep_pages():
+    deep = "<div>" * 5000
+    assert html.extract(f"<nav>Menu</nav>{deep}<p>Text</p><aside>Aside <b>more</b></aside>", None) == "Text"
+    assert html.extract(f"{'<div>' * 400}<nav>{deep}Menu<p>Menu</p></nav><p>Text", None).endswith("Text")
+    wide = "".join(f"<p>a{k}</p><h2 class=c{k % 7}>b</h2><ul><li>c</ul>" * (k % 3) for k in range(4000))
+    e = html.expression(html.parse(wide))
+    assert html.align(e, html.expression(html.parse("<h1>x</h1>" + wide)))
+    own, found = html.outline(html.parse(wide))
+    assert min(html.matched(html.numbered(e), own, len(found))) >= 0
+
+
 def test_chrome_words_spare_the_text():
     text = "<p>" + "word " * 30 + "</p>"
     want = ("word " * 30).strip()
