@@ -86,11 +86,11 @@ def test_repeats(spark, docs, none):
 
 
 def test_mixing(spark, docs, none):
-    rows_, pieces, _ = mixing.mix(spark, docs)
-    taken = {r["rid"]: r["t"] for r in pieces.groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("t")).collect()}
-    for r in rows_.collect():
-        assert 0 <= taken.get(r["rid"], 0) <= 2 * r["size"]
-    assert rows_.count() == 9 and mixing.mix(spark, none)[0].count() == 0
+    m = mixing.mix(spark, docs)
+    taken = {r["uid"]: r["t"] for r in m.placed().groupBy("uid").agg(F.sum("words").alias("t")).collect()}
+    for r in m.rows.collect():
+        assert 0 <= taken.get(r["uid"], 0) <= 2 * r["size"]
+    assert m.rows.count() == 9 and mixing.mix(spark, none).rows.count() == 0
     texts = mixing.mixed_texts(spark, docs)
     assert texts.columns == docs.columns and mixing.mixed_texts(spark, none).count() == 0
 

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from turnstile.llm import catalog, html, lattice, lm
 from turnstile.llm.fingerprints import Fingerprint
@@ -178,6 +179,14 @@ def test_fingerprints(spark, texts):
     assert np.mean([r["near_edited"] > r["near_next"] for r in long]) > 0.97
 
 
+def test_fingerprints_by_ranges(spark):
+    from turnstile.llm import fingerprints
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = (sorted(fingerprints.fingerprints(spark, docs, rows_per_bucket=n).collect()) for n in (10_000, 7))
+    assert one == many
+
+
 def test_fingerprints_are_homomorphic():
     a, b, c = "first paragraph of some length", "second one, quite different", "third\ttoo"
     whole = Fingerprint.of(f"{a}\n{b}\n{c}")
@@ -186,6 +195,13 @@ def test_fingerprints_are_homomorphic():
     assert whole != Fingerprint.of(f"{a}\n{b}\n{b}")
 
 
+def test_fingerprints_of_very_repetitive_texts():
+    line = "one line of thirty-two bytes....\n"
+    half, whole, more = (Fingerprint.of(t) for t in (line * 32_768, line * 65_536, line * 65_536 + "and six words that are new"))
+    assert whole.likeness(half) >= 0.99 and whole.likeness(more) >= 0.99 and whole != half
+    assert Fingerprint.parse(whole.text()) == whole == half + half - Fingerprint.of("")
+
+
 def test_near_duplicates(spark, texts):
     sets = {}
     for k, t in texts.items():
@@ -367,7 +383,30 @@ def test_mixing_targets(spark):
     assert by["target"].to_dict() == pytest.approx(goal)
     assert ((by["taken"] - by["target"]).abs() <= np.maximum(0.02 * by["target"], 70)).all()
     again = pd.DataFrame(run(spark, "op8_mixing"))
-    assert sorted(zip(df.doc_id, df.taken)) == sorted(zip(again.doc_id, again.taken))
+    assert sorted(zip(df.doc_id, df.taken, df.shards)) == sorted(zip(again.doc_id, again.taken, again.shards))
+
+
+def test_mixing_draws_the_shards(spark):
+    """A shard's counts follow its draws: multinomial about the sources' shares, other ones with another seed."""
+    from turnstile.llm import mixing
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    drawn = {}
+    for seed in (1, 2):
+        m = mixing.mix(spark, docs, shard_slots=256, seed=seed)
+        slots = m.slots.toPandas()
+        goal = m.rows.groupBy("sk").agg(F.first("slots").alias("n")).toPandas().set_index("sk")["n"]
+        assert slots.groupby("sk").size().to_dict() == goal[goal > 0].to_dict()
+        assert not slots.duplicated(["sk", "idx", "pass"]).any()
+        counts = slots.pivot_table(index="shard", columns="sk", values="idx", aggfunc="size", fill_value=0)
+        share = goal / goal.sum()
+        sizes = counts.sum(axis=1)
+        assert len(sizes) == -(-int(goal.sum()) // 256)
+        chi = (((counts - np.outer(sizes, share[counts.columns])) ** 2) / np.outer(sizes, share[counts.columns])).to_numpy().sum()
+        free = (counts.shape[0] - 1) * (counts.shape[1] - 1)
+        assert abs(chi - free) < 5 * math.sqrt(2 * free)
+        drawn[seed] = counts
+    assert not drawn[1].equals(drawn[2])
 
 
 def auc(score, y):

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,19 +81,37 @@ def fold_of(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def named(column: str) -> Column:
+    """A column by its name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def n_words(text: str) -> Column:
     """Words of a text, 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(JAVA_WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(named(text), F.lit(JAVA_WORD)), F.lit(0)).cast("long")
+
+
+def running(df: DataFrame, keys: list[str], at: str, value: str, out: str, group: int = 1024) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of its keys with a smaller ``at`` (a whole number).
+
+    In two levels, groups of ``group`` places and places within a group, so no task sees all rows of a key.
+    """
+    df = df.withColumn("__g", F.expr(f"`{at}` DIV {group}"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, "__g").agg(F.sum(value).alias("__s"))
+    sums = sums.select(*keys, "__g", F.coalesce(F.sum("__s").over(before(*keys).orderBy("__g")), F.lit(0)).alias("__base"))
+    inside = F.coalesce(F.sum(value).over(before(*keys, "__g").orderBy(at)), F.lit(0))
+    return df.withColumn("__in", inside).join(sums, [*keys, "__g"]).withColumn(out, F.col("__base") + F.col("__in")).drop("__g", "__base", "__in")
 
 
 def id_buckets(df: DataFrame, key: str, rows_per_bucket: int = 5000) -> tuple[list, int]:
     """Ascending cut points that deal ``key`` into ranges of about ``rows_per_bucket`` rows.
 
-    The cut points are a bounded list (at most 4096); they only steer the dealing, any
+    The cut points are a bounded list (at most 65,535); they only steer the dealing, any
     list gives the same results.
     """
     n = df.count()
-    want = max(1, min(4096, math.ceil(n / rows_per_bucket)))
+    want = max(1, min(1 << 16, math.ceil(n / rows_per_bucket)))
     if want == 1:
         return [], n
     probs = [i / want for i in range(1, want)]
@@ -102,11 +120,15 @@ def id_buckets(df: DataFrame, key: str, rows_per_bucket: int = 5000) -> tuple[li
 
 
 def bucket_of(key: str, cuts: list) -> Column:
-    """Index of the range that ``key`` falls in; null keys come first (range -1)."""
+    """Index of the range that ``key`` falls in; null keys come first (range -1). Cut points are looked up in two steps."""
     if not cuts:
         return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0))
-    arr = F.lit(cuts).cast(T.ArrayType(T.LongType()))
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(arr, lambda c: c <= F.col(key))))
+    size = max(1, math.isqrt(len(cuts)))
+    parts = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    below = lambda arr: F.size(F.filter(arr, lambda c: c <= F.col(key)))
+    part = F.greatest(below(F.lit([p[0] for p in parts]).cast("array<bigint>")), F.lit(1))
+    fine = F.element_at(F.lit(parts).cast("array<array<bigint>>") if len(parts) > 1 else F.array(F.lit(parts[0]).cast("array<bigint>")), part)
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise((part - 1) * size + below(fine))
 
 
 def by_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,22 +173,43 @@ def whole_groups(frames, keys: list[str]):
         yield out(held)
 
 
-FILTER_BITS = 1 << 24
+MOST_FILTER_BITS = 1 << 28  # 32 MB
 
 
 def probably_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """The rows of ``df`` whose long ``key`` may occur in ``wanted``: a filter ahead of a join.
 
-    A bitmap of ``FILTER_BITS`` hashed keys, 2 MB at most however long ``wanted`` is, is
-    broadcast by words of 64 bits. It lets some other rows through (all, once it is full),
-    so the join that follows still decides; it only keeps rows from being shuffled.
+    A bitmap of hashed keys, 16 bits a wanted row and 32 MB at most, is broadcast by words
+    of 64 bits. It lets some other rows through (about one in 16, all of them once
+    ``wanted`` is far beyond 2^28), so the join that follows still decides; it only keeps
+    rows from being shuffled.
     """
+    bits = min(MOST_FILTER_BITS, 1 << (16 * wanted.count()).bit_length())
 
     def bit(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
 
     words = wanted.select(bit(wanted_key).alias("__bit")).groupBy(F.expr("__bit DIV 64").alias("__word"))
     words = words.agg(F.expr("bit_or(shiftleft(1L, cast(__bit % 64 as int)))").alias("__mask"))
     held = df.withColumn("__bit", bit(key)).withColumn("__at", F.expr("__bit DIV 64"))
     held = held.join(F.broadcast(words), F.col("__at") == F.col("__word"))
     return held.where("(shiftrightunsigned(__mask, cast(__bit % 64 as int)) & 1L) = 1").drop("__bit", "__at", "__word", "__mask")
+
+
+def summed_in_rounds(parts: DataFrame, keys: list[str], add, size: int = 64) -> DataFrame:
+    """One row for each of ``keys`` from rows (keys..., part, payload): ``add`` joins the payloads of
+    up to ``size`` neighbouring parts, round after round, so no task holds more than that many."""
+    import pandas as pd
+
+    fields = [f for f in parts.schema.fields if f.name in keys]
+    schema = T.StructType([*fields, T.StructField("part", T.LongType()), T.StructField("payload", T.BinaryType())])
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [f[k].iloc[0]] for k in keys}, "part": [int(f["part"].iloc[0]) // size], "payload": [add(f["payload"].tolist())]})
+
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = parts.groupBy(*keys, F.expr(f"part DIV {size}")).applyInPandas(run, schema)
+        n = -(-n // size)
+        if n == 1:
+            return parts

@@ -1,17 +1,15 @@
 """Homomorphic multiset fingerprints of documents.
 
 A paragraph (text between line feeds) is hashed to a wide vector: 8 lanes of 64 random
-bits, and 256 narrow lanes that take a signed count for each of its byte n-grams. A
-document's fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo 2^64
-and 2^16. So it doesn't depend on the order of paragraphs, a paragraph is inserted or
+bits, and 256 lanes that take a signed count for each of its byte n-grams. A document's
+fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo 2^64. So it doesn't depend on the order of paragraphs, a paragraph is inserted or
 deleted by adding or subtracting its vector, and equal multisets have equal fingerprints.
-The wide lanes decide equality; the narrow ones, an unbiased sketch of inner products,
-give the likeness of two documents (a cosine of n-gram counts, off by about 1/16).
+The random lanes decide equality; the counts, an unbiased sketch of inner products, give the likeness of two documents (a cosine of n-gram counts, off by about 1/16).
 
 Cases: a null text is the empty text, which is one empty paragraph; repeated rows follow
 one another; a table of one document has itself as the next; an empty table gives no
-rows; null ids come last; other columns are ignored. A narrow lane holds net counts up to
-2^15: beyond that likeness, but not equality, loses meaning.
+rows; null ids come last; other columns are ignored. No text is long enough to make a
+count wrap.
 """
 
 from __future__ import annotations
@@ -59,18 +57,21 @@ class Fingerprint:
     __hash__ = None
 
     def text(self) -> str:
-        return base64.b64encode(self.wide.astype("<u8").tobytes() + self.narrow.astype("<u2").tobytes()).decode()
+        """Base64; the counts in as few bytes each as the largest needs (2, 4 or 8)."""
+        size = next(k for k in (2, 4, 8) if k == 8 or -(1 << (8 * k - 1)) <= self.narrow.min() and self.narrow.max() < 1 << (8 * k - 1))
+        return base64.b64encode(self.wide.astype("<u8").tobytes() + self.narrow.astype(f"<i{size}").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = base64.b64decode(text)
-        return cls(np.frombuffer(raw[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], "<u2").astype(np.uint16))
+        size = (len(raw) - 8 * WIDE) // NARROW
+        return cls(np.frombuffer(raw[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], f"<i{size}").astype(np.int64))
 
     def likeness(self, other: Fingerprint) -> float:
         """Cosine of the n-gram counts, 0 to 1; 1 for equal fingerprints."""
         if self == other:
             return 1.0
-        a, b = (x.narrow.astype(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.narrow.astype(np.float64) for x in (self, other))
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return float(min(1.0, max(0.0, (a @ b) / norm))) if norm else 0.0
 
@@ -101,7 +102,7 @@ def _vectors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
                 keep[max(0, p - GRAM + 1) : p + 1] = False
             lane = lane[keep]
         counts += np.bincount(lane, minlength=2 * NARROW)
-    return wide, (counts[0::2] - counts[1::2]).astype(np.uint16)
+    return wide, counts[0::2] - counts[1::2]
 
 
 def edited(text: str, following: str) -> str:
@@ -123,9 +124,12 @@ def fingerprints(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text=
     docs = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"coalesce(`{text}`, '') text")
     cuts, _ = id_buckets(docs.select("doc_id"), "doc_id", rows_per_bucket)
     docs = docs.withColumn("b", bucket_of("doc_id", cuts))
-    heads = docs.groupBy("b").agg(F.max(F.struct("doc_id", "text")).alias("h"))  # at most as many rows as ranges
-    first = F.max(F.struct("b", "h")).over(Window.partitionBy(F.lit(1)))["h"]
-    ends = heads.select("b", F.coalesce(F.lag("h").over(Window.orderBy("b")), first)["text"].alias("text"))
+    # The first document of every range goes to the range above it; ranges are linked by their numbers alone.
+    heads = docs.groupBy("b").agg(F.max("doc_id").alias("head"))
+    links = heads.select("b", "head", F.coalesce(F.lead("b").over(Window.orderBy("b")), F.min("b").over(Window.partitionBy(F.lit(1)))).alias("to"))
+    links = F.broadcast(links.withColumnRenamed("b", "from"))  # a row a range, at most 65,537
+    ends = docs.join(links, (F.col("b") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    ends = ends.groupBy(F.col("to").alias("b")).agg(F.max("text").alias("text"))
     rows = docs.select("b", F.lit(0).alias("end"), "doc_id", "text").unionByName(ends.select("b", F.lit(1).alias("end"), F.lit(None).cast("long").alias("doc_id"), "text"))
     n = max(partitions(spark), 1)
     rows = rows.repartition(n, "b").sortWithinPartitions("b", "end", F.col("doc_id").desc_nulls_last(), F.col("text").desc())

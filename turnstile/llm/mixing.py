@@ -2,28 +2,33 @@
 
 The words of a source, its documents one after the other in a fixed order, are packed
 into blocks of ``block`` words (the last one may be shorter). Targets follow from the
-weights by water-filling. A source's target becomes a number of block slots; every slot
-draws its output shard, which makes the counts of a source over the shards (and, within
-a shard of given size, of the sources) multinomial draws whose totals hold the targets.
-The slots of a source are numbered through by shard, and slot j takes block
-``perm(j mod n_blocks)`` of a pseudorandom permutation of the source's block indices, so
-each block is taken floor or ceil of slots / n_blocks times. Slots and blocks meet in a
-join by (source, index).
+weights by water-filling. A source's target becomes a number of block slots. The counts
+of the sources in the output shards are a multinomial draw under the condition that every
+source's counts add up to its slots: each slot draws its shard. A shard's count of a
+source then takes that many consecutive slot numbers, and slot j is block
+``perm(j mod n_blocks)`` of the source in its pass ``j div n_blocks``, by a pseudorandom
+permutation of the source's block indices. So each block is taken floor or ceil of
+slots / n_blocks times, and which blocks a shard gets follows from the draws. Slots and
+the documents' pieces of blocks meet in a join by (source, index).
+
+Running sums go in two levels, so no task sees all documents or shards of a source. Only
+ids and sizes take part; texts are written once and joined once, at the end.
 
 Cases: a null text has size 0; empty documents take 0; a null source is a source of its
 own, last in order; repeated rows are documents of their own; an empty table gives an
-empty result; other columns are ignored, whatever their names. Numbers are drawn by
-hashing (seed, source, slot), so reruns agree.
+empty result; other columns are ignored, whatever their names (dots included). Numbers
+are drawn by hashing (seed, source, slot), so reruns agree.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, table
+from .common import JAVA_WORD, Scratch, n_words, named, partitions, running, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -37,7 +42,7 @@ PRIMES = [1_000_003, 1_000_033, 1_000_037, 1_000_039]
 
 def source_key(source: str) -> Column:
     """A null-safe key of a source that sorts by code point, null last."""
-    return F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))
+    return F.coalesce(F.concat(F.lit("0"), named(source).cast("string")), F.lit("1"))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -78,84 +83,85 @@ def perm(j: Column, n: Column, sk: Column, seed: int) -> Column:
     return F.pmod(turned.cast("long") * a + b2, n)
 
 
+@dataclass(frozen=True)
+class Mix:
+    """``rows`` (uid, doc_id, sk, size, begin, source_size, target, n_blocks, slots), one a document;
+    ``shards`` (sk, shard, n, first): the drawn counts of each source in each shard; ``slots``
+    (sk, shard, pass, idx): the blocks that the shards take; ``pieces`` (uid, sk, idx, start, words): the
+    words [start, start + words) of a document lie in block ``idx`` of its source."""
+
+    sized: DataFrame
+    rows: DataFrame
+    shards: DataFrame
+    slots: DataFrame
+    pieces: DataFrame
+
+    def placed(self) -> DataFrame:
+        """(uid, start, words, shard, pass): the pieces that the mix takes, once for every time."""
+        return self.pieces.join(self.slots, ["sk", "idx"]).select("uid", "start", "words", "shard", "pass")
+
+
 def mix(
     spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", source="source",
     weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shard_slots=4096, seed=SEED, keep_text=False,
-) -> tuple[DataFrame, DataFrame, Scratch]:
-    """The packed documents and how often the mix takes each of their pieces.
-
-    Returns ``rows`` (rid, doc_id, sk, size, source_size, target[, all columns in ``row``])
-    and ``pieces`` (rid, idx, start, words, times): the words [start, start + words) of a
-    document lie in block ``idx`` of its source, which the mix takes ``times`` times.
-    """
+) -> Mix:
+    """The mix of ``docs``; with ``keep_text`` its ``sized`` holds their columns in a struct ``row``."""
     scratch = Scratch(spark, "mixing")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_text else []
-    sized = docs.select(F.col(doc_id).alias("doc_id"), source_key(source).alias("sk"), n_words(text).alias("size"), *whole)
+    parts = partitions(spark)
+    whole = [F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row")] if keep_text else []
+    sized = docs.select(F.monotonically_increasing_id().alias("uid"), named(doc_id).alias("doc_id"), source_key(source).alias("sk"), n_words(text).alias("size"), F.xxhash64(named(text)).alias("h"), *whole)
     sized = scratch.cut(sized)
-    n = sized.count()
-    n_buckets = max(16, math.ceil(n / 5000))
-    keyed = sized.withColumn("b", F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_buckets)))
+    n_buckets = max(256, math.ceil(sized.count() / 1000))
+    keyed = sized.drop("row").withColumn("b", F.pmod(F.xxhash64("doc_id", "size", "h"), F.lit(n_buckets)))
     sums = scratch.cut(keyed.groupBy("sk", "b").agg(F.sum("size").alias("bsize")))
     goal = targets(sums.groupBy("sk").agg(F.sum("bsize").alias("source_size")), weights, share, most)
     goal = goal.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) DIV {block}"))
     goal = scratch.cut(goal.withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long")))
 
-    before = Window.partitionBy("sk").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("base", F.coalesce(F.sum("bsize").over(before), F.lit(0))).drop("bsize")
-    inside = Window.partitionBy("sk", "b").orderBy("doc_id", "size")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = keyed.withColumn("rn", F.row_number().over(inside)).withColumn("end", F.sum("size").over(upto))
-    rows = rows.join(starts, ["sk", "b"]).join(goal, "sk")
-    rows = rows.withColumn("begin", F.col("base") + F.col("end") - F.col("size")).withColumn("rid", F.concat_ws(":", "sk", "b", "rn"))
-    rows = scratch.cut(rows.select("rid", "doc_id", "sk", "size", "begin", "source_size", "target", "n_blocks", *(["row"] if keep_text else [])))
+    starts = running(sums, ["sk"], "b", "bsize", "base").drop("bsize")
+    inside = Window.partitionBy("sk", "b").orderBy("doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = keyed.withColumn("end", F.sum("size").over(inside)).join(starts, ["sk", "b"]).join(goal, "sk")
+    rows = rows.withColumn("begin", F.col("base") + F.col("end") - F.col("size"))
+    rows = scratch.cut(rows.select("uid", "doc_id", "sk", "size", "begin", "source_size", "target", "n_blocks", "slots"))
 
     # Counts of each source in each output shard: every slot draws its shard.
     total = goal.agg(F.sum("slots")).first()[0] or 0
-    shards = max(8, min(1 << 20, math.ceil(total / shard_slots)))
+    n_shards = max(1, math.ceil(total / shard_slots))
     drawn = _spread(goal.select("sk", "slots"), "slots", 16_384, parts)
-    drawn = drawn.groupBy("sk", F.pmod(F.xxhash64(F.lit(seed), "sk", "j"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # Slot indices of a shard, mapped through the source's permutation to block indices.
-    slots = drawn.join(goal.select("sk", "n_blocks"), "sk").withColumn("j", F.explode(F.expr("sequence(first, first + n - 1)")))
-    slots = slots.select("sk", perm(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.col("sk"), seed).alias("idx"))
-    times = slots.groupBy("sk", "idx").agg(F.count("*").alias("times"))
-
-    pieces = rows.where("size > 0").select("rid", "sk", "begin", "size", F.explode(F.expr(f"sequence(begin DIV {block}, (begin + size - 1) DIV {block})")).alias("idx"))
+    drawn = scratch.cut(drawn.groupBy("sk", F.pmod(F.xxhash64(F.lit(seed), "sk", "j"), F.lit(n_shards)).alias("shard")).agg(F.count("*").alias("n")))
+    shards = scratch.cut(running(drawn, ["sk"], "shard", "n", "first"))
+    # The slot numbers of a shard, mapped through the source's permutation to block indices.
+    runs = shards.join(F.broadcast(goal.select("sk", "n_blocks")), "sk").repartition(parts, "sk", "shard")  # a row a source
+    j, n = F.col("j"), F.col("n_blocks")
+    slots = runs.withColumn("j", F.explode(F.expr("sequence(first, first + n - 1)")))
+    slots = slots.select("sk", "shard", F.floor(j / n).cast("long").alias("pass"), perm(j % n, n, F.col("sk"), seed).alias("idx"))
+
+    pieces = rows.where("size > 0").select("uid", "sk", "begin", "size", F.explode(F.expr(f"sequence(begin DIV {block}, (begin + size - 1) DIV {block})")).alias("idx"))
     lo = F.greatest(F.col("begin"), F.col("idx") * block)
     hi = F.least(F.col("begin") + F.col("size"), (F.col("idx") + 1) * block)
-    pieces = pieces.withColumn("start", lo - F.col("begin")).withColumn("words", hi - lo)
-    pieces = pieces.join(times, ["sk", "idx"], "left").select("rid", "idx", "start", "words", F.coalesce("times", F.lit(0)).alias("times"))
-    return rows, pieces, scratch
+    pieces = pieces.select("uid", "sk", "idx", (lo - F.col("begin")).alias("start"), (hi - lo).alias("words"))
+    return Mix(sized, rows, shards, slots, pieces)
 
 
 def mixed_texts(spark: SparkSession, docs: DataFrame, *, text="text", n_chars="n_chars", **how) -> DataFrame:
     """The mix as documents: the columns of ``docs``, a row for each pass in which the mix
-    takes some of a document. A document that a pass takes whole keeps its text; else the
-    text is the taken words, in order, joined by one space.
+    takes some of a document, whatever the shards of its blocks. A document that a pass takes
+    whole keeps its text; else the text is the taken words, in order, joined by one space.
     """
-    rows, pieces, _ = mix(spark, docs, text=text, keep_text=True, **how)
-    taken = pieces.where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    taken = taken.groupBy("rid", "pass").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"))
-    out = rows.select("rid", "size", "row").join(taken, "rid")
-    words = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(f"({WORD_SQL})"), F.lit(1))
+    m = mix(spark, docs, text=text, keep_text=True, **how)
+    taken = m.placed().groupBy("uid", "pass").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"))
+    out = m.sized.select("uid", "size", "row").join(taken, "uid")
+    own = F.col("row")[text]
+    words = F.regexp_extract_all(own, F.lit(f"({JAVA_WORD})"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    cols = []
-    for f in docs.schema.fields:
-        if f.name == text:
-            cols.append(F.when(F.col("n") == F.col("size"), F.col(f"row.`{text}`")).otherwise(cut).alias(text))
-        else:
-            cols.append(F.col(f"row.`{f.name}`").alias(f.name))
-    out = out.select(*cols)
-    return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
-
-
-WORD_SQL = r"[^\x20\x09-\x0D]+"
+    new = F.when(F.col("n") == F.col("size"), own).otherwise(cut)
+    out = out.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.withColumn(n_chars, F.length(named(text)).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    rows, pieces, _ = mix(spark, table(spark, sf_dir, "documents"))
-    taken = pieces.where("times > 0").groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return rows.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """How many words of each document the mix takes, and in how many output shards they lie."""
+    m = mix(spark, table(spark, sf_dir, "documents"))
+    taken = m.placed().groupBy("uid", "shard").agg(F.sum("words").alias("n"))
+    taken = taken.groupBy("uid").agg(F.sum("n").alias("taken"), F.count("*").alias("shards"))
+    return m.rows.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "shards")])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NULL_ID, U, Chunk, answer, bucket_count, by_bucket, joined, member, pack, send, windows, with_answers
-from .common import Scratch, table
+from .common import Scratch, named, table
 
 WINDOW = 13
 BLOCK = 7
@@ -149,7 +149,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", tex
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block: 2 * block - 1 <= window")
     scratch = Scratch(spark, "substring")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*[F.col(c) for c in rest]).alias("rest")] if rest else []))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*[named(c).alias(c) for c in rest]).alias("rest")] if rest else []))
     chunks = pack(scratch, base)
     total = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = bucket_count(total // 6)
