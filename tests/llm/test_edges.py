@@ -75,6 +75,15 @@ def test_near_copies(spark, docs, none):
     assert neardup.linked(spark, none).count() == 0
     kept = neardup.without_near_copies(spark, docs, words=3, threshold=0.85)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
+    two = spark.createDataFrame([(1, "one text of some words", "a"), (1, "another one, quite unlike it", "a"), (1, "one text of some words", "a"), (2, "one text of some words", "b")], "doc_id long, text string, `a.b` string")
+    assert sorted(r["text"][:3] for r in neardup.without_near_copies(spark, two).collect()) == ["ano", "one"]  # rows of one id stay together
+
+
+def test_dotted_and_clashing_names(spark, docs):
+    odd = docs.select("doc_id", "text", "source", "n_chars", F.lit("x").alias("a.b"), F.lit("y").alias("uid"), F.lit("z").alias("pass"))
+    assert mixing.mixed_texts(spark, odd).columns == odd.columns and mixing.mixed_texts(spark, odd).count() > 0
+    out = substring.remove_repeats(spark, odd, rest=["a.b", "uid", "pass"])
+    assert out.select("rest.`a.b`").distinct().collect()[0][0] == "x" and neardup.without_near_copies(spark, odd).columns == odd.columns
 
 
 def test_repeats(spark, docs, none):

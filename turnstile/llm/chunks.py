@@ -16,6 +16,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 
@@ -34,7 +35,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+_SEEDS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
+_TABLES = [mix64(np.arange(1, 257, dtype=U) * s) for s in _SEEDS]  # random multipliers of the places in a word
 
 
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,20 +49,22 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a sum of bytes times random multipliers of their places, mixed with the length."""
-    global _TABLE
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: a sum of bytes times random multipliers of their places, mixed with the length.
+
+    ``which``: one of two independent ones.
+    """
     if not len(starts):
         return np.zeros(0, U)
     lengths = ends - starts
     most = int(lengths.max())
-    if most > len(_TABLE):
-        _TABLE = mix64(np.arange(1, most + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    if most > len(_TABLES[which]):
+        _TABLES[which] = mix64(np.arange(1, most + 1, dtype=U) * _SEEDS[which])
     b = np.frombuffer(raw, np.uint8)
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
     letters = b[place + np.repeat(starts, lengths)] if len(place) != len(b) else b
-    return mix64(np.add.reduceat(_TABLE[place] * (letters.astype(U) + U(1)), first) + lengths.astype(U))
+    return mix64(np.add.reduceat(_TABLES[which][place] * (letters.astype(U) + U(1)), first) + lengths.astype(U))
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -87,7 +91,8 @@ def pack(scratch: Scratch, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -
     ``lens`` are the bytes of each text, a null text has none. ``rest`` keeps other columns.
     """
     rest = "rest" in docs.columns
-    kind = f", rest array<{docs.schema['rest'].dataType.simpleString()}>" if rest else ""
+    kind = [("chunk", T.LongType()), ("ids", T.ArrayType(T.LongType())), ("lens", T.ArrayType(T.LongType())), ("blob", T.BinaryType())]
+    kind += [("rest", T.ArrayType(docs.schema["rest"].dataType))] if rest else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -120,7 +125,7 @@ def pack(scratch: Scratch, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -
         if held:
             yield close()
 
-    return scratch.cut(docs.mapInPandas(run, f"chunk long, ids array<long>, lens array<long>, blob binary{kind}"))
+    return scratch.cut(docs.mapInPandas(run, T.StructType([T.StructField(*x) for x in kind])))
 
 
 class Chunk:
@@ -142,8 +147,8 @@ class Chunk:
         self.words = np.diff(np.concatenate([self.first, [len(self.starts)]]))
         self.doc = np.repeat(np.arange(len(self.ids)), self.words)  # text of each word
 
-    def hashes(self) -> np.ndarray:
-        return word_hashes(self.raw, self.starts, self.ends)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        return word_hashes(self.raw, self.starts, self.ends, which)
 
 
 def bucket_count(keys: int) -> int:

@@ -37,12 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NULL_ID, U, Chunk, bucket_count, by_bucket, mix64, pack, with_answers
-from .common import Scratch, table
+from .common import Scratch, summed_in_rounds, table
 
 ORDER = 6
 CHUNK_BYTES = 2 << 20
 BATCH = 200_000
-TREE = 64  # partial sums that meet in one task of the tree of short contexts
 END = 10  # a line feed: no word holds one
 END_WORD = U(0x656E64)  # the key of the end token
 
@@ -326,7 +325,7 @@ def score_documents(
     kind = "chunk long, bucket int, payload binary, n long"
     asked = scratch.cut(chunks.mapInPandas(first_pass, kind))
     train_tokens = asked.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
-    short = _short_contexts(asked.where("bucket = -2").select("chunk", "payload"))
+    short = _short_contexts(asked.where("bucket = -2").select(F.col("chunk").alias("part"), "payload"))
 
     def word_reply(f: pd.DataFrame) -> pd.DataFrame:
         own, keys, counts = _merge(f["payload"].tolist())
@@ -387,18 +386,9 @@ def score_documents(
 
 
 def _short_contexts(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the partitions' (two bytes of context, symbol) counts: a few partitions a task, round after round."""
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        _, keys, counts = _merge(f["payload"].tolist())
-        return pd.DataFrame({"chunk": [int(f["chunk"].iloc[0]) // TREE], "payload": [_squeeze(keys, counts)]})
-
-    n = (parts.agg(F.max("chunk")).first()[0] or 0) + 1
-    while n > TREE:
-        parts = parts.groupBy(F.expr(f"chunk DIV {TREE}")).applyInPandas(add, "chunk long, payload binary")
-        n = -(-n // TREE)
-    got = [r["payload"] for r in parts.select("payload").collect()]  # at most TREE payloads
-    return _merge(got)[1:] if got else (np.zeros(0, U), np.zeros(0, np.int64))
+    """Sums of the partitions' (two bytes of context, symbol) counts, in rounds."""
+    got = summed_in_rounds(parts, [], lambda payloads: _squeeze(*_merge(payloads)[1:])).collect()  # one row
+    return _merge([r["payload"] for r in got])[1:] if got else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ such a list) and a second class holds it. The lists of one smallest class, its p
 a group. Within a group overlaps of sketches are counted by the inverted lists, the
 estimate from the union's sketch filters, and the whole shingle sets of what is left
 decide exactly. A group emits a spanning forest of its links, never all of them; a group
-above ``BLOCK`` members is compared in pairs of blocks. Components of these edges follow.
+above ``BLOCK`` members, or ``BLOCK_SHINGLES`` shingles of whole sets, is compared in pairs
+of blocks. Components of these edges follow.
 
 Cases: null and empty texts have no shingles and no links; a text of fewer words than a
 shingle is one shingle; repeated rows and rows of one id are one document; rows without
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import U, mix64, windows, word_hashes, word_spans
-from .common import Scratch, by_groups, probably_in, table, whole_groups
+from .common import Scratch, by_groups, named, probably_in, table, whole_groups
 from .components import components
 
 K = 64
 BLOCK = 4096
+BLOCK_SHINGLES = 4_000_000  # of whole sets in one block: 32 MB of numbers and about as much text
 
 
 def least_overlap(k: int, threshold: float) -> int:
@@ -139,10 +141,10 @@ def _forest(sets: list[np.ndarray], names: np.ndarray, side: np.ndarray, num: in
     return edges
 
 
-def _blocks(groups: DataFrame, size: int) -> DataFrame:
-    """(p, rep) dealt to (p, i, j, side): one block for a group of up to ``size`` members, else
-    every pair of blocks, with ``side`` 0 and 1 for the two and -1 within one block."""
-    n = groups.groupBy("p").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+def _blocks(groups: DataFrame, size: int, load: str = "1L", most: int = BLOCK) -> DataFrame:
+    """(p, rep) dealt to (p, i, j, side): one block for a group of up to ``size`` members and a ``load``
+    of ``most``, else every pair of blocks, with ``side`` 0 and 1 for the two and -1 within one block."""
+    n = groups.groupBy("p").agg(F.ceil(F.greatest(F.count("*") / size, F.sum(F.expr(load)) / most)).cast("int").alias("blocks"))
     g = groups.join(n, "p").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     g = g.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -155,7 +157,7 @@ def linked(
     """(doc_id, n_shingles, component_id, kept) of every document. ``threshold`` counts in hundredths."""
     scratch = Scratch(spark, "neardup")
     num = round(threshold * 100)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     every = scratch.cut(sketches(docs, words, k))
     held = every.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(held.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
@@ -181,10 +183,10 @@ def linked(
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
                 if hi - lo > 1:
                     good[lo:hi] = _promising(list(sketch[lo:hi]), n[lo:hi], side[lo:hi], threshold, k)
-            yield f.loc[good, ["p", "rep"]]
+            yield f.loc[good, ["p", "rep", "n"]]
 
-    dealt = _blocks(groups, block).join(reps, "rep")
-    left = scratch.cut(by_groups(dealt, keys).mapInPandas(promising, "p long, rep long").distinct())
+    dealt = _blocks(groups, block, most=block).join(reps, "rep")
+    left = scratch.cut(by_groups(dealt, keys).mapInPandas(promising, "p long, rep long, n long").distinct())
 
     def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, at in whole_groups(frames, keys):
@@ -196,7 +198,7 @@ def linked(
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     texts = probably_in(docs, "doc_id", left, "rep").join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
-    edges = by_groups(_blocks(left, block).join(texts, "rep"), keys).mapInPandas(forest, "a long, b long")
+    edges = by_groups(_blocks(left, block, "n", BLOCK_SHINGLES).join(texts, "rep"), keys).mapInPandas(forest, "a long, b long")
     comp = components(scratch, edges)
     scratch.drop(groups, left)
 
@@ -212,9 +214,13 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark, table(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
-def without_near_copies(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """One row of ``docs``, all columns, for each component: that of its smallest id. Rows without id stay."""
-    kept = linked(spark, docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    named = named.join(kept, named["doc_id"].cast("long") == kept["kept_id"], "left_semi")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+def without_near_copies(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document for each component: that of its smallest id.
+
+    Rows of one id are one document: all of them stay or go together, equal rows as one.
+    Rows without id stay.
+    """
+    kept = linked(spark, docs, doc_id=doc_id, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = named(doc_id).isNotNull()
+    held = docs.where(known).join(kept, named(doc_id).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates()
+    return held.unionByName(docs.where(~known))

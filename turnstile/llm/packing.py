@@ -3,8 +3,9 @@
 Every example has a demand vector (tokens, segments, loss-bearing tokens), a sequence has
 the same three limits. The open sequence takes the example whose demand has the largest
 dot product with what the sequence has left (each dimension divided by its limit) among
-those that fit. When none fits, an example is cut to fill it if cutting is allowed. The
-examples packed together are those of one batch of an input partition: packing needs no
+those that fit. When none fits, an example is cut to fill it if cutting is allowed. Plain
+documents bear loss on every token; ``pack_conversations`` counts the turns of some roles,
+and any table may bring its own column of loss-bearing tokens. The examples packed together are those of one batch of an input partition: packing needs no
 shuffle and no other state, so a lost executor repeats its partitions and nothing else.
 
 Cases: an example of no tokens gives no piece; a null text is empty; equal rows are
@@ -23,8 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import batch_rows, table
+from .common import batch_rows, named, table
 
 
 @dataclass(frozen=True)
@@ -149,7 +151,7 @@ def _split(pieces: list[tuple], total: int, seq: int, out: list[Piece]) -> int:
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer file whose tokens never cross white space.
+    """Ids of whole texts by a tokenizer file, fast for one whose tokens never cross white space.
 
     Texts of natural language repeat their words, so ids are kept by word and by letter
     run in two bounded tables (a full table starts anew; results don't depend on it).
@@ -160,11 +162,23 @@ class WordTokenizer:
     MOST = 600_000
 
     def __init__(self, path: str):
+        import json
+
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        # Only a file of exactly these rules is read word by word; any other by the library, text by text.
+        split, level = {"type": "Split", "pattern": {"Regex": self.RUNS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "use_regex": False, "add_prefix_space": False}
+        clean = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        self.by_word = (
+            (parts.get("normalizer") or {}).get("normalizers") == clean and len(steps) == 2 and steps[0] == split
+            and level.items() <= steps[1].items() and parts.get("post_processor") is None and parts.get("truncation") is None
+        )
         self.runs = regex.compile(self.RUNS)
         self.special = re.compile("|".join(map(re.escape, (t.content for t in self.tok.get_added_tokens_decoder().values()))) or r"(?!)")
         # Bytes as the printable characters of byte-level models, by the published rule.
@@ -192,7 +206,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if self.special.search(text):
+        if not self.by_word or self.special.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.encode().split()
         known = self.words
@@ -223,27 +237,19 @@ def tokenizer(path: str | None) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def pack_documents(
-    spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", limits: Limits = Limits(),
-    batch_tokens: int = 2_000_000, tokenizer_path: str | None = None,
-) -> DataFrame:
-    """Pieces of all documents. A sequence's id is its partition's number in the upper and
-    its own in the lower 40 bits. A batch closes at ``batch_tokens`` tokens, so memory
-    follows the batch and the longest document.
-    """
-    batch_rows(spark)
+def _packed(rows: DataFrame, read, limits: Limits, batch_tokens: int) -> DataFrame:
+    """Pieces of ``rows``; ``read`` gives (id, ids as bytes, loss-bearing tokens or None for all) of each row of a frame."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok = tokenizer(tokenizer_path)
         seq = TaskContext.get().partitionId() << 40
-        ids, blobs, size = [], [], 0
+        ids, blobs, loss, size = [], [], [], 0
 
         def close() -> pd.DataFrame:
             nonlocal seq
             lengths = [len(b) // 4 for b in blobs]
-            pieces = pack(lengths, limits=limits)
+            pieces = pack(lengths, [n if x is None else min(max(x, 0), n) for x, n in zip(loss, lengths)], limits=limits)
             crc = [zlib.crc32(memoryview(blobs[p.item])[4 * p.start : 4 * (p.start + p.length)]) for p in pieces]
             out = pd.DataFrame({
                 "doc_id": pd.array([ids[p.item] for p in pieces], "Int64"), "start": [p.start for p in pieces],
@@ -254,18 +260,57 @@ def pack_documents(
             return out
 
         for f in frames:
-            for i, t in zip(f["doc_id"].array, f["text"].array):
-                b = (tok.ids(t) if isinstance(t, str) else b"") + END
+            for i, b, x in read(f):
                 ids.append(None if pd.isna(i) else int(i))
                 blobs.append(b)
+                loss.append(x)
                 size += len(b) // 4
                 if size >= batch_tokens:
                     yield close()
-                    ids, blobs, size = [], [], 0
+                    ids, blobs, loss, size = [], [], [], 0
         if ids:
             yield close()
 
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInPandas(run, PIECES)
+    return rows.mapInPandas(run, PIECES)
+
+
+def pack_documents(
+    spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", loss: str | None = None, limits: Limits = Limits(),
+    batch_tokens: int = 2_000_000, tokenizer_path: str | None = None,
+) -> DataFrame:
+    """Pieces of all documents. A sequence's id is its partition's number in the upper and
+    its own in the lower 40 bits. A batch closes at ``batch_tokens`` tokens, so memory
+    follows the batch and the longest document. ``loss``: a column with the number of a
+    document's tokens that bear loss, all of them where it is null or not given.
+    """
+    batch_rows(spark)
+
+    def read(f: pd.DataFrame):
+        tok = tokenizer(tokenizer_path)
+        for i, t, x in zip(f["doc_id"].array, f["text"].array, f["loss"].array):
+            yield i, (tok.ids(t) if isinstance(t, str) else b"") + END, None if pd.isna(x) else int(x)
+
+    rows = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"), (named(loss) if loss else F.lit(None)).cast("long").alias("loss"))
+    return _packed(rows, read, limits, batch_tokens)
+
+
+def pack_conversations(
+    spark: SparkSession, turns: DataFrame, *, conv_id="conv_id", turn="turn", role="role", text="text", bearing=("assistant",),
+    limits: Limits = Limits(loss_tokens=2048), batch_tokens: int = 2_000_000, tokenizer_path: str | None = None,
+) -> DataFrame:
+    """Pieces of all conversations (``doc_id`` is the conversation's): its turns in order, each with an
+    end id; the tokens of the roles ``bearing`` bear loss."""
+    batch_rows(spark)
+    rows = turns.select(named(conv_id).cast("long").alias("doc_id"), F.struct(named(turn).alias("n"), named(role).alias("role"), named(text).alias("text")).alias("t"))
+    rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+
+    def read(f: pd.DataFrame):
+        tok = tokenizer(tokenizer_path)
+        for i, ts in zip(f["doc_id"].array, f["turns"]):
+            parts = [(t["role"], (tok.ids(t["text"]) if isinstance(t["text"], str) else b"") + END) for t in ts]
+            yield i, b"".join(b for _, b in parts), sum(len(b) // 4 for r, b in parts if r in bearing)
+
+    return _packed(rows, read, limits, batch_tokens)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Statistics of each whole text are standardised and mapped to cosines of random
 projections, which approximate a Gaussian kernel. The normal equations are summed by
-partition over all labelled training rows, a fold apart each, so the ridge fits and their
+partition over all labelled training rows, a fold apart each, and the sums of partitions
+in rounds, so the ridge fits and their
 out-of-fold scores come from two passes over small feature rows. Isotonic regression on
 the out-of-fold scores, counted in 4096 bins, calibrates.
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_of, table
+from .common import Scratch, fold_of, summed_in_rounds, table
 from .learning import BINS, calibrated, inner_fold, isotonic
 
 COSINES = 256
@@ -90,7 +91,9 @@ class Cosines:
 
 
 def normal_equations(rows: DataFrame, cosines: Cosines) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Sums of Z'Z, Z'y and y'y by fold of rows (fold, x, y): summed in each partition, then by fold."""
+    """Sums of Z'Z, Z'y and y'y by fold of rows (fold, x, y): in each partition, then partitions in rounds."""
+    from pyspark import TaskContext
+
     d = COSINES + 1
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,16 +103,19 @@ def normal_equations(rows: DataFrame, cosines: Cosines) -> dict[int, tuple[np.nd
             for k in np.unique(f["fold"]):
                 part = z[f["fold"].to_numpy() == k]
                 sums[k] = sums.get(k, 0) + part.T @ part
-        yield pd.DataFrame({"fold": list(map(int, sums)), "s": [s.astype("<f8").tobytes() for s in sums.values()]})
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame({"fold": list(map(int, sums)), "part": part, "payload": [s.astype("<f8").tobytes() for s in sums.values()]})
 
-    def total(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        s = sum(np.frombuffer(b, "<f8") for b in f["s"])
-        return pd.DataFrame({"fold": [key[0]], "s": [s.tobytes()]})
+    def add(payloads: list[bytes]) -> bytes:
+        out = np.zeros((d + 1) ** 2)
+        for b in payloads:
+            out += np.frombuffer(b, "<f8")
+        return out.tobytes()
 
-    parts = rows.mapInPandas(local, "fold int, s binary").groupBy("fold").applyInPandas(total, "fold int, s binary")
+    parts = summed_in_rounds(rows.mapInPandas(local, "fold int, part long, payload binary"), ["fold"], add)
     out = {}
     for r in parts.collect():  # one row a fold
-        s = np.frombuffer(r["s"], "<f8").reshape(d + 1, d + 1)
+        s = np.frombuffer(r["payload"], "<f8").reshape(d + 1, d + 1)
         out[r["fold"]] = (s[:d, :d], s[:d, d], s[d, d])
     return out
 

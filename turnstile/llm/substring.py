@@ -4,10 +4,12 @@ A window is ``window`` consecutive words. Every text is cut in non-overlapping b
 ``block`` words with 2 x block - 1 <= window, so each window of any text holds a whole
 block of that text. The blocks are the index; every rolling run of ``block`` words of all
 texts probes it. A run that is a block somewhere and occurs at least twice is an anchor.
-Anchors are extended: the windows that hold one are looked up by all their words, and
-where the same window starts in a document with a smaller id its words are marked.
-Overlapping marked windows join, which gives maximal exact repeats. All lookups are of
-64-bit hashes (see ``chunks``).
+Anchors are extended by one word at a time to both sides: the windows that hold one are
+looked up by all their words, and where the same window starts in a document with a
+smaller id its words are marked. Overlapping marked windows join, which gives the maximal
+exact repeats of a window's length or more. Blocks are looked up by 54 bits of hash, which
+can only add candidates; windows by 128 bits, of two independent hashes of their words, so
+among 10^13 windows two different ones meet with a probability below 10^-12.
 
 Cases: a null or empty text has no words; ids that are equal don't remove each other's
 words, a null id counts as the largest; texts shorter than a window are kept whole;
@@ -91,16 +93,29 @@ def _extend(window: int, block: int, buckets: int):
         if row["answers"] is None or not len(row["answers"]):
             return
         c = Chunk(row["ids"], row["lens"], row["blob"])
-        runs, at = _candidates(c, row["answers"], window, block)
-        keys, first = np.unique(runs, return_index=True)  # first: the smallest id, as ids ascend
-        least = c.ids[c.doc[at[first]]] if len(first) else np.zeros(0, np.int64)
-        for b, lo, hi in by_bucket(keys, buckets):
-            yield b, keys[lo:hi].astype("<u8").tobytes() + least[lo:hi].astype("<i8").tobytes()
+        found = _candidates(c, row["answers"], window, block)
+        for b, lo, hi in by_bucket(found.one, buckets):
+            yield b, b"".join(x[lo:hi].tobytes() for x in (found.one, found.two, found.least))
 
     return ask
 
 
-def _candidates(c: Chunk, answers, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+class _Found:
+    """The windows of a chunk that hold an anchor: ``at`` (first words), ``which`` (of the distinct
+    windows), and of these the two hashes, ascending, and the smallest id."""
+
+    def __init__(self, c: Chunk, at: np.ndarray, one: np.ndarray, two: np.ndarray):
+        order = np.lexsort((two, one))  # stable: of equal windows the smallest id comes first, as ids ascend
+        one, two = one[order], two[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        self.at, self.which = at, np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.one, self.two = one[new].astype("<u8"), two[new].astype("<u8")
+        self.least = c.ids[c.doc[at[order[new]]]].astype("<i8")
+
+
+def _candidates(c: Chunk, answers, window: int, block: int) -> _Found:
     h = c.hashes()
     short = windows(h, block)
     mask = U((1 << 56) - 4)
@@ -108,34 +123,36 @@ def _candidates(c: Chunk, answers, window: int, block: int) -> tuple[np.ndarray,
     upto = np.concatenate([[0], np.cumsum(hit)])
     runs, at = _runs(c, h, window)
     if not len(at):
-        return runs, at
+        return _Found(c, at, runs, runs)
     holds = upto[at + window - block + 1] > upto[at]
-    return runs[holds], at[holds]
+    return _Found(c, at[holds], runs[holds], windows(c.hashes(1), window)[at[holds]])
 
 
 def _earliest(payloads: list[bytes]) -> list[bytes]:
-    """Answers each chunk the windows that another one holds in a smaller id than its own."""
-    keys = [np.frombuffer(p, "<u8", len(p) // 16) for p in payloads]
-    ids = [np.frombuffer(p, "<i8", offset=len(p) // 2) for p in payloads]
-    k, i = np.concatenate(keys), np.concatenate(ids)
-    order = np.argsort(k, kind="stable")
-    k, i = k[order], i[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    least = np.minimum.reduceat(i, first)
-    k = k[first]
-    return [a[b > least[np.searchsorted(k, a)]].tobytes() for a, b in zip(keys, ids)]
-
-
-def _mark(c: Chunk, anchors, smaller, window: int, block: int) -> np.ndarray:
+    """Answers each chunk the places, among the windows it sent, of those that another one holds in a smaller id."""
+    own = [np.frombuffer(p, "<u8").reshape(3, -1) for p in payloads]
+    one, two, ids = (np.concatenate(x) for x in zip(*own))
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    least = np.minimum.reduceat(ids.view(np.int64)[order], np.flatnonzero(new))
+    smaller = np.empty(len(order), bool)
+    smaller[order] = ids.view(np.int64)[order] > least[np.cumsum(new) - 1]
+    cut = np.cumsum([x.shape[1] for x in own])[:-1]
+    return [b"+" + np.flatnonzero(x).astype("<u4").tobytes() for x in np.split(smaller, cut)]
+
+
+def _mark(c: Chunk, anchors, smaller, window: int, block: int, buckets: int) -> np.ndarray:
     """Which words of the chunk are covered."""
     cover = np.zeros(len(c.starts) + 1, np.int64)
     if anchors is not None and len(anchors):
-        runs, at = _candidates(c, anchors, window, block)
-        keys, first, inverse = np.unique(runs, return_index=True, return_inverse=True)
-        ids = c.ids[c.doc]
-        bad = member(keys, np.sort(joined(smaller)))[inverse] | (ids[at] > ids[at[first]][inverse]) if len(at) else np.zeros(0, bool)
-        np.add.at(cover, at[bad], 1)
-        np.add.at(cover, at[bad] + window, -1)
+        found = _candidates(c, anchors, window, block)
+        elsewhere = np.zeros(len(found.one), bool)
+        for (_, lo, _), places in zip(by_bucket(found.one, buckets), smaller if smaller is not None else ()):
+            elsewhere[lo + np.frombuffer(places, "<u4", offset=1).astype(np.int64)] = True
+        bad = elsewhere[found.which] | (c.ids[c.doc[found.at]] > found.least[found.which])
+        np.add.at(cover, found.at[bad], 1)
+        np.add.at(cover, found.at[bad] + window, -1)
     return np.cumsum(cover)[:-1] > 0
 
 
@@ -149,7 +166,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", tex
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block: 2 * block - 1 <= window")
     scratch = Scratch(spark, "substring")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*[named(c).alias(c) for c in rest]).alias("rest")] if rest else []))
+    base = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"), *([F.struct(*[named(c).alias(c) for c in rest]).alias("rest")] if rest else []))
     chunks = pack(scratch, base)
     total = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = bucket_count(total // 6)
@@ -163,7 +180,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", tex
         for f in frames:
             for _, row in f.iterrows():
                 c = Chunk(row["ids"], row["lens"], row["blob"])
-                gone = _mark(c, row["answers"], row["smaller"], window, block)
+                gone = _mark(c, row["answers"], row["smaller"], window, block, buckets)
                 out = []
                 for k in range(len(c.ids)):
                     a, n = int(c.first[k]), int(c.words[k])

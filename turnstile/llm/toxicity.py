@@ -18,19 +18,17 @@ score; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fold_of, table
 from .learning import calibrated, inner_fold, isotonic
 
 MOST_LABELLED = 20_000
-MOST_TERMS = 4096
 FOLDS = 4
 THRESHOLD = 0.3
 #: Insults and slurs of everyday English, German, French and Spanish.
@@ -203,18 +201,31 @@ class Trees:
         return self.base + sum((self._apply(t, b) for t in self.trees), np.zeros(len(b)))
 
 
-def learn_terms(n_pos: Counter, n_neg: Counter, pos: int, neg: int) -> frozenset[str]:
-    """Terms that toxic rows hold far more often: at least 3 of them, 4 standard errors of the log odds; at most MOST_TERMS."""
-    found = []
-    for t, a in n_pos.items():
-        if a < 3:
-            continue
-        c = n_neg.get(t, 0)
-        odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((c + 0.5) / (neg - c + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
-        if odds > 2.5 and (z > 4 or c == 0 and a >= 5 and z > 2.5):
-            found.append((z, t))
-    return frozenset(t for _, t in sorted(found, reverse=True)[:MOST_TERMS])
+def telling(a: Column, c: Column, pos: float, neg: float) -> Column:
+    """Whether a term, in ``a`` of ``pos`` toxic and ``c`` of ``neg`` other rows, is in toxic rows far
+    more often: in at least 3 of them, 4 standard errors of the log odds."""
+    odds = F.log((a + 0.5) / (F.lit(pos) - a + 0.5)) - F.log((c + 0.5) / (F.lit(neg) - c + 0.5))
+    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
+    return (a >= 3) & (odds > 2.5) & ((z > 4) | ((c == 0) & (a >= 5) & (z > 2.5)))
+
+
+def learn_terms(held: DataFrame, sizes: dict[int, tuple[float, float]]) -> dict[int | None, frozenset[str]]:
+    """The lexicon learnt without each fold, and (None) from all, of ``held`` (t, fold, y), a row for each
+    term of each labelled row, and the folds' (rows, toxic rows).
+
+    Only learnt terms are collected: those in at least three of at most ``MOST_LABELLED`` rows.
+    """
+    one = lambda c, k, name: F.coalesce(F.sum(F.when(F.col("fold") == k, c)), F.lit(0.0)).alias(f"{name}{k}")
+    wide = held.groupBy("t").agg(*[x for k in sizes for x in (one(F.lit(1.0), k, "n"), one(F.col("y"), k, "pos"))])
+    flags = []
+    for skip in (None, *sizes):
+        folds = [k for k in sizes if k != skip]
+        a = sum((F.col(f"pos{k}") for k in folds), F.lit(0.0))
+        n = sum((F.col(f"n{k}") for k in folds), F.lit(0.0))
+        pos, rows = sum(sizes[k][1] for k in folds), sum(sizes[k][0] for k in folds)
+        flags.append(telling(a, n - a, pos, rows - pos).alias("all" if skip is None else f"not{skip}"))
+    got = wide.select("t", *flags).where(" OR ".join(["all", *(f"not{k}" for k in sizes)])).collect()
+    return {k: frozenset(r["t"] for r in got if r["all" if k is None else f"not{k}"]) for k in (None, *sizes)}
 
 
 def training_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,10 +245,6 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, label: str, learn_
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn_from).select("doc_id", F.col(label).cast("double").alias("y"))
     sample = scratch.cut(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED))
     rows = scratch.cut(training_terms(docs, sample))
-    counts = rows.select("fold", "y", F.explode("terms").alias("t")).groupBy("t", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    # Only terms with enough toxic rows come to the driver: at most 20,000 x distinct terms / 3, in practice a few thousand.
-    often = F.sum("pos").over(Window.partitionBy("t"))
-    got = counts.withColumn("often", often).where("often >= 3").where("often * 4 >= n OR pos > 0").select("t", "fold", "n", "pos").collect()
     sizes = {r["fold"]: (r["n"], r["pos"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}
     pos = sum(p for _, p in sizes.values())
     neg = sum(n - p for n, p in sizes.values())
@@ -245,17 +252,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, label: str, learn_
         scratch.drop(sample, rows)
         return {"learnt": frozenset(), "trees": None, "knots": (np.zeros(0), np.zeros(0))}
 
-    def lexicon(skip: int | None) -> frozenset[str]:
-        a: Counter = Counter()
-        c: Counter = Counter()
-        for r in got:
-            if r["fold"] != skip:
-                a[r["t"]] += r["pos"]
-                c[r["t"]] += r["n"] - r["pos"]
-        sn, sp = sizes.get(skip, (0, 0))
-        return learn_terms(a, c, pos - sp, neg - (sn - sp))
-
-    lexicons = {k: lexicon(k) for k in [*sizes]}
+    lexicons = learn_terms(rows.select("fold", "y", F.explode("terms").alias("t")), sizes)
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = {k: Lexicon(v) for k, v in lexicons.items()}
@@ -275,7 +272,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, label: str, learn_
     xs, first = np.unique(out[o], return_index=True)
     ends = np.r_[first[1:], len(o)]
     sums = np.add.reduceat(yy[o], first)
-    return {"learnt": lexicon(None), "trees": Trees().fit(x, yy), "knots": isotonic(xs, sums / (ends - first), (ends - first).astype(float))}
+    return {"learnt": lexicons[None], "trees": Trees().fit(x, yy), "knots": isotonic(xs, sums / (ends - first), (ends - first).astype(float))}
 
 
 def scores(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
