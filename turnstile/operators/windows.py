@@ -2,9 +2,10 @@
 
 Every generator groups rows to ``(match, *granularity)`` where they aren't already, sees
 only earlier groups of an entity, gives the rows of one update batch the same values, and
-can add the opponents' mean. ``fit`` keeps the tail of history as a state frame, ``update``
-computes over state and new rows and trims afterwards, ``project`` looks up one row of
-features for each entity and never changes state.
+can add the opponents' mean. ``fit`` keeps the tail of history as a state frame, with the
+values that an entity's last row carries forward; ``update`` computes over state and new
+rows and trims afterwards, ``project`` looks up one row of features for each entity and
+never changes state.
 
 All generators of one granularity use the same window keys and order, so Spark sorts and
 exchanges the rows once for all of them.
@@ -66,13 +67,17 @@ class Generator:
         raise NotImplementedError
 
     def newest(self, g: DataFrame) -> DataFrame:
-        """One row an entity with the features of a match after all of ``g``."""
+        """One row an entity with the features of a match after all of ``g`` (a state)."""
         raise NotImplementedError
 
     def tail(self, g: DataFrame) -> DataFrame:
-        """The rows of ``g`` that later features can need."""
+        """The rows of ``g`` (grouped, with or without features) that later features can need."""
         raise NotImplementedError
 
+    def completed(self, df: DataFrame) -> DataFrame:
+        """Projected rows with the features that depend on the rows themselves."""
+        return df
+
     # -- plan ------------------------------------------------------------
     def grouped(self, df: DataFrame) -> DataFrame:
         unique = self.unique or self.roles.unique
@@ -95,10 +100,7 @@ class Generator:
 
     def merged(self, df: DataFrame, g: DataFrame) -> DataFrame:
         own = self.entity_features()
-        g = g.select(*self.keys, *own)
-        if set(self.unique or self.roles.unique) <= set(self.keys) and set(self.keys) <= set(df.columns):
-            pass
-        return df.drop(*own).join(g, self.keys, "left")
+        return df.drop(*own).join(g.select(*self.keys, *own), self.keys, "left")
 
     def opponents(self, df: DataFrame) -> DataFrame:
         return opponent_means(df, self.roles, self.entity_features()) if self.add_opponent else df
@@ -114,7 +116,7 @@ class Generator:
         return self.opponents(out)
 
     def fit(self, df: DataFrame) -> tuple[DataFrame, Fitted]:
-        return self.transform(df), Fitted(self, self.tail(self.grouped(df)))
+        return self.transform(df), Fitted(self, self.tail(self.window(self.grouped(df))))
 
 
 @dataclass(frozen=True)
@@ -131,14 +133,70 @@ class Fitted:
         both = self.state.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)), allowMissingColumns=True)
         newest = Window.partitionBy(*g.keys).orderBy(F.col("__new").desc())
         both = both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
-        done = g.equalised(g.window(both)).where("__new").drop("__new")
-        return g.opponents(g.merged(df, done)), replace(self, state=g.tail(both.drop("__new")))
+        held = g.window(both)
+        done = g.equalised(held.where("__new").drop("__new", *[c for c in held.columns if c.startswith(CARRIED)]))
+        return g.opponents(g.merged(df, done)), replace(self, state=g.tail(held.drop("__new")))
 
     def project(self, df: DataFrame) -> DataFrame:
         """Features of future rows by entity; opponents' means follow from them."""
         g = self.generator
-        latest = g.newest(self.state).select(*g.granularity, *g.entity_features())
-        return g.opponents(df.join(latest, list(g.granularity), "left"))
+        latest = g.newest(self.state)
+        latest = latest.select(*g.granularity, *[c for c in g.entity_features() if c in latest.columns])
+        out = df.join(latest, list(g.granularity), "left") if g.granularity else df.crossJoin(F.broadcast(latest))  # without granularity one row
+        return g.completed(g.opponents(g.completed(out)))
+
+
+CARRIED = "__carried_"
+
+
+def carried_on(raw: DataFrame, names: list[str], by) -> DataFrame:
+    """Values forward over gaps. Rows of a state (not ``__new``) bring what they carried, as
+    their own frames are cut off."""
+    if "__new" in raw.columns and CARRIED + names[0] in raw.columns:
+        raw = raw.withColumns({n: F.when(F.col("__new"), F.col(n)).otherwise(F.col(CARRIED + n)) for n in names})
+    return raw.withColumns({n: filled(F.col(n), by) for n in names})
+
+
+def kept(g: DataFrame, by_cols: tuple[str, ...], roles: Roles, n: int, names: list[str]) -> DataFrame:
+    """The last ``n`` rows of each entity; its last one keeps the values of ``names`` as carried ones."""
+    known = [c for c in names if c in g.columns]
+    last = _last_rows(g, by_cols, roles, n)
+    last = last.withColumns({CARRIED + c: F.when(F.col("__k") == 1, F.col(c)) for c in known}) if known else last
+    return last.drop("__k", *known)
+
+
+def first_known(df: DataFrame, roles: Roles, granularity: list[str], columns: list[str]) -> DataFrame:
+    """Future rows with the values of each entity's first one: what is known before it holds for all."""
+    by = Window.partitionBy(*granularity).orderBy(roles.date, roles.match, roles.team)
+    return df.withColumns({c: F.first(c).over(by) for c in columns})
+
+
+def known_matches(df: DataFrame, history: DataFrame, roles: Roles) -> tuple[DataFrame, DataFrame]:
+    """The rows of matches that ``history`` holds, and the rows of others."""
+    ids = history.select(roles.match).distinct()
+    return df.join(ids, roles.match, "left_semi"), df.join(ids, roles.match, "left_anti")
+
+
+def checked_unique(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``; two rows of the same ``columns`` raise when the plan runs."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*columns))
+    one = F.when(n == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"rows are not unique by {columns}")).cast("boolean"))
+    return df.withColumn("__one", one).where("__one").drop("__one")
+
+
+def checked_order(df: DataFrame, roles: Roles, number: str) -> DataFrame:
+    """``df``; rows whose ``number`` doesn't ascend with (date, match, team) raise when the plan runs.
+
+    Neighbours are compared within a day and days by their ends, so nothing is sorted as a whole.
+    """
+    key = F.struct(roles.date, roles.match, roles.team)
+    inside = Window.partitionBy("__day").orderBy(key)
+    df = df.withColumn("__day", F.to_date(roles.date))
+    ends = df.groupBy("__day").agg(F.min(number).alias("__lo"), F.max(number).alias("__hi"))  # a row a day
+    ends = ends.withColumn("__before", F.max("__hi").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))).drop("__hi")
+    ok = (F.col(number) > F.coalesce(F.lag(number).over(inside), F.col(number) - 1)) & (F.col("__lo") > F.coalesce("__before", F.col("__lo") - 1))
+    ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("rows are not in order of date, match and team")).cast("boolean"))
+    return df.join(ends, "__day").withColumn("__ok", ok).where("__ok").drop("__ok", "__day", "__lo", "__before")
 
 
 def opponent_means(df: DataFrame, roles: Roles, columns: list[str]) -> DataFrame:
@@ -162,6 +220,8 @@ def filled(c: Column, by) -> Column:
 
 
 def _last_rows(df: DataFrame, by_cols: tuple[str, ...], roles: Roles, n: int) -> DataFrame:
+    if not by_cols:  # the top n by sorting in parts; the window then sees n rows
+        df = df.orderBy(F.col(roles.date).desc(), F.col(roles.match).desc()).limit(n)
     w = Window.partitionBy(*by_cols).orderBy(F.col(roles.date).desc(), F.col(roles.match).desc())
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n)
 
@@ -187,7 +247,7 @@ class Lag(Generator):
         return last.groupBy(*self.granularity).agg(*pick)
 
     def tail(self, g):
-        return _last_rows(g, self.granularity, self.roles, self.length).drop("__k")
+        return _last_rows(g, self.granularity, self.roles, self.length).drop("__k", *self.entity_features())
 
 
 @dataclass(frozen=True)
@@ -229,14 +289,14 @@ class Rolling(Generator):
     def window(self, g):
         frame = self.by().rowsBetween(-self.size, -1)
         raw = g.withColumns({self._name(f): self._value(f, lambda a: a.over(frame)) for f in self.features})
-        return raw.withColumns({n: filled(F.col(n), self.by()) for n in self.entity_features()})
+        return carried_on(raw, self.entity_features(), self.by())
 
     def newest(self, g):
         last = _last_rows(g, self.granularity, self.roles, self.size)
         return last.groupBy(*self.granularity).agg(*[self._value(f, lambda a: a).alias(self._name(f)) for f in self.features])
 
     def tail(self, g):
-        return _last_rows(g, self.granularity, self.roles, self.size).drop("__k")
+        return kept(g, self.granularity, self.roles, self.size, self.entity_features())
 
 
 @dataclass(frozen=True)
@@ -308,7 +368,7 @@ class RollingDays(Generator):
         return self._recent(g).groupBy(*self.granularity).agg(*aggs)
 
     def tail(self, g):
-        return self._recent(g)
+        return self._recent(g.drop(*self.entity_features()))
 
 
 @dataclass(frozen=True)
@@ -339,22 +399,46 @@ class RollingBinary(Generator):
     def _split(self, f, over):
         return {n: F.when(over(F.count(c)) >= self.min_periods, over(F.avg(c))) for n, k in zip(self._names(f), (1, 0)) for c in [F.when(F.col(self.flag) == k, F.col(f))]}
 
-    def _blended(self, g, p):
-        return g.withColumns({self._blend(f): F.col(self._names(f)[0]) * p + F.col(self._names(f)[1]) * (1 - p) for f in self.features}) if self.probability else g
+    def _means(self) -> list[str]:
+        return [n for f in self.features for n in self._names(f)]
+
+    def completed(self, df):
+        """Both means blended by the row's own probability; the opponents' by the probability of a 0."""
+        if not self.probability:
+            return df
+        p, out = F.col(self.probability), {}
+        for f in self.features:
+            one, zero = self._names(f)
+            out[self._blend(f)] = F.col(one) * p + F.col(zero) * (1 - p)
+            if f"{one}_opponent" in df.columns:
+                out[f"{self._blend(f)}_opponent"] = F.col(f"{one}_opponent") * (1 - p) + F.col(f"{zero}_opponent") * p
+        return df.withColumns(out)
+
+    def opponents(self, df):
+        return self.completed(super().opponents(df))
 
     def window(self, g):
         frame = self.by().rowsBetween(-self.size, -1)
         raw = g.withColumns({n: v for f in self.features for n, v in self._split(f, lambda a: a.over(frame)).items()})
-        raw = raw.withColumns({n: filled(F.col(n), self.by()) for f in self.features for n in self._names(f)})
-        return self._blended(raw, F.col(self.probability) if self.probability else None)
+        return self.completed(carried_on(raw, self._means(), self.by()))
 
     def newest(self, g):
+        """The means, carried forward where the last rows have none."""
         last = _last_rows(g, self.granularity, self.roles, self.size)
-        out = last.groupBy(*self.granularity).agg(*[v.alias(n) for f in self.features for n, v in self._split(f, lambda a: a).items()])
-        return self._blended(out, F.lit(None).cast("double"))
+        means = {n: v for f in self.features for n, v in self._split(f, lambda a: a).items()}
+        if CARRIED + self._means()[0] in g.columns:
+            means = {n: F.coalesce(v, F.max(CARRIED + n)) for n, v in means.items()}
+        return last.groupBy(*self.granularity).agg(*[v.alias(n) for n, v in means.items()])
 
     def tail(self, g):
-        return _last_rows(g, self.granularity, self.roles, self.size).drop("__k")
+        return kept(g.drop(*[self._blend(f) for f in self.features]), self.granularity, self.roles, self.size, self._means())
+
+
+class _Against(Rolling):
+    """Rolling means of (opponent, ...) groups, none of which is a row."""
+
+    def also(self):
+        return (self.roles.match,)
 
 
 @dataclass(frozen=True)
@@ -382,12 +466,36 @@ class AgainstOpponent:
     def features_out(self) -> list[str]:
         return [f"{self.prefix}_{f}{self.size}" for f in self.features]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        df = self.with_opponent(df)
+    @property
+    def inner(self) -> Generator:
         keys = list(dict.fromkeys((self.opponent, *self.granularity)))
-        inner = Rolling(self.features, keys, self.roles, size=self.size, min_periods=self.min_periods, prefix=self.prefix, group_to=(self.roles.batch, *keys), unique=("__no_row_is_a_group",))
-        g = df.groupBy(*inner.keys).agg(*[F.min(c).alias(c) for c in dict.fromkeys((self.roles.date, self.roles.match)) if c not in inner.keys], *[F.avg(f).alias(f) for f in self.features])
-        return inner.merged(df, inner.window(g))
+        return _Against(self.features, keys, self.roles, size=self.size, min_periods=self.min_periods, prefix=self.prefix, group_to=(self.roles.batch, *keys), unique=("__no_row_is_a_group",))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.inner.transform(self.with_opponent(df))
+
+    def fit(self, df: DataFrame) -> tuple[DataFrame, FittedAgainst]:
+        rows, fitted = self.inner.fit(self.with_opponent(df))
+        return rows, FittedAgainst(self, fitted)
+
+
+@dataclass(frozen=True)
+class FittedAgainst:
+    """Rows of later matches bring their opponents with them, or both sides of a match are there."""
+
+    generator: AgainstOpponent
+    fitted: Fitted
+
+    @property
+    def state(self) -> DataFrame:
+        return self.fitted.state
+
+    def update(self, df: DataFrame) -> tuple[DataFrame, FittedAgainst]:
+        rows, after = self.fitted.update(self.generator.with_opponent(df))
+        return rows, replace(self, fitted=after)
+
+    def project(self, df: DataFrame) -> DataFrame:
+        return self.fitted.project(self.generator.with_opponent(df))
 
 
 @dataclass(frozen=True)
@@ -413,6 +521,13 @@ class FeatureChain:
                 raise ValueError(f"features not made: {sorted(missing)}")
         return self.team_rows(df, out) if self.to_team else df
 
+    def fit(self, df: DataFrame) -> tuple[DataFrame, FittedChain]:
+        out, fitted = self.features_out(), []
+        for g in self.generators:
+            df, one = g.fit(df)
+            fitted.append(one)
+        return (self.team_rows(df, out) if self.to_team else df), FittedChain(self, tuple(fitted))
+
     def team_rows(self, df: DataFrame, features: list[str], historical: bool = True) -> DataFrame:
         """One row a (match, team): weighted means of the features, plain ones without weights."""
         r = self.roles
@@ -430,3 +545,24 @@ class FeatureChain:
             return F.when(total > 0, F.sum(c * w) / total).otherwise(F.avg(c)).alias(f)
 
         return df.groupBy(*keys).agg(*[mean(f) for f in features])
+
+
+@dataclass(frozen=True)
+class FittedChain:
+    """A chain whose generators are fitted; a later generator sees the features of the earlier ones."""
+
+    chain: FeatureChain
+    fitted: tuple
+
+    def update(self, df: DataFrame) -> tuple[DataFrame, FittedChain]:
+        after = []
+        for f in self.fitted:
+            df, one = f.update(df)
+            after.append(one)
+        rows = self.chain.team_rows(df, self.chain.features_out(), historical=False) if self.chain.to_team else df
+        return rows, replace(self, fitted=tuple(after))
+
+    def project(self, df: DataFrame) -> DataFrame:
+        for f in self.fitted:
+            df = f.project(df)
+        return self.chain.team_rows(df, self.chain.features_out(), historical=False) if self.chain.to_team else df

@@ -13,7 +13,7 @@ from ..operators import distributions as dist
 from ..operators import estimators as est
 from ..operators import ratings, scaling, scoring, shaping
 from ..operators.shaping import Filter
-from ..operators.windows import AgainstOpponent, FeatureChain, Lag, Rolling, RollingBinary, RollingDays
+from ..operators.windows import AgainstOpponent, FeatureChain, Lag, Rolling, RollingBinary, RollingDays, first_known, known_matches
 from ..sources import inputs
 from ..sources.inputs import DUELS, EVENTS, GAMES, SQUADS
 
@@ -201,18 +201,121 @@ def future_state_days(spark, sf):
     return out(g.newest(g.tail(g.grouped(holes(spark, sf)))), ["user_id"], g.features_out)
 
 
-@query(f"""WITH {HOLES}, c AS (SELECT quantile_disc(epoch_us(ts), 0.5) AS t FROM events), g AS (SELECT *, avg(coalesce(v, 1)) OVER {frame(10)} AS x FROM e)
-SELECT event_id, user_id, {r6('x', 'rolling_mean_v10')} FROM g, c WHERE epoch_us(ts) > t""")
+_HALF = "c AS (SELECT quantile_disc(epoch_us(ts), 0.5) AS t FROM events)"
+
+
+def halves(spark, sf, of=holes, date="ts") -> tuple[DataFrame, DataFrame]:
+    """Rows up to and after the middle date."""
+    df = of(spark, sf)
+    t = F.unix_micros(date)
+    cut = df.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros({date}))")).first()[0]
+    return df.where(t <= cut), df.where(t > cut)
+
+
+@query(f"""WITH {HOLES}, {_HALF}, g AS (SELECT *, CASE WHEN count(v) OVER {frame(4)} >= 4 THEN avg(v) OVER {frame(4)} END AS x FROM e),
+h AS (SELECT *, last_value(x IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM g)
+SELECT event_id, user_id, {r6('y', 'rolling_mean_v4')} FROM h, c WHERE epoch_us(ts) > t""")
 def update_after_fit(spark, sf):
-    """Fit on the first half of the stream, update with the second: as if computed at once."""
-    df = holes(spark, sf).fillna({"v": 1.0}).withColumn("t", F.unix_micros("ts"))
-    cut = df.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t)")).first()[0]
-    g = Rolling("v", PLAYERS, EVENTS, size=10)
-    _, fitted = g.fit(df.where(F.col("t") <= cut).drop("t"))
-    rows, _ = fitted.update(df.where(F.col("t") > cut).drop("t"))
+    """Fit on the first half of the stream, update with the second: as if computed at once, nulls and all."""
+    early, late = halves(spark, sf)
+    g = Rolling("v", PLAYERS, EVENTS, size=4, min_periods=4)
+    rows, _ = g.fit(early)[1].update(late)
     return out(rows, ["event_id", "user_id"], g.features_out)
 
 
+@query(f"""WITH {HOLES}, {_HALF}, g AS (SELECT *, avg(CASE WHEN won = 1 THEN v END) OVER {frame(5)} AS x1, avg(CASE WHEN won = 0 THEN v END) OVER {frame(5)} AS x0 FROM e),
+h AS (SELECT *, last_value(x1 IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y1, last_value(x0 IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y0 FROM g)
+SELECT event_id, user_id, {r6('y1', 'rolling_mean_binary_v5_1')}, {r6('y0', 'rolling_mean_binary_v5_0')}, {r6('y1 * prob + y0 * (1 - prob)', 'rolling_mean_binary_v5_prob')} FROM h, c WHERE epoch_us(ts) > t""")
+def binary_update(spark, sf):
+    early, late = halves(spark, sf)
+    g = RollingBinary("v", PLAYERS, EVENTS, size=5, flag="won", probability="prob")
+    rows, _ = g.fit(early)[1].update(late)
+    return out(rows, ["event_id", "user_id"], g.features_out)
+
+
+@query(f"""WITH {HOLES}, {_HALF}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM e, c WHERE epoch_us(ts) <= t),
+p AS (SELECT *, avg(CASE WHEN won = 1 THEN v END) OVER {frame(5)} AS x1, avg(CASE WHEN won = 0 THEN v END) OVER {frame(5)} AS x0 FROM e, c WHERE epoch_us(ts) <= t),
+w AS (SELECT user_id, arg_max(x1, (ts, event_id)) FILTER (x1 IS NOT NULL) AS c1, arg_max(x0, (ts, event_id)) FILTER (x0 IS NOT NULL) AS c0 FROM p GROUP BY user_id),
+s AS (SELECT user_id, avg(CASE WHEN won = 1 THEN v END) AS m1, avg(CASE WHEN won = 0 THEN v END) AS m0 FROM k WHERE k <= 5 GROUP BY user_id),
+m AS (SELECT s.user_id, coalesce(m1, c1) AS y1, coalesce(m0, c0) AS y0 FROM s JOIN w ON s.user_id = w.user_id)
+SELECT event_id, e.user_id, {r6('y1', 'rolling_mean_binary_v5_1')}, {r6('y0', 'rolling_mean_binary_v5_0')}, {r6('y1 * prob + y0 * (1 - prob)', 'rolling_mean_binary_v5_prob')}
+FROM e JOIN c ON epoch_us(ts) > t LEFT JOIN m ON e.user_id = m.user_id""")
+def binary_projected(spark, sf):
+    """Future rows: each outcome's latest mean, blended by the row's own probability."""
+    early, late = halves(spark, sf)
+    g = RollingBinary("v", PLAYERS, EVENTS, size=5, flag="won", probability="prob")
+    return out(g.fit(early)[1].project(late.select("event_id", "ts", "user_id", "prob")), ["event_id", "user_id"], g.features_out)
+
+
+_DUEL_HALF = "c AS (SELECT quantile_disc(epoch_us(start_date), 0.5) AS t FROM duels)"
+_AGAINST = f"""WITH {GAMES_SQL}, {_DUEL_HALF}, g AS (SELECT opponent_id, match_id, league, min(start_date) AS d, avg(score) AS s FROM duels GROUP BY ALL)"""
+
+
+def duels(spark, sf) -> DataFrame:
+    return inputs.duel_matches(spark, sf).withColumnRenamed("opponent_id", "__opponent")
+
+
+@query(f"""{_AGAINST}, x AS (SELECT *, avg(s) OVER (PARTITION BY opponent_id, league ORDER BY d, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS y FROM g)
+SELECT duels.match_id, team_id, {r6('y', 'rolling_mean_against_score5')} FROM duels JOIN c ON epoch_us(start_date) > t JOIN x ON duels.opponent_id = x.opponent_id AND duels.match_id = x.match_id AND duels.league = x.league""")
+def against_opponent_update(spark, sf):
+    early, late = halves(spark, sf, duels, "start_date")
+    g = AgainstOpponent(("score",), ("league",), DUELS, size=5)
+    rows, _ = g.fit(early)[1].update(late)
+    return out(rows, ["match_id", "team_id"], g.features_out)
+
+
+@query(f"""{_AGAINST}, k AS (SELECT *, row_number() OVER (PARTITION BY opponent_id, league ORDER BY d DESC, match_id DESC) AS k FROM g, c WHERE epoch_us(d) <= t),
+m AS (SELECT opponent_id, league, avg(s) AS y FROM k WHERE k <= 5 GROUP BY ALL)
+SELECT duels.match_id, team_id, {r6('y', 'rolling_mean_against_score5')} FROM duels JOIN c ON epoch_us(start_date) > t LEFT JOIN m ON duels.opponent_id = m.opponent_id AND duels.league = m.league""")
+def against_opponent_projected(spark, sf):
+    early, late = halves(spark, sf, duels, "start_date")
+    g = AgainstOpponent(("score",), ("league",), DUELS, size=5)
+    return out(g.fit(early)[1].project(late.drop("score", "opponent_score", "perf")), ["match_id", "team_id"], g.features_out)
+
+
+CHAIN = FeatureChain((Lag("v", PLAYERS, EVENTS, length=1), Rolling("lag_v1", PLAYERS, EVENTS, size=3)), EVENTS)
+_CHAIN = f"""WITH {HOLES}, {_HALF}, l AS (SELECT *, lag(v) OVER ({BY}) AS l FROM e), g AS (SELECT *, avg(l) OVER {frame(3)} AS x FROM l),
+h AS (SELECT *, last_value(x IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM g)"""
+
+
+@query(f"{_CHAIN} SELECT event_id, user_id, {r6('l', 'lag_v1')}, {r6('y', 'rolling_mean_lag_v13')} FROM h, c WHERE epoch_us(ts) > t")
+def chain_update(spark, sf):
+    """A generator over another one's feature, fitted and then updated."""
+    early, late = halves(spark, sf)
+    rows, _ = CHAIN.fit(early)[1].update(late)
+    return out(rows, ["event_id", "user_id"], CHAIN.features_out())
+
+
+@query(f"""{_CHAIN}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM l, c WHERE epoch_us(ts) <= t),
+m AS (SELECT user_id, max(CASE WHEN k = 1 THEN v END) AS a, avg(l) AS b FROM k WHERE k <= 3 GROUP BY user_id)
+SELECT event_id, e.user_id, {r6('a', 'lag_v1')}, {r6('b', 'rolling_mean_lag_v13')} FROM e JOIN c ON epoch_us(ts) > t LEFT JOIN m ON e.user_id = m.user_id""")
+def chain_projected(spark, sf):
+    """Future rows look up the state of history."""
+    early, late = halves(spark, sf)
+    return out(CHAIN.fit(early)[1].project(late.select("event_id", "ts", "user_id")), ["event_id", "user_id"], CHAIN.features_out())
+
+
+@query(f"WITH {HOLES} SELECT event_id, user_id, {r6('first_value(v) OVER (PARTITION BY user_id ORDER BY ts, event_id, user_id)', 'v')} FROM e")
+def future_first_known(spark, sf):
+    return out(first_known(holes(spark, sf), EVENTS, ["user_id"], ["v"]), ["event_id", "user_id"], ["v"])
+
+
+@query(f"WITH {HOLES} SELECT {r6('avg(v)', 'rolling_mean_v25')} FROM (SELECT * FROM e ORDER BY ts DESC, event_id DESC LIMIT 25)")
+def future_state_overall(spark, sf):
+    """Without granularity: the state of the whole stream."""
+    g = Rolling("v", (), EVENTS, size=25)
+    return out(g.newest(g.tail(g.grouped(holes(spark, sf)))), [], g.features_out)
+
+
+@query(f"WITH {HOLES}, {_HALF} SELECT event_id, event_id // 2 IN (SELECT event_id // 2 FROM e, c WHERE epoch_us(ts) <= t) AS known FROM e, c WHERE epoch_us(ts) > t")
+def rows_of_known_matches(spark, sf):
+    """Later rows by whether their match is in history."""
+    pair = lambda d: d.withColumn("match_id", F.expr("event_id DIV 2"))
+    early, late = map(pair, halves(spark, sf))
+    old, new = known_matches(late, early, Roles(match="match_id", team="user_id", date="ts"))
+    return old.select("event_id", F.lit(True).alias("known")).unionByName(new.select("event_id", F.lit(False).alias("known")))
+
+
 @query(f"""WITH {SQUADS_SQL}, g AS (SELECT *, lag(points) OVER (PARTITION BY player_id ORDER BY start_date, match_id) AS y FROM squads)
 SELECT match_id, team_id, {r6('CASE WHEN sum(CASE WHEN y IS NOT NULL THEN weight END) > 0 THEN sum(y * weight) / sum(CASE WHEN y IS NOT NULL THEN weight END) ELSE avg(y) END', 'lag_points1')} FROM g GROUP BY match_id, team_id""")
 def team_auto_aggregate(spark, sf):
