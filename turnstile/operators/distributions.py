@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -124,11 +125,6 @@ def student_t(mean: Column, sigma: Column, df: float, low: int, high: int) -> Co
     return run(mean, sigma)
 
 
-def mad_sigma(x: str, least: float = 1e-3) -> tuple[Column, Column]:
-    """Aggregates for the robust scale: the median, then 1.4826 x the median distance to it."""
-    return F.median(x), lambda centre: F.greatest(F.lit(1.4826) * F.median(F.abs(F.col(x) - centre)), F.lit(least))
-
-
 def cell_sigmas(rows: DataFrame, prediction: str, target: str, cells: int = 5, least_rows: int = 30, least: float = 1e-3) -> tuple[list[float], list[float], float]:
     """Quantile edges of the predictions, a robust residual scale for each cell, and the global one."""
     res = rows.select(F.col(prediction).alias("p"), (F.col(target) - F.col(prediction)).alias("e")).where("p IS NOT NULL AND e IS NOT NULL")
@@ -141,3 +137,35 @@ def cell_sigmas(rows: DataFrame, prediction: str, target: str, cells: int = 5, l
     r = res.agg(1.4826 * F.median(F.abs(F.col("e") - F.lit(centre))), F.stddev("e")).first()
     whole = max(r[0] or r[1] or least, least)
     return edges, [max((got[k]["s"] or got[k]["sd"] or least), least) if k in got and got[k]["n"] >= least_rows else whole for k in range(cells)], whole
+
+
+@dataclass(frozen=True)
+class StudentT:
+    """Student t around predictions, with robust scales by cells of the predictions. ``divide``: the unit of a class."""
+
+    prediction: str
+    target: str
+    low: int
+    high: int
+    degrees: float = 5.0
+    cells: int = 5
+    least_rows: int = 30
+    divide: float = 1.0
+    output: str = "distribution"
+
+    def fit(self, rows: DataFrame) -> FittedStudentT:
+        edges, sigmas, _ = cell_sigmas(rows, self.prediction, self.target, self.cells, self.least_rows)
+        return FittedStudentT(self, edges, sigmas)
+
+
+@dataclass(frozen=True)
+class FittedStudentT:
+    model: StudentT
+    edges: list
+    sigmas: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        m, p = self.model, F.col(self.model.prediction)
+        cell = F.size(F.filter(F.lit(self.edges).cast("array<double>"), lambda c: c < p))
+        sigma = F.element_at(F.lit(self.sigmas).cast("array<double>"), cell + 1) / m.divide
+        return df.withColumn(m.output, student_t(p / m.divide, sigma, m.degrees, m.low, m.high))

@@ -30,6 +30,13 @@ KINDS = {
 }
 
 
+def day_weighted(df: DataFrame, date: str, alias: str, epsilon: float = 0.1) -> DataFrame:
+    """Later rows weigh more: the days since the first one over twice the whole span, both a little longer."""
+    t = F.unix_micros(F.col(date).cast("timestamp")) / 86_400e6
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    return df.withColumn(alias, (t - F.lit(lo) + epsilon) / (2 * (hi - lo) + epsilon)) if lo is not None else df.withColumn(alias, F.lit(1.0))
+
+
 @dataclass(frozen=True)
 class Model:
     """Feature preparation and an estimator, chosen from the schema.
@@ -105,10 +112,8 @@ class Model:
                 raise ValueError("at least two classes are needed")
         weight = self.sample_weight
         if self.day_weight:
-            t = F.unix_micros(F.col(self.day_weight).cast("timestamp")) / 86_400e6
-            lo, hi = rows.agg(F.min(t), F.max(t)).first()
-            share = (t - F.lit(lo) + self.day_epsilon) / (2 * (hi - lo) + self.day_epsilon)
-            rows = rows.withColumn("__w", share * (F.col(weight) if weight else F.lit(1.0)))
+            rows = day_weighted(rows, self.day_weight, "__w", self.day_epsilon)
+            rows = rows.withColumn("__w", F.col("__w") * (F.col(weight) if weight else F.lit(1.0)))
             weight = "__w"
         est = KINDS[self.kind][0](featuresCol="__features" if scale else "__raw", labelCol=label, predictionCol="__prediction", **({"weightCol": weight} if weight else {}), **self.params)
         if not hasattr(est, "seed") or est.hasParam("seed") and "seed" not in self.params:
@@ -409,7 +414,8 @@ class _FittedOrdinal:
         n = len(self.models)
         ps = [1 - F.col("__a0"), *[F.col(f"__a{k - 1}") - F.col(f"__a{k}") for k in range(1, n)], F.col(f"__a{n - 1}")]
         out = out.withColumn("probability", F.array(*[F.greatest(p, F.lit(0.0)) for p in ps])).drop(*[f"__a{k}" for k in range(n)])
-        return out.withColumn("prediction", F.array_position("probability", F.array_max("probability")).cast("double") - 1)
+        best = F.array_position("probability", F.array_max("probability")).cast("int")
+        return out.withColumn("prediction", F.element_at(F.lit(self.classes).cast("array<double>"), best))
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,8 @@ Match t needs both sides' state after all earlier batches, so matches are folded
 order. Spark pairs the sides, attaches what the fold needs, and sorts; the fold streams
 over sorted matches in one task for each independent competition (``independent``), keeps
 one small state an entity, and emits pre-match values. Everything before and after is
-expressions. Configurations run side by side as further competitions (``with_trials``).
+expressions. Configurations run side by side as further competitions (``with_trials``): their
+matches are paired once and folded in a task each.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Roles
-from ..functions.frames import day_number, finite
+from ..functions.frames import day_number, finite, sigmoid
 
 EXPECTED_CONFIDENCE = 30.0
 
@@ -160,12 +161,13 @@ class Starts:
         self.cache = {k: v for k, v in self.cache.items() if k[0] not in (league, old)}
 
 
-def validate_performance(df: DataFrame, column: str) -> None:
-    """Performances must be finite, within [-0.02, 1.02], with a mean in [0.42, 0.58]."""
-    c = finite(F.col(column))
-    r = df.agg(F.min(c), F.max(c), F.avg(c)).first()
-    if r[0] is None or r[0] < -0.02 or r[1] > 1.02 or not 0.42 <= r[2] <= 0.58:
-        raise ValueError(f"{column} must lie in [0, 1] with a mean of about 0.5, found {r[0]} to {r[1]}, mean {r[2]}")
+def validate_performance(df: DataFrame, column: str) -> DataFrame:
+    """``df``, if its performances are null or finite, within [-0.02, 1.02], with a mean in [0.42, 0.58]."""
+    c = F.col(column).cast("double")
+    r = df.agg(F.min(c), F.max(c), F.avg(finite(c)), F.count(F.when(F.isnan(c) | (F.abs(c) == float("inf")), 1))).first()
+    if r[3] or r[0] is None or r[0] < -0.02 or r[1] > 1.02 or not 0.42 <= r[2] <= 0.58:
+        raise ValueError(f"{column} must be finite, lie in [0, 1] and have a mean of about 0.5, found {r[0]} to {r[1]}, mean {r[2]}, {r[3]} not finite")
+    return df
 
 
 # -- teams ---------------------------------------------------------------
@@ -191,8 +193,12 @@ def _none(x):
     return None if x is None or x != x else x
 
 
-def team_fold(matches: DataFrame, config: RatingConfig, independent: tuple[str, ...] = (), state: list | None = None) -> DataFrame:
-    """Pre-match values (match, team, ...) and, with kind 'state', the states after all matches."""
+def team_fold(matches: DataFrame, config: RatingConfig | dict[str, RatingConfig], independent: tuple[str, ...] = (), state: list | None = None) -> DataFrame:
+    """Pre-match values (match, team, ...) and, with kind 'state', the states after all matches.
+
+    ``config``: by trial (the last of ``independent``), or one for all. ``state``: what the fold goes on from (``team_states``).
+    """
+    configs, whole = (config, None) if isinstance(config, dict) else (None, config)
     id_type = matches.schema["team0"].dataType.simpleString()
     match_type = matches.schema["match"].dataType.simpleString()
     extra = [(c, matches.schema[c].dataType.simpleString()) for c in independent]
@@ -201,6 +207,7 @@ def team_fold(matches: DataFrame, config: RatingConfig, independent: tuple[str,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, off, dfn, predict, starts, batch, queue = None, {}, {}, None, None, None, []
+        config = None
 
         def apply():
             for team, d_off, d_def, day in queue:
@@ -219,6 +226,7 @@ def team_fold(matches: DataFrame, config: RatingConfig, independent: tuple[str,
                 if key != at:
                     out += states()
                     at, off, dfn, batch = key, {}, {}, None
+                    config = configs[key[-1]] if configs else whole
                     predict, starts = Predictor(config, True), Starts(config.start)
                     for t, o, d, conf, games, day in state or ():
                         off[t], dfn[t] = State(o, conf, games, day), State(d, conf, games, day)
@@ -269,16 +277,41 @@ def team_features(df: DataFrame, folded: DataFrame, roles: Roles, independent: t
     })
 
 
+def team_states(folded: DataFrame) -> list:
+    """The states of a fold without ``independent``, one a team, to go on from."""
+    rows = folded.where("kind = 'state'").select("team", TEAM_OUT[0], TEAM_OUT[1], "confidence", "games", "day").collect()
+    return [tuple(r) for r in rows]
+
+
+def start_of(df: DataFrame, roles: Roles, start: StartRating) -> Column:
+    """The start rating of unseen entities: fixed, by league, or the default."""
+    if start.fixed is not None or not roles.league or not start.leagues:
+        return F.lit(float(start.fixed if start.fixed is not None else start.default))
+    by = F.create_map(*[F.lit(x) for k, v in start.leagues.items() for x in (str(k), float(v))])
+    return F.coalesce(by[F.col(roles.league).cast("string")], F.lit(float(start.default)))
+
+
+def predicted(own: Column, opponent: Column, config: RatingConfig, team: Column | None = None, reference: float | None = None) -> Column:
+    """Expected performance from fixed states."""
+    if config.predictor == "mean":
+        raise ValueError("the mean predictor follows the matches in order; it can't be projected from states alone")
+    if config.predictor == "ignore_opponent":
+        return sigmoid(F.lit(config.slope) * (own - F.lit(config.reference if reference is None else reference)))
+    team = own if team is None else team
+    x = F.lit(config.slope) * (own - opponent) + F.lit(config.team_from_entity_coef) * (team - own) + F.lit(config.team_diff_coef) * (team - opponent)
+    return F.least(F.greatest(sigmoid(x), F.lit(1 - config.max_predict)), F.lit(config.max_predict))
+
+
 def project_teams(df: DataFrame, state: DataFrame, roles: Roles, config: RatingConfig = RatingConfig()) -> DataFrame:
     """Future rows against fitted states, which stay as they are; unseen teams get the start rating."""
     s = state.where("kind = 'state'").select(F.col("team").alias("__t"), F.col(TEAM_OUT[0]).alias("__o"), F.col(TEAM_OUT[1]).alias("__d"))
-    start = F.lit(config.start.fixed if config.start.fixed is not None else config.start.default)
+    start = start_of(df, roles, config.start)
     own = df.join(s, df[roles.team] == F.col("__t"), "left").withColumns({TEAM_OUT[0]: F.coalesce("__o", start), TEAM_OUT[1]: F.coalesce("__d", start)}).drop("__t", "__o", "__d")
     sides = own.select(F.col(roles.match).alias("__m"), F.col(roles.team).alias("__p"), F.col(TEAM_OUT[0]).alias(TEAM_OUT[2]), F.col(TEAM_OUT[1]).alias(TEAM_OUT[3])).distinct()
     out = own.join(sides, (F.col(roles.match) == F.col("__m")) & (F.col(roles.team) != F.col("__p")), "left").drop("__m", "__p")
     meets = F.col(TEAM_OUT[2] if config.future_opponent == "offence" else TEAM_OUT[3])
-    out = out.withColumn(TEAM_OUT[4], 1 / (1 + F.exp(-F.lit(config.slope) * (F.col(TEAM_OUT[0]) - meets))))
-    return out.withColumn(TEAM_OUT[5], 1 / (1 + F.exp(-F.lit(config.slope) * (F.col(TEAM_OUT[1]) - F.col(TEAM_OUT[2])))))
+    out = out.withColumn(TEAM_OUT[4], predicted(F.col(TEAM_OUT[0]), meets, config, reference=1000.0))
+    return out.withColumn(TEAM_OUT[5], predicted(F.col(TEAM_OUT[1]), F.col(TEAM_OUT[2]), config, reference=1000.0) if config.split else F.col(TEAM_OUT[4]))
 
 
 # -- players -------------------------------------------------------------
@@ -287,28 +320,33 @@ PLAYER_OUT = ["player_off_rating", "player_def_rating", "player_predicted_off_pe
 
 
 def player_matches(df: DataFrame, roles: Roles, performance: str, defence: str | None = None, extra: tuple[str, ...] = (), independent: tuple[str, ...] = ()) -> DataFrame:
-    """One row a match with the players of both sides as arrays of structs, ordered by id."""
+    """What the fold reads: one row a player and match, in any order. ``kind`` 1; rows of kind 0 bring states."""
     w = F.coalesce(finite(F.col(roles.weight)), F.lit(None).cast("double")) if roles.weight else F.lit(1.0)
     pw = finite(F.col(roles.projected_weight)) if roles.projected_weight else w
     dw = finite(F.col(roles.defence_weight)) if roles.defence_weight else w
     league = F.col(roles.league).cast("string") if roles.league else F.lit(None).cast("string")
-    times = lambda c: _playing_time(df, c) if c else F.lit(None).cast("map<string,double>")
-    player = F.struct(
-        F.col(roles.player).alias("id"), finite(F.col(performance)).alias("perf"), w.alias("w"), pw.alias("pw"), dw.alias("dw"), league.alias("league"),
+    times = lambda c: playing_time(df, c) if c else F.lit(None).cast("map<string,double>")
+    return df.select(
+        *dict.fromkeys((*independent, *extra)), F.lit(1).alias("kind"), F.col(roles.match).alias("match"), F.col(roles.batch).alias("batch"),
+        F.col(roles.date).alias("date"), day_number(F.col(roles.date)).alias("day"), F.col(roles.team).alias("team"), F.col(roles.player).alias("id"),
+        finite(F.col(performance)).alias("perf"), w.alias("w"), pw.alias("pw"), dw.alias("dw"), league.alias("league"),
         (finite(F.col(defence)) if defence else F.lit(None).cast("double")).alias("def_perf"),
         times(roles.team_playing_time).alias("with_team"), times(roles.opponent_playing_time).alias("with_opponent"),
-    )
-    keys = list(dict.fromkeys((roles.match, roles.batch, *extra, *independent)))
-    sides = df.groupBy(*keys, roles.team).agg(F.min(roles.date).alias("date"), F.sort_array(F.collect_list(F.to_json(player))).alias("players"))
-    m = sides.groupBy(*keys).agg(F.min("date").alias("date"), F.array_sort(F.collect_list(F.struct(F.col(roles.team).alias("team"), "players"))).alias("sides"))
-    m = m.where(F.size("sides") == 2)
-    return m.select(
-        *dict.fromkeys((*independent, *extra)), F.col(roles.match).alias("match"), F.col(roles.batch).alias("batch"), "date", day_number(F.col("date")).alias("day"),
-        *[F.col("sides")[k][x].alias(f"{x}{k}") for k in (0, 1) for x in ("team", "players")],
+        *[F.lit(None).cast(t).alias(c) for c, t in STATE],
     )
 
 
-def _playing_time(df: DataFrame, column: str):
+STATE = [("held_off", "double"), ("held_def", "double"), ("confidence", "double"), ("games", "double")]
+
+
+def _states(state: DataFrame, like: DataFrame, independent: tuple[str, ...]) -> DataFrame:
+    """States of an earlier fold as rows of kind 0 that come before all matches."""
+    own = {"kind": F.lit(0), "id": F.col("player"), "held_off": F.col(PLAYER_OUT[0]), "held_def": F.col(PLAYER_OUT[1])}
+    own |= {c: F.col(c) for c in ("team", "day", "confidence", "games", "league", *independent)}
+    return state.where("kind = 'state'").select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+def playing_time(df: DataFrame, column: str):
     """A map of shares of playing time, or JSON text of one; bad JSON raises, nulls are dropped, empty is null."""
     c = F.col(column)
     if df.schema[column].dataType.simpleString() == "string":
@@ -317,13 +355,14 @@ def _playing_time(df: DataFrame, column: str):
     return F.when(F.size(kept) > 0, kept)
 
 
-def player_fold(matches: DataFrame, config: RatingConfig, team_type: str, player_type: str, independent: tuple[str, ...] = (), extra: tuple[str, ...] = (), has_defence: bool = False) -> DataFrame:
-    """Pre-match values (match, team, player, ...) and, with kind 'state', the states after all matches."""
-    import json
-
+def player_fold(rows: DataFrame, config: RatingConfig, independent: tuple[str, ...] = (), extra: tuple[str, ...] = (), has_defence: bool = False) -> DataFrame:
+    """Pre-match values (match, team, player, ...) and, with kind 'state', the states after all
+    matches, from rows of ``player_matches``. More or fewer than two teams in a match raise."""
+    matches = rows
+    team_type, player_type = (matches.schema[c].dataType.simpleString() for c in ("team", "id"))
     keep = list(dict.fromkeys((*independent, *extra)))
     match_type = matches.schema["match"].dataType.simpleString()
-    schema = ", ".join([*(f"`{c}` {matches.schema[c].dataType.simpleString()}" for c in keep), "kind string", f"match {match_type}", f"team {team_type}", f"player {player_type}", *(f"{c} double" for c in PLAYER_OUT), "confidence double", "games double", "day int"])
+    schema = ", ".join([*(f"`{c}` {matches.schema[c].dataType.simpleString()}" for c in keep), "kind string", f"match {match_type}", f"team {team_type}", f"player {player_type}", *(f"{c} double" for c in PLAYER_OUT), "confidence double", "games double", "day int", "league string"])
     columns = [c.strip().split(" ")[0].strip("`") for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -355,7 +394,7 @@ def player_fold(matches: DataFrame, config: RatingConfig, team_type: str, player
             if at is None:
                 return []
             none = [None] * len(extra)
-            return [(*at, *none, "state", None, s.team, p, s.rating, dfn[p].rating, None, None, s.confidence, s.games, s.day) for p, s in off.items()]
+            return [(*at, *none, "state", None, s.team, p, s.rating, dfn[p].rating, None, None, s.confidence, s.games, s.day, starts.of.get(p)) for p, s in off.items()]
 
         def mean(players, ratings, weight):
             w = sum(p[weight] or 0.0 for p in players)
@@ -368,69 +407,137 @@ def player_fold(matches: DataFrame, config: RatingConfig, team_type: str, player
             total = sum(known.values())
             return sum(ratings[by_name[i]].rating * v for i, v in known.items()) / total if total > 0 else fallback
 
+        def play(side_rows: list, out: list) -> None:
+            """One match: rows of its players, by team and id."""
+            nonlocal batch
+            r = side_rows[0]
+            if batch is not None and r.batch != batch:
+                apply()
+            batch = r.batch
+            teams = list(dict.fromkeys(p.team for p in side_rows))
+            if len(teams) != 2:
+                raise ValueError(f"a match needs exactly two teams, {r.match} has {len(teams)}")
+            sides = [[Player(p) for p in side_rows if p.team == t] for t in teams]
+            day = int(r.day)
+            for side in sides:
+                known = [(off[p.id].rating, off[p.id].games, p.pw or 0.0) for p in side if p.id in off]
+                for p in side:
+                    if p.id not in off:
+                        start = starts.value(p.league, day, known)
+                        off[p.id], dfn[p.id] = State(start), State(start)
+            by_name = {str(p.id): p.id for side in sides for p in side}
+            perf = []
+            for side in sides:
+                seen = [p for p in side if p.perf is not None]
+                w = sum(p.w or 0.0 for p in seen)
+                perf.append(sum(p.perf * (p.w or 0.0) for p in seen) / w if w > 0 else None)
+
+            def mean(players, ratings):
+                w = sum(p.pw or 0.0 for p in players)
+                if w > 0:
+                    return sum(ratings[p.id].rating * (p.pw or 0.0) for p in players) / w
+                return sum(ratings[p.id].rating for p in players) / len(players)
+
+            def timed(times, ratings, fallback):
+                known = {i: v for i, v in (times or {}).items() if i in by_name and by_name[i] in ratings}
+                total = sum(known.values())
+                return sum(ratings[by_name[i]].rating * v for i, v in known.items()) / total if total > 0 else fallback
+
+            offs, defs = ([mean(s, x) for s in sides] for x in (off, dfn))
+            for k in (0, 1):
+                own_def = (1.0 - perf[1 - k] if perf[1 - k] is not None else None) if config.split else perf[k]
+                rated = [p for p in sides[k] if p.def_perf is not None]
+                wsum = sum(p.w or 0.0 for p in rated)
+                team_mean = sum(p.def_perf * (p.w or 0.0) for p in rated) / wsum if wsum > 0 else None
+                for p in sides[k]:
+                    o, d = off[p.id], dfn[p.id]
+                    p_off = predict(o.rating, timed(p.with_opponent, dfn, defs[1 - k]), timed(p.with_team, off, offs[k]))
+                    p_def = predict(d.rating, timed(p.with_opponent, off, offs[1 - k]), timed(p.with_team, dfn, defs[k]))
+                    d_off = 0.0 if p.perf is None else (p.perf - p_off) * o.multiplier(config.offence_multiplier, config) * (p.w if p.w is not None else 0.0)
+                    got = own_def
+                    if has_defence and got is not None and p.def_perf is not None and team_mean is not None:
+                        got = min(max(got + p.def_perf - team_mean, 0.0), 1.0)
+                    if not config.split:
+                        p_def, got = p_off, p.perf
+                    d_def = 0.0 if got is None or p.dw is None else (got - p_def) * d.multiplier(config.defence_multiplier, config) * p.dw
+                    out.append((*(getattr(p.row, c) for c in keep), "match", r.match, teams[k], p.id, o.rating, d.rating, p_off, p_def, None, None, None, None))
+                    queue.append((p.id, teams[k], o.rating, d_off, d_def, day, p.league))
+
+        match: list = []  # rows of the match that is being read
+
         for f in frames:
             out = []
-            for r in f.itertuples(index=False):
+            for r in f.itertuples(index=False, name="Row"):
                 key = tuple(getattr(r, c) for c in independent)
+                if match and (key != at or r.kind != 1 or r.match != match[0].match or r.batch != match[0].batch):
+                    play(match, out)
+                    match = []
                 if key != at:
                     out += states()
                     at, off, dfn, batch, rounds = key, {}, {}, None, 0
                     predict, starts = Predictor(config, False), Starts(config.start)
-                if batch is not None and r.batch != batch:
-                    apply()
-                batch = r.batch
-                teams = (r.team0, r.team1)
-                sides = [sorted((json.loads(x) for x in xs), key=lambda p: p["id"]) for xs in (r.players0, r.players1)]
-                for side in sides:
-                    for p in side:
-                        for name in ("perf", "w", "pw", "dw", "league", "def_perf", "with_team", "with_opponent"):
-                            p.setdefault(name, None)
-                    known = [(off[p["id"]].rating, off[p["id"]].games, p["pw"] or 0.0) for p in side if p["id"] in off]
-                    for p in side:
-                        if p["id"] not in off:
-                            start = starts.value(p["league"], int(r.day), known)
-                            off[p["id"]], dfn[p["id"]] = State(start), State(start)
-                by_name = {str(p["id"]): p["id"] for side in sides for p in side}
-                perf = []
-                for side in sides:
-                    seen = [p for p in side if p["perf"] is not None]
-                    w = sum(p["w"] or 0.0 for p in seen)
-                    perf.append(sum(p["perf"] * (p["w"] or 0.0) for p in seen) / w if w > 0 else None)
-                offs, defs = ([mean(s, x, "pw") for s in sides] for x in (off, dfn))
-                for k in (0, 1):
-                    own_def = (1.0 - perf[1 - k] if perf[1 - k] is not None else None) if config.split else perf[k]
-                    rated = [p for p in sides[k] if p["def_perf"] is not None]
-                    wsum = sum(p["w"] or 0.0 for p in rated)
-                    team_mean = sum(p["def_perf"] * (p["w"] or 0.0) for p in rated) / wsum if wsum > 0 else None
-                    for p in sides[k]:
-                        i = p["id"]
-                        o, d = off[i], dfn[i]
-                        p_off = predict(o.rating, timed(p["with_opponent"], dfn, defs[1 - k]), timed(p["with_team"], off, offs[k]))
-                        p_def = predict(d.rating, timed(p["with_opponent"], off, offs[1 - k]), timed(p["with_team"], dfn, defs[k]))
-                        d_off = 0.0 if p["perf"] is None else (p["perf"] - p_off) * o.multiplier(config.offence_multiplier, config) * (p["w"] if p["w"] is not None else 0.0)
-                        got = own_def
-                        if has_defence and got is not None and p["def_perf"] is not None and team_mean is not None:
-                            got = min(max(got + p["def_perf"] - team_mean, 0.0), 1.0)
-                        if not config.split:
-                            p_def, got = p_off, p["perf"]
-                        d_def = 0.0 if got is None or p["dw"] is None else (got - p_def) * d.multiplier(config.defence_multiplier, config) * p["dw"]
-                        out.append((*(getattr(r, c) for c in keep), "match", r.match, teams[k], i, o.rating, d.rating, p_off, p_def, None, None, None))
-                        queue.append((i, teams[k], o.rating, d_off, d_def, int(r.day), p["league"]))
+                if r.kind == 0:
+                    day = None if _none(r.day) is None else int(r.day)
+                    off[r.id] = State(r.held_off, r.confidence, r.games, day, r.team)
+                    dfn[r.id] = State(r.held_def, r.confidence, r.games, day, r.team)
+                    starts.learn(r.id, _none(r.league), day or 0, r.held_off)
+                else:
+                    match.append(r)
             yield _frame(out, columns, ("day",))
+        out = []
+        if match:
+            play(match, out)
         if at is not None:
-            yield _frame(states(), columns, ("day",))
+            yield _frame(out + states(), columns, ("day",))
 
-    ordered = matches.repartition(*independent) if independent else matches.repartition(1)
-    return ordered.sortWithinPartitions(*independent, "date", "batch", "match").mapInPandas(run, schema)
+    order = [*independent, "kind", "date", "batch", "match", "team", "id"]
+    dealt = rows.repartition(*independent) if independent else rows.repartition(1)
+    return dealt.sortWithinPartitions(*order).mapInPandas(run, schema)
+
+
+class Player:
+    """A player's row with missing numbers as None."""
+
+    __slots__ = ("row", "id", "perf", "w", "pw", "dw", "league", "def_perf", "with_team", "with_opponent")
 
+    def __init__(self, row):
+        self.row, self.id, self.league = row, row.id, _none(row.league)
+        for c in ("perf", "w", "pw", "dw", "def_perf"):
+            setattr(self, c, _none(getattr(row, c)))
+        for c in ("with_team", "with_opponent"):
+            times = getattr(row, c)
+            setattr(self, c, dict(times) if isinstance(times, (dict, list)) and len(times) else None)
 
-def player_ratings(df: DataFrame, roles: Roles, performance: str, config: RatingConfig = RatingConfig(), defence: str | None = None, extra: tuple[str, ...] = (), independent: tuple[str, ...] = ()) -> DataFrame:
-    """The fold of player matches, ready for ``player_features`` and state look-ups."""
+
+def player_ratings(
+    df: DataFrame, roles: Roles, performance: str, config: RatingConfig = RatingConfig(), defence: str | None = None,
+    extra: tuple[str, ...] = (), independent: tuple[str, ...] = (), state: DataFrame | None = None,
+) -> DataFrame:
+    """The fold of player matches, ready for ``player_features`` and state look-ups; ``state``: an earlier fold to go on from."""
     m = player_matches(df, roles, performance, defence, extra, independent)
-    return player_fold(m, config, df.schema[roles.team].dataType.simpleString(), df.schema[roles.player].dataType.simpleString(), independent, extra, defence is not None)
+    m = m.unionByName(_states(state, m, independent)) if state is not None else m
+    return player_fold(m, config, independent, extra, defence is not None)
 
 
-def weighted_over(c: str, weight: str | None, w) -> F.Column:
+def project_players(df: DataFrame, state: DataFrame, roles: Roles, config: RatingConfig = RatingConfig()) -> DataFrame:
+    """Future rows with PLAYER_OUT against fitted states, which stay as they are; unseen players get the start rating."""
+    s = state.where("kind = 'state'").select(F.col("player").alias("__p"), F.col(PLAYER_OUT[0]).alias("__o"), F.col(PLAYER_OUT[1]).alias("__d"))
+    start = start_of(df, roles, config.start)
+    out = df.join(s, df[roles.player] == F.col("__p"), "left").withColumns({PLAYER_OUT[0]: F.coalesce("__o", start), PLAYER_OUT[1]: F.coalesce("__d", start)}).drop("__p", "__o", "__d")
+    weight = roles.projected_weight or roles.weight
+    side = Window.partitionBy(roles.match, roles.team)
+    out = out.withColumns({"__to": weighted_over(PLAYER_OUT[0], weight, side), "__td": weighted_over(PLAYER_OUT[1], weight, side)})
+    match = Window.partitionBy(roles.match)
+    for c in ("o", "d"):
+        least, most = (f(F.struct(F.col(roles.team).alias("t"), F.col(f"__t{c}").alias("v"))).over(match) for f in (F.min, F.max))
+        out = out.withColumn(f"__x{c}", F.when(F.col(roles.team) == least["t"], most["v"]).otherwise(least["v"]))
+    off, dfn = F.col(PLAYER_OUT[0]), F.col(PLAYER_OUT[1])
+    out = out.withColumn(PLAYER_OUT[2], predicted(off, F.col("__xd"), config, F.col("__to")))
+    out = out.withColumn(PLAYER_OUT[3], predicted(dfn, F.col("__xo"), config, F.col("__td")) if config.split else F.col(PLAYER_OUT[2]))
+    return out.drop("__to", "__td", "__xo", "__xd")
+
+
+def weighted_over(c: str, weight: str | None, w) -> Column:
     x = F.col(c)
     if weight is None:
         return F.avg(x).over(w)
@@ -442,7 +549,11 @@ def player_features(df: DataFrame, folded: DataFrame, roles: Roles, extra: tuple
     """All derived rating features of player rows; sides meet by window sums, so no join of opponents is needed."""
     keep = list(dict.fromkeys((*independent, *extra)))
     pre = folded.where("kind = 'match'").select(*keep, F.col("match").alias(roles.match), F.col("team").alias(roles.team), F.col("player").alias(roles.player), *PLAYER_OUT)
-    out = df.join(pre, [*keep, roles.match, roles.team, roles.player])
+    return derived_features(df.join(pre, [*keep, roles.match, roles.team, roles.player]), roles, keep)
+
+
+def derived_features(out: DataFrame, roles: Roles, keep: list[str] = ()) -> DataFrame:
+    """Team, opponent, difference and mean features of player rows, historical or projected, from PLAYER_OUT."""
     weight = roles.projected_weight or roles.weight
     side = Window.partitionBy(roles.match, *keep, roles.team)
     match = Window.partitionBy(roles.match, *keep)
@@ -463,20 +574,36 @@ def player_features(df: DataFrame, folded: DataFrame, roles: Roles, extra: tuple
     })
 
 
-def calibrated_reference(ratings: list[float], coef: float, low: float = 0.0, high: float = 3000.0) -> float:
-    """The anchor at which the mean expected performance is 0.5, by bisection."""
-    for _ in range(200):
-        mid = (low + high) / 2
-        if sum(logistic(coef * (r - mid)) for r in ratings) / len(ratings) > 0.5:
-            low = mid
-        else:
-            high = mid
+def calibrated_reference(ratings: DataFrame, column: str, coef: float, low: float = 0.0, high: float = 3000.0, rounds: int = 40) -> float:
+    """The anchor at which the mean expected performance is 0.5, by halving the bracket: one
+    aggregation for each round, over 15 anchors inside it."""
+    x = ratings.select(F.col(column).cast("double").alias("r")).where("r IS NOT NULL")
+    if x.isEmpty():
+        raise ValueError("there are no ratings to calibrate")
+    mean = lambda at: F.avg(sigmoid(F.lit(coef) * (F.col("r") - F.lit(at))))
+    ends = x.agg(mean(low), mean(high)).first()
+    if ends[0] < 0.5 or ends[1] > 0.5:
+        raise ValueError(f"no anchor between {low} and {high} gives a mean of one half")
+    while rounds > 0 and high - low > 1e-9:
+        at = [low + (high - low) * k / 16 for k in range(1, 16)]
+        got = x.agg(*[mean(a) for a in at]).first()
+        low, high = max([low, *(a for a, m in zip(at, got) if m >= 0.5)]), min([high, *(a for a, m in zip(at, got) if m < 0.5)])
+        rounds -= 4
     return (low + high) / 2
 
 
-def with_trials(df: DataFrame, configs: dict[str, RatingConfig]) -> DataFrame:
-    """A copy of the matches for each trial, as an independent competition ``trial``."""
-    return df.withColumn("trial", F.explode(F.array(*[F.lit(k) for k in configs])))
+def calibrated_player_ratings(df: DataFrame, roles: Roles, performance: str, config: RatingConfig, **how) -> tuple[DataFrame, RatingConfig]:
+    """Two passes for the predictor that ignores opponents: the first gives the ratings that its reference is calibrated on."""
+    if config.predictor != "ignore_opponent":
+        raise ValueError("only the predictor that ignores opponents has a reference")
+    first = player_ratings(df, roles, performance, config, **how).where("kind = 'match'")
+    config = replace(config, reference=calibrated_reference(first, PLAYER_OUT[0], config.slope))
+    return player_ratings(df, roles, performance, config, **how), config
+
+
+def with_trials(matches: DataFrame, configs: dict[str, RatingConfig]) -> DataFrame:
+    """A copy of paired matches for each trial, as an independent competition ``trial``; the fold takes ``configs``."""
+    return matches.withColumn("trial", F.explode(F.array(*[F.lit(k) for k in configs])))
 
 
 def optimise_league_starts(fit, leagues: dict, error_rows, rounds: int = 3, rate: float = 0.1, scale: float = 1.0, least_rows: int = 10) -> dict:
@@ -491,7 +618,3 @@ def optimise_league_starts(fit, leagues: dict, error_rows, rounds: int = 3, rate
             if r["n"] >= least_rows and r["e"] is not None:
                 leagues = {**leagues, r["league"]: leagues.get(r["league"], 1000.0) + rate * r["e"] * scale}
     return leagues
-
-
-def trial_config(config: RatingConfig, **changes) -> RatingConfig:
-    return replace(config, **changes)

@@ -254,6 +254,25 @@ class Quantile:
         return df.withColumns({self.prefix + f: self.expr(f) for f in self.features})
 
 
+@dataclass
+class GroupMeans:
+    """The mean (or sum) of features in each group at the time of fitting, on the rows of any table; null for unseen groups."""
+
+    features: list[str]
+    granularity: list[str]
+    how: str = "mean"
+    prefix: str = "group_"
+    table: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> GroupMeans:
+        agg = {"mean": F.avg, "sum": F.sum}[self.how]
+        self.table = df.groupBy(*self.granularity).agg(*[agg(finite(F.col(f))).alias(self.prefix + f) for f in self.features])
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.drop(*[self.prefix + f for f in self.features]).join(self.table, self.granularity, "left")
+
+
 class Performance:
     """Symmetric, standardised and min-max scaled in turn, bounded to [0, 1].
 

@@ -7,6 +7,7 @@ one number only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -50,6 +51,12 @@ class Scorer:
         """The score as an aggregate of columns ``p`` and ``y`` (and ``w``)."""
         raise NotImplementedError
 
+    @property
+    def name(self) -> str:
+        """Words of the kind, what is scored, and how: mean_absolute_error_points_by_league."""
+        kind = re.sub(r"(?<=[a-z])(?=[A-Z])", "_", type(self).__name__).lower()
+        return "_".join([kind, self.target, *(["by", *self.granularity] if self.granularity else []), *(["naive"] if self.naive else [])])
+
     def baseline(self, df: DataFrame) -> DataFrame:
         """``df`` with ``p`` replaced by the mean target of its naive group, inside each score group."""
         keys = [*self.granularity, *self.naive_granularity]
@@ -92,8 +99,9 @@ class Scorer:
         per = long.groupBy(*self.level, "__k").agg((F.avg if how == "mean" else F.sum)("__p").alias("__p"))
         lists = per.groupBy(*self.level).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__p"))), lambda x: x["__p"]).alias(self.prediction))
         target = {"sum": F.sum, "mean": F.avg, "first": F.min}[self.how.get("target", "sum")]
-        rest = df.groupBy(*self.level).agg(target(self.target).alias(self.target))
-        return rest.join(lists, self.level)
+        more = [F.min(g).alias(g) for g in self.granularity + self.naive_granularity if g not in self.level]
+        more += [F.sum(self.weight).alias(self.weight)] if self.weight else []
+        return df.groupBy(*self.level).agg(target(self.target).alias(self.target), *more).join(lists, self.level)
 
     def score(self, df: DataFrame) -> DataFrame:
         rows = self.rows(df)
@@ -190,6 +198,47 @@ class ClassScorer(Scorer):
         return df.drop("p").join(df.groupBy(*keys).agg(shares), keys)
 
 
+@dataclass
+class ListScorer(ClassScorer):
+    """Scores of the class lists themselves. Lists shorter than ``classes`` count as ending in zeros.
+
+    The naive baseline is the commonest class of its group, the smaller one on ties.
+    """
+
+    def rows(self, df):
+        k = len(self.classes)
+        padded = F.slice(F.concat(F.col("p"), F.array_repeat(F.lit(0.0), k)), 1, k)
+        return super().rows(df).withColumn("p", padded)
+
+    def baseline(self, df):
+        keys = [*self.granularity, *self.naive_granularity]
+        counts = [F.struct(F.sum((F.col("y") == c).cast("int")).alias("n"), F.lit(-k).alias("k")) for k, c in enumerate(self.classes)]
+        mode = F.greatest(*counts)["k"]
+        p = F.transform(F.sequence(F.lit(0), F.lit(len(self.classes) - 1)), lambda k: F.when(k == -F.col("__mode"), 1.0).otherwise(0.0))
+        if not keys:
+            return df.drop("p").crossJoin(F.broadcast(df.agg(mode.alias("__mode")))).withColumn("p", p)
+        return df.drop("p").join(df.groupBy(*keys).agg(mode.alias("__mode")), keys).withColumn("p", p)
+
+
+class ClassLogLoss(ListScorer):
+    """Cross entropy of the class that occurred; probabilities are kept off 0 and 1 and add up to one."""
+
+    def metric(self):
+        labels = F.lit([float(c) for c in self.classes]).cast("array<double>")
+        kept = F.transform("p", lambda x: F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), x)))
+        total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
+        return -_mean(F.log(F.element_at(kept, F.array_position(labels, F.col("y").cast("double")).cast("int")) / total))
+
+
+class ClassAccuracy(ListScorer):
+    """How often the likeliest class (the first of equals) occurred."""
+
+    def metric(self):
+        labels = F.lit([float(c) for c in self.classes]).cast("array<double>")
+        best = F.element_at(labels, F.array_position("p", F.array_max("p")).cast("int"))
+        return _mean((best == F.col("y").cast("double")).cast("double"))
+
+
 class ProbabilityWeightedSquaredError(ClassScorer):
     """Mean over rows of the squared distances of all classes to the target, weighted by their probabilities."""
 
@@ -265,11 +314,11 @@ class ThresholdEvent(ClassScorer):
         labels = F.lit([float(c) for c in self.classes]).cast("array<double>")
         p = F.aggregate(F.zip_with(F.col(self.prediction), labels, lambda q, k: F.when(cmp(k, t), q).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
         df = df.withColumns({"__p": F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)), "__y": cmp(F.col(self.target).cast("double"), t).cast("int")})
-        return self.inner("__p", "__y", filters=self.filters, validation=self.validation, granularity=self.granularity, naive=self.naive, naive_granularity=self.naive_granularity, weight=self.weight).score(df)
+        return self.inner("__p", "__y", filters=self.filters, validation=self.validation, granularity=self.granularity, naive=self.naive, naive_granularity=self.naive_granularity, weight=self.weight, level=self.level, how=self.how).score(df)
 
 
 class CallableScorer(Scorer):
-    """Any function (targets, predictions) -> number, on each group's rows."""
+    """Any function (targets, predictions) -> number, on each group's rows, which must fit into one task."""
 
     def __init__(self, function, *args, **kw):
         super().__init__(*args, **kw)

@@ -332,6 +332,26 @@ def group_reducer_weighted(spark, sf):
     return out(shaping.reduce_groups(df, ["match_id", "team_id"], "weight"), ["match_id", "team_id"], ["points", "weight"])
 
 
+@query(f"WITH {SQUADS_SQL}, x AS (SELECT *, sum(points) OVER (PARTITION BY match_id, team_id) AS target FROM squads) SELECT match_id, team_id, {r6('max(target)', 'target')}, {r6('sum(weight)', 'weight')} FROM x GROUP BY ALL")
+def group_target(spark, sf):
+    """The one target of each group, and the sum of its sample weights."""
+    df = inputs.squad_matches(spark, sf).withColumn("target", F.sum("points").over(Window.partitionBy("match_id", "team_id")))
+    return out(shaping.constant_target(df, ["match_id", "team_id"], "target", "weight"), ["match_id", "team_id"], ["target", "weight"])
+
+
+@query(f"WITH {SQUADS_SQL} SELECT match_id, team_id, player_id, {r6('points2 / points', 'share')} FROM squads")
+def arithmetic_in_place(spark, sf):
+    df = shaping.arithmetic(inputs.squad_matches(spark, sf), "points2", "points", "divide", alias="share", drop=True)
+    return out(df.select([c for c in df.columns if c not in ("points", "points2")]), ["match_id", "team_id", "player_id"], ["share"])
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
+def playing_time_maps(spark, sf):
+    """Maps of shares read from JSON text."""
+    e = inputs.entity_events(spark, sf)
+    return e.select("event_id", ratings.playing_time(e, "props")["k"].alias("k"))
+
+
 @query(f"WITH {SQUADS_SQL} SELECT match_id, team_id, player_id, {r6('points / sum(points) OVER (PARTITION BY match_id, team_id) * 240', 'points')} FROM squads")
 def normalize_to(spark, sf):
     return out(shaping.normalise_to(inputs.squad_matches(spark, sf), "points", ["match_id", "team_id"], 240), ["match_id", "team_id", "player_id"], ["points"])
@@ -414,6 +434,25 @@ def diminishing(spark, sf):
     return scaled(spark, sf, scaling.Diminishing(["value"]))
 
 
+@query(f"""WITH q AS (SELECT quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM events), x AS (SELECT event_id, least(1, greatest(0, (value - lo) / (hi - lo))) AS x FROM events, q)
+SELECT event_id, {r6('x * 0.5 / avg(x) OVER ()', 'value')} FROM x""")
+def minmax_multiplied(spark, sf):
+    return scaled(spark, sf, scaling.MinMax(["value"], quantile=0.9, multiply_align=True, add_align=False))
+
+
+@query(f"WITH q AS (SELECT quantile_cont(value, 0.07) AS c FROM events) SELECT event_id, {r6('CASE WHEN value < c THEN c - (c - value) * 0.8 ELSE value END', 'value')} FROM events, q")
+def diminishing_reverse(spark, sf):
+    return scaled(spark, sf, scaling.Diminishing(["value"], reverse=True))
+
+
+@query(f"""WITH {HOLES}, {_HALF}, m AS (SELECT user_id, avg(v) AS a, sum(w) AS b FROM e, c WHERE epoch_us(ts) <= t GROUP BY user_id)
+SELECT event_id, {r6('a', 'group_v')} FROM e JOIN c ON epoch_us(ts) > t LEFT JOIN m ON e.user_id = m.user_id""")
+def group_means_at_fit(spark, sf):
+    """Means of the first half by user, on the rows of the second."""
+    early, late = halves(spark, sf)
+    return out(scaling.GroupMeans(["v"], ["user_id"]).fit(early).transform(late), ["event_id"], ["group_v"])
+
+
 _KNOTS = ", ".join(str(k / 200) for k in range(201))
 
 
@@ -490,7 +529,11 @@ def team_rating(spark, sf):
     return out(ratings.team_features(df, folded, DUELS), ["match_id", "team_id"], names)
 
 
-@query()
+_LAST_STATE = _FOLD[: _FOLD.index("\nSELECT match_id, ta AS team_id")] + ", z AS (SELECT o, d FROM f ORDER BY n DESC LIMIT 1)"
+
+
+@query(f"""{_LAST_STATE} SELECT match_id, duels.team_id AS team_id, {r6('o[a.i]', 'team_off_rating_projected')}, {r6('d[a.i]', 'team_def_rating_projected')}, {r6('o[b.i]', 'opponent_off_rating_projected')}, {r6('d[b.i]', 'opponent_def_rating_projected')},
+  {r6(_sig('o[a.i] - d[b.i]'), 'team_predicted_off_performance')}, {r6(_sig('d[a.i] - o[b.i]'), 'team_predicted_def_performance')} FROM duels JOIN t a ON duels.team_id = a.team_id JOIN t b ON opponent_id = b.team_id, z""")
 def team_rating_future(spark, sf):
     df = duel_performance(spark, sf)
     folded = ratings.team_fold(ratings.team_matches(df, DUELS, "perf"), ratings.RatingConfig())
@@ -498,15 +541,17 @@ def team_rating_future(spark, sf):
     return out(ratings.project_teams(future, folded, DUELS), ["match_id", "team_id"], ratings.TEAM_OUT)
 
 
-@query()
+def _trial(name: str, coef: float) -> str:
+    return _FOLD.replace("0.005757", str(coef)).replace("WITH RECURSIVE", f"SELECT '{name}' AS trial, match_id, team_id, team_off_rating_projected FROM (WITH RECURSIVE", 1) + ")"
+
+
+@query(f"{_trial('flat', 0.003)} UNION ALL {_trial('steep', 0.009)}")
 def team_rating_trials(spark, sf):
-    """Rating configurations side by side, each in a task of its own."""
-    df = duel_performance(spark, sf)
-    parts = []
-    for name, coef in (("flat", 0.003), ("steep", 0.009)):
-        f = ratings.team_fold(ratings.team_matches(df, DUELS, "perf"), ratings.RatingConfig(coef=coef))
-        parts.append(f.where("kind = 'match'").select(F.lit(name).alias("trial"), F.col("match").alias("match_id"), F.col("team").alias("team_id"), "team_off_rating_projected"))
-    return parts[0].unionByName(parts[1])
+    """Rating configurations side by side: one pairing of the sides, a fold a trial in tasks of their own."""
+    configs = {"flat": ratings.RatingConfig(coef=0.003), "steep": ratings.RatingConfig(coef=0.009)}
+    matches = ratings.with_trials(ratings.team_matches(duel_performance(spark, sf), DUELS, "perf"), configs)
+    f = ratings.team_fold(matches, configs, ("trial",)).where("kind = 'match'")
+    return out(f.withColumnsRenamed({"match": "match_id", "team": "team_id"}), ["trial", "match_id", "team_id"], ["team_off_rating_projected"])
 
 
 def squad_performance(spark, sf) -> DataFrame:
@@ -519,12 +564,70 @@ PLAYER_FEATURES = [
 ]
 
 
-@query()
+def _over(side: int, value: str) -> str:
+    """The mean of a match's list over one side, by weight."""
+    total = lambda x: f"list_sum(list_transform(range(1, len(js) + 1), lambda i: CASE WHEN sd[i] = {side} THEN {x} ELSE 0 END))"
+    return f"{total(value + '[i] * w[i]')} / {total('w[i]')}"
+
+
+def _each(x: str) -> str:
+    return f"list_transform(range(1, len(js) + 1), lambda i: {x})"
+
+
+_KNOWN = "list_filter(range(1, len(o) + 1), lambda i: l[i] IS NOT NULL AND day - l[i] <= 600)"
+_PLAYERS = f"""WITH RECURSIVE {SQUADS_SQL},
+s AS (SELECT *, points / (points + 25.0) AS perf, least(1.0, lines / 2.0) AS pw, date_diff('day', DATE '2000-01-01', CAST(start_date AS DATE)) + 1 AS day FROM squads),
+t AS (SELECT player_id, row_number() OVER (ORDER BY player_id) AS i FROM (SELECT DISTINCT player_id FROM s)),
+m AS (SELECT row_number() OVER (ORDER BY start_date, match_id) AS n, * FROM (SELECT match_id, min(start_date) AS start_date, min(day) AS day, min(team_id) AS ta, max(team_id) AS tb FROM s GROUP BY match_id)),
+p AS (SELECT n, m.match_id, m.day, list(t.i ORDER BY s.team_id, s.player_id) AS js, list(CASE WHEN s.team_id = ta THEN 0 ELSE 1 END ORDER BY s.team_id, s.player_id) AS sd,
+  list(s.perf ORDER BY s.team_id, s.player_id) AS pf, list(s.pw ORDER BY s.team_id, s.player_id) AS w, any_value(ta) AS ta, any_value(tb) AS tb FROM m JOIN s ON s.match_id = m.match_id JOIN t ON t.player_id = s.player_id GROUP BY n, m.match_id, m.day),
+f AS (SELECT CAST(0 AS BIGINT) AS n, (SELECT list(NULL::DOUBLE) FROM t) AS o, (SELECT list(NULL::DOUBLE) FROM t) AS d, (SELECT list(0.0::DOUBLE) FROM t) AS c, (SELECT list(NULL::DOUBLE) FROM t) AS l,
+    []::BIGINT[] AS js, []::DOUBLE[] AS eo, []::DOUBLE[] AS ed, 0.0::DOUBLE AS oa, 0.0::DOUBLE AS ob, 0.0::DOUBLE AS da, 0.0::DOUBLE AS db, []::DOUBLE[] AS po
+  UNION ALL SELECT n,
+    list_transform(o, lambda x, j: coalesce(no[list_position(js, j)], x)), list_transform(d, lambda x, j: coalesce(nd[list_position(js, j)], x)),
+    list_transform(c, lambda x, j: CASE WHEN list_contains(js, j) THEN {_CONF.format(l='l[j]', c='x')} ELSE x END), list_transform(l, lambda x, j: CASE WHEN list_contains(js, j) THEN day ELSE x END),
+    js, eo, ed, oa, ob, da, db, po FROM (
+  SELECT *, {_each(f"eo[i] + (pf[i] - po[i]) * {_MULT.format(c='c[js[i]]')} * w[i]")} AS no, {_each(f"ed[i] + (1 - CASE WHEN sd[i] = 0 THEN qb ELSE qa END - 1 / (1 + exp(-0.005757 * (ed[i] - CASE WHEN sd[i] = 0 THEN ob ELSE oa END)))) * {_MULT.format(c='c[js[i]]')} * w[i]")} AS nd FROM (
+  SELECT *, {_each("1 / (1 + exp(-0.005757 * (eo[i] - CASE WHEN sd[i] = 0 THEN db ELSE da END)))")} AS po FROM (
+  SELECT *, {_over(0, 'eo')} AS oa, {_over(1, 'eo')} AS ob, {_over(0, 'ed')} AS da, {_over(1, 'ed')} AS db, {_over(0, 'pf')} AS qa, {_over(1, 'pf')} AS qb FROM (
+  SELECT *, {_each('coalesce(o[js[i]], st)')} AS eo, {_each('coalesce(d[js[i]], st)')} AS ed FROM (
+  SELECT p.n, p.day, p.js, p.sd, p.pf, p.w, f.o, f.d, f.c, f.l, CASE WHEN len({_KNOWN}) < 50 THEN 1000.0 ELSE list_aggregate(list_transform({_KNOWN}, lambda i: o[i]), 'quantile_cont', 0.2) END AS st FROM f JOIN p ON p.n = f.n + 1))))))"""
+_PLAYER_ROWS = f"""{_PLAYERS},
+x AS (SELECT p.match_id, unnest(p.js) AS i, unnest(p.sd) AS side, unnest(p.w) AS w, unnest(f.eo) AS eo, unnest(f.ed) AS ed, unnest(f.po) AS po, ta, tb, oa, ob, da, db FROM f JOIN p ON p.n = f.n),
+y AS (SELECT *, avg(eo) OVER (PARTITION BY match_id, side) AS mine, sum(eo * w) OVER (PARTITION BY match_id) / sum(w) OVER (PARTITION BY match_id) AS m, CASE WHEN side = 0 THEN oa ELSE ob END AS own, CASE WHEN side = 0 THEN db ELSE da END AS opp FROM x),
+z AS (SELECT *, (sum(eo) OVER (PARTITION BY match_id) - sum(eo) OVER (PARTITION BY match_id, side)) / (count(*) OVER (PARTITION BY match_id) - count(*) OVER (PARTITION BY match_id, side)) AS other FROM y)
+SELECT match_id, CASE WHEN side = 0 THEN ta ELSE tb END AS team_id, player_id, {r6('eo', 'player_off_rating')}, {r6('ed', 'player_def_rating')}, {r6('po', 'player_predicted_off_performance')}, {r6('own', 'team_off_rating_projected')}, {r6('opp', 'opponent_def_rating_projected')},
+  {r6('own - opp', 'team_rating_difference_projected')}, {r6('m', 'rating_mean_projected')}, {r6('eo - opp', 'player_rating_difference_projected')}, {r6('(eo + opp) / 2', 'player_opponent_mean_projected')}, {r6('mine', 'team_rating')}, {r6('other', 'opponent_rating')} FROM z JOIN t ON z.i = t.i"""
+
+
+@query(_PLAYER_ROWS)
 def player_rating(spark, sf):
     df = squad_performance(spark, sf)
     return out(ratings.player_features(df, ratings.player_ratings(df, SQUADS, "perf"), SQUADS), ["match_id", "team_id", "player_id"], PLAYER_FEATURES)
 
 
+@query(f"""{_PLAYERS}, v AS (SELECT n FROM (SELECT n, start_date FROM m) ORDER BY n DESC LIMIT 1), e AS (SELECT unnest(range(1, len(o) + 1)) AS i, unnest(o) AS o, unnest(d) AS d FROM f JOIN v ON f.n = v.n),
+g AS (SELECT match_id, team_id, s.player_id, coalesce(o, 1000.0) AS eo, coalesce(d, 1000.0) AS ed, pw FROM s JOIN t ON s.player_id = t.player_id JOIN e ON e.i = t.i),
+h AS (SELECT match_id, team_id, sum(eo * pw) / sum(pw) AS tm, sum(ed * pw) / sum(pw) AS dm FROM g GROUP BY ALL)
+SELECT g.match_id, g.team_id, player_id, {r6('eo', 'player_off_rating')}, {r6('ed', 'player_def_rating')}, {r6('1 / (1 + exp(-0.005757 * (eo - h.dm)))', 'player_predicted_off_performance')}, {r6('1 / (1 + exp(-0.005757 * (ed - h.tm)))', 'player_predicted_def_performance')}
+FROM g JOIN h ON g.match_id = h.match_id AND g.team_id <> h.team_id""")
+def player_rating_future(spark, sf):
+    """Matches as if they were to come: ratings after all matches, nothing learnt from them."""
+    df = squad_performance(spark, sf)
+    folded = ratings.player_ratings(df, SQUADS, "perf")
+    return out(ratings.project_players(df.drop("perf"), folded, SQUADS), ["match_id", "team_id", "player_id"], ratings.PLAYER_OUT)
+
+
+@query(f"""WITH RECURSIVE {SQUADS_SQL}, c AS (SELECT quantile_disc(epoch_us(start_date), 0.5) AS t FROM squads), late AS (SELECT DISTINCT match_id FROM squads, c WHERE epoch_us(start_date) > t)
+SELECT r.match_id, team_id, player_id, player_off_rating, player_def_rating FROM ({_PLAYER_ROWS}) r JOIN late ON r.match_id = late.match_id""")
+def player_rating_update(spark, sf):
+    """Ratings of the first half of the matches, then of the second from their state: as if folded at once."""
+    early, late = halves(spark, sf, squad_performance, "start_date")
+    first = ratings.player_ratings(early, SQUADS, "perf")
+    second = ratings.player_ratings(late, SQUADS, "perf", state=first).where("kind = 'match'")
+    return out(second.select(F.col("match").alias("match_id"), F.col("team").alias("team_id"), F.col("player").alias("player_id"), *ratings.PLAYER_OUT), ["match_id", "team_id", "player_id"], ratings.PLAYER_OUT[:2])
+
+
 @query()
 def player_rating_mean(spark, sf):
     df = squad_performance(spark, sf)
@@ -647,6 +750,40 @@ def score_ordinal_naive(spark, sf):
     return score(scoring.OrdinalLoss("p", "y", classes=[0, 1, 2, 3, 4], naive=True).score(classed(spark, sf)))
 
 
+_CUT = "list_transform(p, lambda x: least(1 - 1e-15, greatest(1e-15, x)))"
+
+
+@query(f"WITH {CLASS_SQL} SELECT event_type, {r6(f'-avg(ln({_CUT}[y + 1] / list_sum({_CUT})))', 'score')} FROM c GROUP BY event_type")
+def score_class_log_loss(spark, sf):
+    return score(scoring.ClassLogLoss("p", "y", classes=[0, 1, 2, 3, 4], granularity=["event_type"]).score(classed(spark, sf)), ["event_type"])
+
+
+@query(f"WITH {CLASS_SQL} SELECT {r6('avg(CASE WHEN list_position(p, list_max(p)) = y + 1 THEN 1.0 ELSE 0 END)', 'score')} FROM c")
+def score_class_accuracy(spark, sf):
+    return score(scoring.ClassAccuracy("p", "y", classes=[0, 1, 2, 3, 4]).score(classed(spark, sf)))
+
+
+@query(f"""WITH {CLASS_SQL}, g AS (SELECT event_type, y, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT event_type, y AS mode FROM g QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, y) = 1)
+SELECT event_type, {r6('avg(CASE WHEN mode = y THEN 1.0 ELSE 0 END) - avg(CASE WHEN list_position(p, list_max(p)) = y + 1 THEN 1.0 ELSE 0 END)', 'score')} FROM c JOIN m USING (event_type) GROUP BY event_type""")
+def score_class_accuracy_naive(spark, sf):
+    """Against the commonest class of each group."""
+    return score(scoring.ClassAccuracy("p", "y", classes=[0, 1, 2, 3, 4], granularity=["event_type"], naive=True).score(classed(spark, sf)), ["event_type"])
+
+
+@query(f"WITH {PRED_SQL} SELECT {r6('sqrt(sum(w * (p - y) * (p - y)) / sum(w))', 'score')} FROM s WHERE flag = 1 AND user_id < 60")
+def score_validation(spark, sf):
+    """Validation rows only, filtered and weighted."""
+    df = predicted(spark, sf).withColumn("is_validation", F.col("flag") == 1)
+    return score(scoring.RootMeanSquaredError("p", "y", validation="is_validation", filters=[Filter("user_id", 60, "<")], weight="w").score(df))
+
+
+@query(f"""WITH {CLASS_SQL}, g AS (SELECT user_id, event_type, [{', '.join(f'avg(p[{k}])' for k in range(1, 6))}] AS p, min(y) AS y, sum(thr) AS thr FROM c GROUP BY user_id, event_type)
+SELECT event_type, {r6(f'sum(thr * ({_RPS}) / 4) / sum(thr)', 'score')} FROM g GROUP BY event_type""")
+def score_list_level_weighted(spark, sf):
+    s = scoring.RankedProbability("p", "y", classes=[0, 1, 2, 3, 4], level=["user_id", "event_type"], how={"pred": "mean", "target": "first"}, granularity=["event_type"], weight="thr")
+    return score(s.score(classed(spark, sf)), ["event_type"])
+
+
 _EVENT = "(CASE WHEN 0 >= t THEN p[1] ELSE 0 END + CASE WHEN 1 >= t THEN p[2] ELSE 0 END + CASE WHEN 2 >= t THEN p[3] ELSE 0 END + CASE WHEN 3 >= t THEN p[4] ELSE 0 END + CASE WHEN 4 >= t THEN p[5] ELSE 0 END)"
 
 
@@ -697,27 +834,36 @@ def negative_binomial_fitted(spark, sf):
     return exploded(rows, ["event_id"], "p")
 
 
-@query()
+_SERIES = "sum(exp((2 * j + 1) * ln(abs(x)) - x * x / 2 - lgamma(j + 1.5) - (j + 1) * ln(2) + 0.5 * ln(pi()))) / sqrt(2 * pi())"
+
+
+@query(f"""WITH b AS (SELECT event_id, CAST(k AS INTEGER) AS k, (k - 0.5 - value / 10) / 2.5 + 1e-15 AS x FROM events, (SELECT unnest(range(0, 14)) AS k)),
+c AS (SELECT event_id, k, x, 0.5 + sign(x) * CASE WHEN abs(x) > 8 THEN 0.5 ELSE {_SERIES} END AS c FROM b, (SELECT unnest(range(0, 150)) AS j) GROUP BY event_id, k, x)
+SELECT a.event_id, a.k, {r6('b.c - a.c', 'p')} FROM c a JOIN c b ON a.event_id = b.event_id AND b.k = a.k + 1""")
 def normal_distribution(spark, sf):
+    """The distribution function in SQL is its power series."""
     e = inputs.entity_events(spark, sf).withColumn("p", dist.normal(F.col("value") / 10, 2.5, 0, 12))
     return exploded(e, ["event_id"], "p")
 
 
-@query()
+_T5 = "0.5 + (x / (sqrt(5.0) * (1 + x * x / 5)) * (1 + 2 / (3 * (1 + x * x / 5))) + atan(x / sqrt(5.0))) / pi()"
+
+
+@query(f"""WITH {PRED_SQL}, q AS (SELECT quantile_cont(p, [0.2, 0.4, 0.6, 0.8]) AS q FROM s), r AS (SELECT event_id, p, y - p AS e, len(list_filter(q, lambda v: v < p)) AS cell FROM s, q),
+m AS (SELECT cell, greatest(1.4826 * mad(e), 0.001) AS sigma, count(*) AS n FROM r GROUP BY cell), a AS (SELECT greatest(1.4826 * mad(e), 0.001) AS sigma FROM r),
+b AS (SELECT event_id, CAST(k AS INTEGER) AS k, (k - 0.5 - p / 10) / (CASE WHEN n >= 30 THEN m.sigma ELSE a.sigma END / 10) AS x FROM r JOIN m USING (cell), a, (SELECT unnest(range(0, 14)) AS k)),
+c AS (SELECT event_id, k, {_T5} AS c FROM b), d AS (SELECT u.event_id, u.k, v.c - u.c AS p FROM c u JOIN c v ON u.event_id = v.event_id AND v.k = u.k + 1)
+SELECT event_id, k, {r6('p / sum(p) OVER (PARTITION BY event_id)', 'p')} FROM d""")
 def student_t_distribution(spark, sf):
+    """Scales by cells of the predictions; five degrees of freedom have a closed form."""
     rows = predicted(spark, sf)
-    edges, sigmas, _ = dist.cell_sigmas(rows, "p", "y")
-    cell = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda c: c < F.col("p")))
-    rows = rows.withColumn("sigma", F.element_at(F.lit(sigmas).cast("array<double>"), cell + 1) / 10)
-    return exploded(rows.withColumn("d", dist.student_t(F.col("p") / 10, F.col("sigma"), 5.0, 0, 12)), ["event_id"], "d")
+    fitted = dist.StudentT("p", "y", low=0, high=12, degrees=5.0, divide=10.0).fit(rows)
+    return exploded(fitted.transform(rows), ["event_id"], "distribution")
 
 
 @query(f"""WITH t AS (SELECT event_id, epoch_us(ts) / 86400e6 AS t FROM events) SELECT event_id, {r6('(t - min(t) OVER () + 0.1) / (2 * (max(t) OVER () - min(t) OVER ()) + 0.1)', 'weight')} FROM t""")
 def day_weights(spark, sf):
-    e = inputs.entity_events(spark, sf).withColumn("t", F.unix_micros("ts") / 86_400e6)
-    ends = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    e = e.crossJoin(F.broadcast(ends))  # one row
-    return out(e.withColumn("weight", (F.col("t") - F.col("lo") + 0.1) / (2 * (F.col("hi") - F.col("lo")) + 0.1)), ["event_id"], ["weight"])
+    return out(est.day_weighted(inputs.entity_events(spark, sf), "ts", "weight"), ["event_id"], ["weight"])
 
 
 def modelled(spark, sf) -> DataFrame:
@@ -726,6 +872,11 @@ def modelled(spark, sf) -> DataFrame:
     return df.withColumns({"high": (F.col("value") > 50).cast("double"), "level": F.floor(F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.col("value") / 30)))})
 
 
+_FORM = f"""g AS (SELECT *, avg(value) OVER {frame(10)} AS x FROM events), h AS (SELECT event_id, ts, user_id, event_type, value,
+  last_value(x IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS form FROM g)"""
+LINE = est.Model("linear", "value", features=("form",))
+
+
 FORM = est.Model("linear", "value", features=("form", "event_type"))
 
 
@@ -742,38 +893,75 @@ def cv_predictions(spark, sf):
     return est.MatchKFold(EVENTS, n_splits=2).predictions(df, m).select("event_id", F.round(F.col("probability")[1], 6).alias("p"), "is_validation")
 
 
-@query()
+_CV = f"""WITH {_FORM}, n AS (SELECT *, dense_rank() OVER (ORDER BY ts, event_id) - 1 AS k FROM h), d AS (SELECT list(DISTINCT ts ORDER BY ts) AS ds FROM events),
+b AS (SELECT min(k) AS lo, greatest(1, ((SELECT max(k) FROM n) - min(k)) // 2) AS step FROM n, d WHERE ts >= ds[len(ds) // 2 + 1]),
+i AS (SELECT 0 AS i, lo AS cut, lo + step AS upto FROM b UNION ALL SELECT 1, lo + step, 1000000000000 FROM b),
+u AS (SELECT i, avg(form) AS filled FROM n, i WHERE k < cut GROUP BY i),
+m AS (SELECT i.i, any_value(filled) AS filled, regr_slope(value, coalesce(form, filled)) AS a, regr_intercept(value, coalesce(form, filled)) AS b FROM n, i JOIN u ON i.i = u.i WHERE k < cut GROUP BY i.i)"""
+
+
+@query(f"""{_CV} SELECT event_id, {r6('a * coalesce(form, filled) + b', 'prediction')}, true AS is_validation FROM n, i JOIN m ON i.i = m.i WHERE k >= cut AND k < upto""")
+def cv_linear(spark, sf):
+    """Validation rows, each predicted from earlier matches only."""
+    rows = est.MatchKFold(EVENTS, n_splits=2).predictions(modelled(spark, sf), LINE)
+    return out(rows, ["event_id", "is_validation"], ["prediction"])
+
+
+@query(f"""{_CV} SELECT event_id, {r6('a * coalesce(form, filled) + b', 'prediction')} FROM n, i JOIN m ON i.i = m.i WHERE k >= cut AND k < upto OR i.i = 0 AND k < cut""")
 def regressor_feature(spark, sf):
-    rows, _ = est.RegressorFeature(FORM, est.MatchKFold(EVENTS, n_splits=2)).fit(modelled(spark, sf))
+    rows, _ = est.RegressorFeature(LINE, est.MatchKFold(EVENTS, n_splits=2)).fit(modelled(spark, sf))
     return out(rows, ["event_id"], ["prediction"])
 
 
-@query()
+_LINE = f"WITH {_FORM}, u AS (SELECT avg(form) AS filled FROM h), z AS (SELECT event_id, ts, event_type, user_id, value, coalesce(form, filled) AS x FROM h, u)"
+
+
+@query(f"{_LINE}, m AS (SELECT regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM z) SELECT event_id, {r6('value - (a * x + b)', 'net_over_predicted')} FROM z, m")
 def net_over_predicted(spark, sf):
     df = modelled(spark, sf)
-    return out(est.NetOverPredicted(FORM).fit(df).transform(df), ["event_id"], ["net_over_predicted"])
+    return out(est.NetOverPredicted(LINE).fit(df).transform(df), ["event_id"], ["net_over_predicted"])
 
 
-@query()
+@query(f"""WITH {_FORM}, u AS (SELECT avg(form) AS filled FROM h WHERE event_id % 9 <> 0), z AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN value END AS value, coalesce(form, filled) AS x FROM h, u),
+m AS (SELECT regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM z) SELECT event_id, {r6('coalesce(value, a * x + b)', 'value')} FROM z, m""")
 def imputed_by_model(spark, sf):
     df = modelled(spark, sf).withColumn("value", F.when(F.col("event_id") % 9 != 0, F.col("value")))
-    return out(est.Imputed(FORM).fit(df).transform(df), ["event_id"], ["value"])
+    return out(est.Imputed(LINE).fit(df).transform(df), ["event_id"], ["value"])
 
 
-@query()
+_W = "((epoch_us(ts) / 86400e6 - lo + 0.1) / (2 * (hi - lo) + 0.1))"
+
+
+@query(f"""WITH {_FORM}, f AS (SELECT *, least(90.0, greatest(5.0, value)) AS y FROM h WHERE event_type <> 'view' AND event_id % 11 <> 0), u AS (SELECT avg(form) AS filled, min(epoch_us(ts) / 86400e6) AS lo, max(epoch_us(ts) / 86400e6) AS hi FROM f),
+w AS (SELECT y, coalesce(form, filled) AS x, {_W} AS w FROM f, u), c AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w),
+m AS (SELECT sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS a, any_value(mx) AS mx, any_value(my) AS my FROM w, c)
+SELECT event_id, {r6('least(55.0, greatest(45.0, my + a * (coalesce(form, filled) - mx)))', 'prediction')} FROM h, m, u""")
+def model_with_filters(spark, sf):
+    """Row filters, dropped null targets, a clipped target and day weights at fitting only; clipped predictions of all rows."""
+    df = modelled(spark, sf).withColumn("value", F.when(F.col("event_id") % 11 != 0, F.col("value")))
+    m = est.Model("linear", "value", features=("form",), filters=(Filter("event_type", "view", "!="),), min_target=5, max_target=90, day_weight="ts", min_prediction=45, max_prediction=55)
+    return out(m.fit(df).transform(df), ["event_id"], ["prediction"])
+
+
+@query(f"""WITH {_FORM}, z AS (SELECT event_id, CAST(ts AS DATE) AS day, value, coalesce(form, 0) AS x FROM h), a AS (SELECT regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM z),
+d AS (SELECT day, avg(x) AS x, avg(value) AS value FROM z GROUP BY day), gm AS (SELECT regr_slope(value, x) AS ga, regr_intercept(value, x) AS gb FROM d)
+SELECT event_id, {r6('(a.a * z.x + a.b) / (ga * d.x + gb)', 'ratio')} FROM z JOIN d ON z.day = d.day, a, gm""")
 def ratio_to_group(spark, sf):
     df = modelled(spark, sf).fillna({"form": 0.0}).withColumn("day", F.to_date("ts"))
-    m = est.Model("linear", "value", features=("form",))
-    return out(est.Ratio(m, ("day",)).fit(df).transform(df), ["event_id"], ["ratio"])
+    return out(est.Ratio(LINE, ("day",)).fit(df).transform(df), ["event_id"], ["ratio"])
 
 
-@query()
+@query(f"""WITH {_FORM}, z AS (SELECT event_id, event_type, value, coalesce(form, avg(form) OVER (PARTITION BY event_type)) AS x FROM h),
+m AS (SELECT event_type, regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM z GROUP BY event_type) SELECT event_id, {r6('a * x + b', 'prediction')} FROM z JOIN m USING (event_type)""")
 def model_by_value(spark, sf):
     df = modelled(spark, sf)
-    return out(est.ByValue(est.Model("linear", "value", features=("form",)), "event_type").fit(df).transform(df), ["event_id"], ["prediction"])
+    return out(est.ByValue(LINE, "event_type").fit(df).transform(df), ["event_id"], ["prediction"])
 
 
-@query()
+@query(f"""WITH {SQUADS_SQL}, g AS (SELECT match_id, team_id, CASE WHEN sum(weight) <> 0 THEN sum(points * weight) / sum(weight) ELSE avg(points) END AS x, CASE WHEN sum(weight) <> 0 THEN sum(lines * weight) / sum(weight) ELSE avg(lines) END AS z, sum(points) AS y FROM squads GROUP BY ALL),
+c AS (SELECT covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM g),
+m AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM c)
+SELECT squads.match_id, squads.team_id, player_id, {r6('my + a * (x - mx) + b * (z - mz)', 'prediction')} FROM squads JOIN g ON squads.match_id = g.match_id AND squads.team_id = g.team_id, m""")
 def group_model(spark, sf):
     df = inputs.squad_matches(spark, sf)
     m = est.Model("linear", "team_points", features=("points", "lines"), granularity=("match_id", "team_id"), aggregation_weight="weight")

@@ -25,7 +25,8 @@ class StreamedFeatures:
         g = self.generator
         batch = batch.persist()
         if number == 0:
-            features, state = g.transform(batch), g.tail(g.grouped(batch))
+            features, after = g.fit(batch)
+            state = after.state
         else:
             before = spark.read.parquet(f"{self.folder}/state/{number - 1}")
             features, after = Fitted(g, before).update(batch)
@@ -33,6 +34,9 @@ class StreamedFeatures:
         state.write.mode("overwrite").parquet(f"{self.folder}/state/{number}")
         features.write.mode("overwrite").parquet(f"{self.folder}/features/batch={number}")
         batch.unpersist()
+        if number > 1:  # a batch that is run again reads the state before it; older ones have no reader
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/{number - 2}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         """Runs over ``stream``, rows of which arrive in order of their dates."""
