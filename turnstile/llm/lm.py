@@ -40,7 +40,7 @@ from .chunks import NULL_ID, U, Chunk, bucket_count, by_bucket, mix64, pack, wit
 from .common import Scratch, summed_in_rounds, table
 
 ORDER = 6
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 20
 BATCH = 200_000
 END = 10  # a line feed: no word holds one
 END_WORD = U(0x656E64)  # the key of the end token
@@ -124,6 +124,26 @@ def _decoded(payload: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
+def _fractions(per: np.ndarray, num: np.ndarray, den: np.ndarray) -> bytes:
+    """Codes of paths (see ``path_codes``). Neighbours often share a context, hence the even
+    denominator, and a context often has one symbol only, so the numerator is one less."""
+    half = den >> 1
+    new = np.ones(len(half), bool)
+    new[1:] = half[1:] != half[:-1]
+    only = num + 1 == den
+    return _coded([per, np.packbits(new), half[new], np.packbits(only), num[~only]])
+
+
+def _from_fractions(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    per, new, half, only, rest = _decoded(payload, 5)
+    n = int(per.sum())
+    den = 2 * half.astype(np.int64)[np.cumsum(np.unpackbits(new, count=n)) - 1]
+    only = np.unpackbits(only, count=n).astype(bool)
+    num = den - 1
+    num[~only] = rest
+    return per, num, den
+
+
 def _taken(which: np.ndarray, per: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Places of all entries of the items ``which``; ``per``: entries of each item, ``first``: its first one."""
     n = per[which]
@@ -177,7 +197,7 @@ class Short:
 
 def path_codes(keys: np.ndarray, counts: np.ndarray, order: int, short: Short) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The probability of each path (order bytes of context, symbol) as a product of fractions:
-    how many each path has, their numerators and denominators, path after path.
+    how many each path has, their numerators and (even) denominators, path after path.
 
     ``keys`` ascend and hold all paths of their last three bytes of context; they are taken
     in batches that don't cut such a context.
@@ -238,7 +258,7 @@ def _batch_codes(keys: np.ndarray, counts: np.ndarray, order: int, short: Short)
     step(one[byte, sym], one.sum(1)[byte], seen.sum(1)[byte])
     ex_total, ex_distinct = (seen @ zero)[byte], seen.sum(1)[byte]
     step(zero[sym], np.full(len(keys), zero.sum()), np.full(len(keys), (zero > 0).sum()))
-    codes.append((rows[open_], np.ones(int(open_.sum()), np.int64), np.full(int(open_.sum()), max(256 - int((zero > 0).sum()), 1))))
+    codes.append((rows[open_], np.full(int(open_.sum()), 2), np.full(int(open_.sum()), 2 * max(256 - int((zero > 0).sum()), 1))))
     at, num, den = (np.concatenate(x) for x in zip(*codes))
     by = np.argsort(at, kind="stable")
     return np.bincount(at, minlength=len(keys)), num[by], den[by]
@@ -353,7 +373,7 @@ def score_documents(
         for k in own:
             which = np.searchsorted(keys, k)
             at = _taken(which, per, first)
-            out.append(b"c" + _coded([per[which], num[at], den[at]]))
+            out.append(b"c" + _fractions(per[which], num[at], den[at]))
         return pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "payload": out})
 
     kind = "chunk long, bucket int, payload binary"
@@ -365,7 +385,7 @@ def score_documents(
             for _, row in f.iterrows():
                 c = read(row)
 
-                costs = np.concatenate([np.zeros(0), *(path_costs(*_decoded(p[1:], 3)) for p in row["answers"] if p[:1] == b"c")])
+                costs = np.concatenate([np.zeros(0), *(path_costs(*_from_fractions(p[1:])) for p in row["answers"] if p[:1] == b"c")])
                 seen = np.concatenate([np.zeros(0, np.int64), *(_decoded(p[1:], 1)[0] for p in row["answers"] if p[:1] == b"w")])
                 keys, _, _ = by_context(c)
                 order_ = np.argsort(keys, kind="stable")
