@@ -318,6 +318,19 @@ def score_documents(
         by = np.argsort(b, kind="stable")
         return keys[by], counts[by], b[by]
 
+    def places(c: Corpus) -> np.ndarray:
+        """Where each symbol's path stands in the order of ``by_context``, by one sort instead of a search a symbol."""
+        by = np.argsort(c.keys)
+        ascending = c.keys[by]
+        new = np.ones(len(by), bool)
+        new[1:] = ascending[1:] != ascending[:-1]
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        dealt = np.argsort(mix64(ascending[new] >> U(8 * (order - 2))) % U(buckets), kind="stable")
+        place = np.empty(len(dealt), np.int64)
+        place[dealt] = np.arange(len(dealt))
+        return place[which]
+
     def by_word(c: Corpus):
         keys = np.concatenate([c.words >> U(1), np.full(len(c.ids), END_WORD)])
         of = np.concatenate([c.word_of, np.arange(len(c.ids))])
@@ -387,11 +400,8 @@ def score_documents(
 
                 costs = np.concatenate([np.zeros(0), *(path_costs(*_from_fractions(p[1:])) for p in row["answers"] if p[:1] == b"c")])
                 seen = np.concatenate([np.zeros(0, np.int64), *(_decoded(p[1:], 1)[0] for p in row["answers"] if p[:1] == b"w")])
-                keys, _, _ = by_context(c)
-                order_ = np.argsort(keys, kind="stable")
-                at = order_[np.searchsorted(keys[order_], c.keys)]
                 n = len(c.ids)
-                score = np.bincount(c.of, weights=costs[at], minlength=n)
+                score = np.bincount(c.of, weights=costs[places(c)], minlength=n)
                 keys, of, distinct_words, _ = by_word(c)
                 count = seen[np.searchsorted(distinct_words, keys)].astype(float)
                 base = np.bincount(of, weights=np.log10(count + 1), minlength=n) - (c.n_words + 1) * floor
