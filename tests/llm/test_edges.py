@@ -121,3 +121,18 @@ def test_pages(spark):
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.main_texts(spark, df).collect())
     assert got == [(1, "x & y", 5), (2, "", 0), (3, "", 0), (4, "plain text", 10), (4, "plain text", 10), (5, "cut off", 7), (6, "deep", 4)]
     assert html.main_texts(spark, df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, none):
+    """Odd rows and an empty table through every stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        kept[name] = out.count()
+        assert name == "packing" or out.columns == docs.columns
+        assert stage(spark, none, sf).count() == 0
+    # Nothing here is toxic; the copies of one text and of one row go; empty texts take no part in a mix.
+    assert (kept["toxicity"], kept["near_dedup"], kept["substring_dedup"]) == (9, 7, 9) and kept["mixing"] >= 4 and kept["packing"] >= 9

@@ -98,7 +98,7 @@ class Mix:
 
     def placed(self) -> DataFrame:
         """(uid, start, words, shard, pass): the pieces that the mix takes, once for every time."""
-        return self.pieces.join(self.slots, ["sk", "idx"]).select("uid", "start", "words", "shard", "pass")
+        return self.pieces.join(self.slots.hint("merge"), ["sk", "idx"]).select("uid", "start", "words", "shard", "pass")
 
 
 def mix(

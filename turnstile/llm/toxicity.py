@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_of, table
+from .common import Scratch, fold_of, named, table
 from .learning import calibrated, inner_fold, isotonic
 
 MOST_LABELLED = 20_000
@@ -308,10 +308,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, text="text", label="toxic", threshold=THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``threshold``; learns from every labelled row."""
-    model = fit(Scratch(spark, "toxicity"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), labels, label, F.lit(True))
-    return docs.where(score_of(model)(F.col(text)) < threshold)
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="toxic", threshold=THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; learns from every labelled row.
+
+    Null and empty texts are scored as empty ones, rows without id like others; equal rows stay or go together.
+    """
+    model = fit(Scratch(spark, "toxicity"), docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text")), labels, label, F.lit(True))
+    return docs.where(score_of(model)(named(text)) < threshold)
 
 
 def score_of(model: dict):
