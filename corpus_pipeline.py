@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and
 read again as the next stage's documents. All but the last keep the columns of documents.
+
+Cases, in every stage: a null text counts as empty, and empty texts pass the first three
+stages and take no part in the mix; rows without an id are documents of their own; equal
+rows stay or go together in the first stage, one of them stays in the second; a null
+source is a source; other columns, whatever their names, are carried along; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
