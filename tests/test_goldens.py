@@ -186,3 +186,43 @@ def test_missing_targets_are_filled(spark):
     got = estimators.Imputed(estimators.Model("linear", "target", features=("a",))).fit(df).transform(df)
     assert {r["a"]: pytest.approx(r["target"], abs=1e-3) for r in got.collect()} == {**{float(k): 2.0 * k + 1 for k in range(12)}, 20.0: 41.0}
     assert got.columns == df.columns
+
+
+def test_exact_quantiles_in_ranges(spark):
+    from turnstile.operators.quantiles import percentiles
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 1013 / 7.0).alias("x"))
+    at = [0.0, 0.02, 0.25, 0.5, 0.77, 0.999, 1.0]
+    for by in ([], ["g"]):
+        one, many = percentiles(df, F.col("x"), at, by), percentiles(df, F.col("x"), at, by, rows=0)
+        assert one.keys() == many.keys() and all(many[k] == pytest.approx(one[k], abs=1e-12) for k in one)
+    assert percentiles(df.limit(0), F.col("x"), at) == {} == percentiles(df.limit(0), F.col("x"), at, rows=-1)
+
+
+def test_checks_of_rows(spark):
+    from turnstile.operators.windows import checked_order, checked_unique, known_matches
+
+    data = [(1, day(0), "a", 1), (1, day(0), "b", 2), (2, day(1), "a", 3)]
+    df = spark.createDataFrame(data, "game int, start_date timestamp, team string, k int")
+    assert checked_unique(df, ["game", "team"]).count() == 3 and checked_order(df, TEAM, "k").count() == 3
+    for bad in (checked_unique(df, ["game"]), checked_order(df.withColumn("k", -F.col("k")), TEAM, "k")):
+        with pytest.raises(Exception, match="unique|order"):
+            bad.collect()
+    old, new = known_matches(df, df.where("game = 1"), TEAM)
+    assert (old.count(), new.count()) == (2, 1)
+
+
+def test_references_are_calibrated(spark):
+    roles = Roles(match="mid", team="tid", date="dt", player="pid", weight="pw")
+    data = [(f"P{2 * t + i}", f"T{t}", f"M{m}", day(m), 0.5 + 0.1 * t - 0.05 * i, 1.0) for m in range(6) for t in (0, 1) for i in (0, 1)]
+    df = spark.createDataFrame(data, "pid string, tid string, mid string, dt timestamp, perf double, pw double")
+    config = ratings.RatingConfig(predictor="ignore_opponent")
+    folded, found = ratings.calibrated_player_ratings(df, roles, "perf", config)
+    first = ratings.player_ratings(df, roles, "perf", config).where("kind = 'match'")
+    mean = first.agg(F.avg(1 / (1 + F.exp(-F.lit(config.slope) * (F.col("player_off_rating") - found.reference))))).first()[0]
+    assert mean == pytest.approx(0.5, abs=1e-6) and folded.where("kind = 'match'").count() == 24
+    with pytest.raises(ValueError):
+        ratings.calibrated_reference(first.limit(0), "player_off_rating", 0.01)
+    with pytest.raises(Exception, match="exactly two teams"):
+        ratings.player_ratings(df.where("tid = 'T0'"), roles, "perf").collect()
+    assert scoring.MeanAbsoluteError("p", "y", granularity=["league"]).name == "mean_absolute_error_y_by_league"

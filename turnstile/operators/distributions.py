@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def negative_binomial(mu: Column, r: Column, low: int, high: int) -> Column:
     """Truncated and renormalised probabilities of low..high; Poisson where the variance hardly exceeds the mean.
@@ -35,12 +37,12 @@ def negative_binomial(mu: Column, r: Column, low: int, high: int) -> Column:
 
 
 def fit_dispersion(rows: DataFrame, mean: str, count: str, by: list[str] = (), least: float = 0.01) -> DataFrame:
-    """(by..., r): the likeliest dispersion of counts with given means, from the moments of a compact table.
+    """(by..., r): the likeliest dispersion of counts with given means.
 
-    The likelihood needs each (mean, count) pair once: pairs are counted first, means
-    rounded to three digits, so a task sees summaries, not rows.
+    The likelihood needs each (mean, count) pair once: pairs are counted first, so a task
+    sees the distinct pairs of a group, not its rows.
     """
-    pairs = rows.where((F.col(mean) > 0) & F.col(count).isNotNull()).groupBy(*by, F.round(mean, 3).alias("__m"), F.col(count).cast("long").alias("__y")).agg(F.count("*").alias("__n"))
+    pairs = rows.where((F.col(mean) > 0) & F.col(count).isNotNull()).groupBy(*by, F.col(mean).cast("double").alias("__m"), F.col(count).cast("long").alias("__y")).agg(F.count("*").alias("__n"))
 
     def best(f: pd.DataFrame) -> pd.DataFrame:
         m, y, n = (f[c].to_numpy(float) for c in ("__m", "__y", "__n"))
@@ -128,15 +130,17 @@ def student_t(mean: Column, sigma: Column, df: float, low: int, high: int) -> Co
 def cell_sigmas(rows: DataFrame, prediction: str, target: str, cells: int = 5, least_rows: int = 30, least: float = 1e-3) -> tuple[list[float], list[float], float]:
     """Quantile edges of the predictions, a robust residual scale for each cell, and the global one."""
     res = rows.select(F.col(prediction).alias("p"), (F.col(target) - F.col(prediction)).alias("e")).where("p IS NOT NULL AND e IS NOT NULL")
-    edges = res.agg(F.percentile("p", F.lit([k / cells for k in range(1, cells)]).cast("array<double>"))).first()[0]
+    edges = percentiles(res, F.col("p"), [k / cells for k in range(1, cells)])[()]
     cell = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda c: c < F.col("p")))
     res = res.withColumn("cell", cell)
-    med = res.groupBy("cell").agg(F.median("e").alias("m"))
-    got = {r["cell"]: r for r in res.join(F.broadcast(med), "cell").groupBy("cell").agg((1.4826 * F.median(F.abs(F.col("e") - F.col("m")))).alias("s"), F.stddev("e").alias("sd"), F.count("*").alias("n")).collect()}
-    centre = res.agg(F.median("e")).first()[0]
-    r = res.agg(1.4826 * F.median(F.abs(F.col("e") - F.lit(centre))), F.stddev("e")).first()
-    whole = max(r[0] or r[1] or least, least)
-    return edges, [max((got[k]["s"] or got[k]["sd"] or least), least) if k in got and got[k]["n"] >= least_rows else whole for k in range(cells)], whole
+    middle = lambda d, x, by=(): {k[0] if by else None: v[0] for k, v in percentiles(d, x, [0.5], by).items()}
+    centre = middle(res, F.col("e"), ["cell"])
+    far = F.abs(F.col("e") - F.element_at(F.create_map(*[F.lit(x) for kv in centre.items() for x in kv]), F.col("cell")))
+    mad = middle(res, far, ["cell"])
+    got = {r["cell"]: r for r in res.groupBy("cell").agg(F.stddev("e").alias("sd"), F.count("*").alias("n")).collect()}  # a row a cell
+    whole = 1.4826 * middle(res, F.abs(F.col("e") - F.lit(middle(res, F.col("e"))[None])))[None]
+    whole = max(whole or res.agg(F.stddev("e")).first()[0] or least, least)
+    return edges, [max((1.4826 * mad[k] or got[k]["sd"] or least), least) if k in got and got[k]["n"] >= least_rows else whole for k in range(cells)], whole
 
 
 @dataclass(frozen=True)

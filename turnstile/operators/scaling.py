@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import clip, finite, interpolate
+from .quantiles import percentiles
 
 
 @dataclass
@@ -51,8 +52,7 @@ class MinMax:
     params: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> MinMax:
-        q = [1 - self.quantile, self.quantile]
-        r = df.agg(*[F.percentile(finite(F.col(f)), F.lit(q).cast("array<double>")).alias(f) for f in self.features]).first()
+        r = {f: percentiles(df, finite(F.col(f)), [1 - self.quantile, self.quantile]).get(()) for f in self.features}
         for f in self.features:
             if r[f] is None or r[f][0] == r[f][1]:
                 raise ValueError(f"the bounds of {f} are equal")
@@ -89,8 +89,7 @@ class Diminishing:
     def fit(self, df: DataFrame) -> Diminishing:
         q = 1 - self.quantile if self.reverse else self.quantile
         if self.cutoff is None:
-            r = df.agg(*[F.percentile(finite(F.col(f)), F.lit(q)).alias(f) for f in self.features]).first()
-            self.params = {f: r[f] for f in self.features}
+            self.params = {f: percentiles(df, finite(F.col(f)), [q]).get((), [None])[0] for f in self.features}
         else:
             self.params = {f: self.cutoff for f in self.features}
         return self
@@ -148,11 +147,11 @@ class Symmetric:
 
     def fit(self, df: DataFrame) -> Symmetric:
         cuts = [self.cutoff * 0.994**k for k in range(self.rounds + 1)]
-        grid = F.lit([*cuts, *[1 - c for c in cuts]]).cast("array<double>")
         for f in self.features:
             rows = df.select(self._key().alias("g"), finite(F.col(f)).alias("x")).where("x IS NOT NULL")
-            first = rows.groupBy("g").agg(F.skewness("x").alias("s"), F.count("*").alias("n"), F.min("x").alias("lo"), F.percentile("x", grid).alias("q")).collect()  # one row a group
-            info = {r["g"]: r for r in first}
+            first = rows.groupBy("g").agg(F.skewness("x").alias("s"), F.count("*").alias("n"), F.min("x").alias("lo")).collect()  # one row a group
+            grid = percentiles(rows, F.col("x"), [*cuts, *[1 - c for c in cuts]], ["g"])
+            info = {r["g"]: {**r.asDict(), "q": grid[(r["g"],)]} for r in first}
             todo = {g: (0, 0, r["s"]) for g, r in info.items() if r["s"] is not None and r["n"] > self.least_rows and abs(r["s"]) > self.skewness}
             done: dict[str, tuple] = {}
             while todo:  # some rounds at a time, as the side of the tail seldom changes
@@ -207,8 +206,8 @@ class Quantile:
             is_zero = F.abs("x") < self.zero
             steps = [k / self.n for k in range(self.n + 1)]
             if not self.weight:
-                r = rows.agg(F.avg(is_zero.cast("double")), F.percentile(F.when(~is_zero, F.col("x")), F.lit(steps).cast("array<double>"))).first()
-                self.params[f] = (r[0] or 0.0, r[1])
+                pi = rows.agg(F.avg(is_zero.cast("double"))).first()[0]
+                self.params[f] = (pi or 0.0, percentiles(rows, F.when(~is_zero, F.col("x")), steps).get(()))
                 continue
             total = rows.agg(F.sum(F.when(is_zero, F.col("w"))), F.sum("w")).first()
             self.params[f] = ((total[0] or 0.0) / total[1] if total[1] else 0.0, self._weighted(rows.where(~is_zero), steps))
@@ -328,7 +327,8 @@ def weighted_mix(df: DataFrame, weights: list[ColumnWeight], prefix: str = "", a
 def scaled_weight(df: DataFrame, column: str, alias: str) -> tuple[DataFrame, float | None]:
     """Participation weights divided by their 99th percentile, bounded to [0, 1], if any lies outside it."""
     c = finite(F.col(column))
-    r = df.agg(F.min(c), F.max(c), F.percentile(c, F.lit(0.99))).first()
+    r = df.agg(F.min(c), F.max(c)).first()
     if r[0] is None or r[0] >= -1e-6 and r[1] <= 1 + 1e-6:
         return df.withColumn(alias, c), None
-    return df.withColumn(alias, clip(c / F.lit(r[2]), 0, 1)), r[2]
+    top = percentiles(df, c, [0.99])[()][0]
+    return df.withColumn(alias, clip(c / F.lit(top), 0, 1)), top
