@@ -34,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one operator run in the shared folder.
 
     ``cut`` writes a frame and reads it back: the lineage ends at files that outlive
-    an executor. ``drop`` removes tables that nothing refers to any more.
+    an executor, so the shuffle files behind them go as soon as the write has ended.
+    ``drop`` removes tables that nothing refers to any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -48,7 +52,12 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_SHUFFLES)
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
