@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, give_back, tidy
 
 CHUNK_BYTES = 4 << 20
 KEYS_PER_BUCKET = 250_000
+LETTERS = 1 << 17  # hashed at a time, but for a longer word: each letter takes some 40 bytes meanwhile
 U = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -56,15 +57,21 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, which: int = 0
     """
     if not len(starts):
         return np.zeros(0, U)
-    lengths = ends - starts
+    b, lengths = np.frombuffer(raw, np.uint8), ends - starts
     most = int(lengths.max())
     if most > len(_TABLES[which]):
         _TABLES[which] = mix64(np.arange(1, most + 1, dtype=U) * _SEEDS[which])
-    b = np.frombuffer(raw, np.uint8)
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    letters = b[place + np.repeat(starts, lengths)] if len(place) != len(b) else b
-    return mix64(np.add.reduceat(_TABLES[which][place] * (letters.astype(U) + U(1)), first) + lengths.astype(U))
+    upto = np.cumsum(lengths)
+    cuts = np.searchsorted(upto, np.arange(LETTERS, int(upto[-1]), LETTERS))
+    edges = np.unique(np.concatenate([[0], cuts, [len(starts)]])).tolist()
+    out = np.empty(len(starts), U)
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        n = lengths[lo:hi]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        letters = b[place + np.repeat(starts[lo:hi], n)].astype(U)
+        out[lo:hi] = mix64(np.add.reduceat(_TABLES[which][place] * (letters + U(1)), first) + n.astype(U))
+    return out
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -125,7 +132,7 @@ def pack(scratch: Scratch, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -
         if held:
             yield close()
 
-    return scratch.cut(docs.mapInPandas(run, T.StructType([T.StructField(*x) for x in kind])))
+    return scratch.cut(docs.mapInPandas(tidy(run), T.StructType([T.StructField(*x) for x in kind])))
 
 
 class Chunk:
@@ -176,7 +183,7 @@ def send(chunks: DataFrame, ask: Callable[[pd.Series], Iterable[tuple[int, bytes
                 got = list(ask(row))
                 yield pd.DataFrame({"chunk": row["chunk"], "bucket": [b for b, _ in got], "payload": [p for _, p in got]})
 
-    return chunks.mapInPandas(run, "chunk long, bucket int, payload binary")
+    return chunks.mapInPandas(tidy(run), "chunk long, bucket int, payload binary")
 
 
 def answer(messages: DataFrame, reduce: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -186,6 +193,7 @@ def answer(messages: DataFrame, reduce: Callable[[list[bytes]], list[bytes]]) ->
         f = f.sort_values("chunk")
         out = reduce(f["payload"].tolist())
         keep = [bool(p) for p in out]
+        give_back()
         return pd.DataFrame({"chunk": f["chunk"][keep], "bucket": f["bucket"][keep], "payload": [p for p in out if p]})
 
     return messages.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, payload binary")

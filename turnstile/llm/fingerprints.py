@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, bucket_of, id_buckets, partitions, table
+from .common import batch_rows, bucket_of, id_buckets, partitions, table, tidy
 
 WIDE = 8
 NARROW = 256
@@ -151,7 +151,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text=
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return rows.mapInPandas(run, OUT)
+    return rows.mapInPandas(tidy(run), OUT)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

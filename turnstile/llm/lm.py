@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NULL_ID, U, Chunk, bucket_count, by_bucket, mix64, pack, with_answers
-from .common import Scratch, summed_in_rounds, table
+from .common import Scratch, summed_in_rounds, table, tidy
 
 ORDER = 6
 CHUNK_BYTES = 3 << 20
@@ -356,7 +356,7 @@ def score_documents(
         yield pd.DataFrame({"chunk": part, "bucket": [-2, -1], "payload": [_squeeze(sums, counts), None], "n": [0, tokens]})
 
     kind = "chunk long, bucket int, payload binary, n long"
-    asked = scratch.cut(chunks.mapInPandas(first_pass, kind))
+    asked = scratch.cut(chunks.mapInPandas(tidy(first_pass), kind))
     train_tokens = asked.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
     short = _short_contexts(asked.where("bucket = -2").select(F.col("chunk").alias("part"), "payload"))
 
@@ -390,7 +390,7 @@ def score_documents(
         return pd.DataFrame({"chunk": f["chunk"], "bucket": f["bucket"], "payload": out})
 
     kind = "chunk long, bucket int, payload binary"
-    answers = chunks.mapInPandas(ask, kind).groupBy("bucket").applyInPandas(reply, kind)
+    answers = chunks.mapInPandas(tidy(ask), kind).groupBy("bucket").applyInPandas(reply, kind)
     answers = answers.unionByName(words.where("chunk >= 0").select("chunk", (F.col("bucket") + buckets).alias("bucket"), "payload"))
 
     def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -412,7 +412,7 @@ def score_documents(
                 })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long"
-    return with_answers(chunks, answers).mapInPandas(add_up, schema)
+    return with_answers(chunks, answers).mapInPandas(tidy(add_up), schema)
 
 
 def _short_contexts(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:

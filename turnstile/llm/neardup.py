@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import U, mix64, windows, word_hashes, word_spans
-from .common import Scratch, by_groups, named, probably_in, table, whole_groups
+from .common import Scratch, by_groups, named, probably_in, table, tidy, whole_groups
 from .components import components
 
 K = 64
@@ -66,7 +66,7 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return docs.mapInPandas(run, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
+    return docs.mapInPandas(tidy(run), "doc_id long, n long, k1 long, k2 long, sketch array<long>")
 
 
 class Overlaps:
@@ -186,7 +186,7 @@ def linked(
             yield f.loc[good, ["p", "rep", "n"]]
 
     dealt = _blocks(groups, block, most=block).join(reps, "rep")
-    left = scratch.cut(by_groups(dealt, keys).mapInPandas(promising, "p long, rep long, n long").distinct())
+    left = scratch.cut(by_groups(dealt, keys).mapInPandas(tidy(promising), "p long, rep long, n long").distinct())
 
     def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, at in whole_groups(frames, keys):
@@ -198,7 +198,7 @@ def linked(
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     texts = probably_in(docs, "doc_id", left, "rep").join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
-    edges = by_groups(_blocks(left, block, "n", BLOCK_SHINGLES).join(texts, "rep"), keys).mapInPandas(forest, "a long, b long")
+    edges = by_groups(_blocks(left, block, "n", BLOCK_SHINGLES).join(texts, "rep"), keys).mapInPandas(tidy(forest), "a long, b long")
     comp = components(scratch, edges)
     scratch.drop(groups, left)
 

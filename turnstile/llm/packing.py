@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, named, table
+from .common import batch_rows, named, table, tidy
 
 
 @dataclass(frozen=True)
@@ -271,7 +271,7 @@ def _packed(rows: DataFrame, read, limits: Limits, batch_tokens: int) -> DataFra
         if ids:
             yield close()
 
-    return rows.mapInPandas(run, PIECES)
+    return rows.mapInPandas(tidy(run), PIECES)
 
 
 def pack_documents(

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_of, summed_in_rounds, table
+from .common import Scratch, fold_of, summed_in_rounds, table, tidy
 from .learning import BINS, calibrated, inner_fold, isotonic
 
 COSINES = 256
@@ -73,7 +73,7 @@ def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def features(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, x): the statistics of every text."""
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInPandas(_assemble, "doc_id long, x array<double>")
+    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInPandas(tidy(_assemble), "doc_id long, x array<double>")
 
 
 class Cosines:
@@ -112,7 +112,7 @@ def normal_equations(rows: DataFrame, cosines: Cosines) -> dict[int, tuple[np.nd
             out += np.frombuffer(b, "<f8")
         return out.tobytes()
 
-    parts = summed_in_rounds(rows.mapInPandas(local, "fold int, part long, payload binary"), ["fold"], add)
+    parts = summed_in_rounds(rows.mapInPandas(tidy(local), "fold int, part long, payload binary"), ["fold"], add)
     out = {}
     for r in parts.collect():  # one row a fold
         s = np.frombuffer(r["payload"], "<f8").reshape(d + 1, d + 1)
@@ -156,7 +156,7 @@ def fit(scratch: Scratch, feats: DataFrame, labels: DataFrame, label: str, learn
             counts.update(zip(_bin(s).tolist(), f["y"].tolist()))
         yield pd.DataFrame([(i, v, n) for (i, v), n in counts.items()], columns=["bin", "y", "n"])
 
-    got = rows.mapInPandas(binned, "bin long, y double, n long").groupBy("bin").agg(F.sum("n"), F.sum(F.col("y") * F.col("n"))).orderBy("bin").collect()  # at most BINS rows
+    got = rows.mapInPandas(tidy(binned), "bin long, y double, n long").groupBy("bin").agg(F.sum("n"), F.sum(F.col("y") * F.col("n"))).orderBy("bin").collect()  # at most BINS rows
     scratch.drop(rows)
     t = np.array([tuple(r) for r in got], float)
     knots = isotonic((t[:, 0] + 0.5) / BINS * 3 - 1, t[:, 2] / t[:, 1], t[:, 1])
@@ -179,7 +179,7 @@ def score(feats: DataFrame, model: dict | None) -> DataFrame:
                 s = calibrated(model["cosines"](np.stack(f["x"].to_numpy())) @ model["w"], model["knots"]) if len(f) else np.zeros(0)
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": s})
 
-    return feats.mapInPandas(run, "doc_id long, score double")
+    return feats.mapInPandas(tidy(run), "doc_id long, score double")
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label="quality", mod=5, held=0) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NULL_ID, U, Chunk, answer, bucket_count, by_bucket, joined, member, pack, send, windows, with_answers
-from .common import Scratch, named, table
+from .common import Scratch, named, table, tidy
 
 WINDOW = 13
 BLOCK = 7
@@ -203,7 +203,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", tex
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-    out = marked.mapInPandas(run, "chunk long, pos int, doc_id long, n_words long, n_removed long, removed array<struct<first:long,words:long>>, kept string")
+    out = marked.mapInPandas(tidy(run), "chunk long, pos int, doc_id long, n_words long, n_removed long, removed array<struct<first:long,words:long>>, kept string")
     if rest:
         more = chunks.select("chunk", F.posexplode("rest").alias("pos", "rest"))
         out = out.join(more, ["chunk", "pos"])

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_of, named, table
+from .common import Scratch, fold_of, give_back, named, table, tidy
 from .learning import calibrated, inner_fold, isotonic
 
 MOST_LABELLED = 20_000
@@ -237,7 +237,7 @@ def training_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield f[["doc_id", "fold", "y", "terms", "text"]]
 
     rows = docs.join(labels, "doc_id").select("doc_id", inner_fold("doc_id", FOLDS).alias("fold"), "y", "text")
-    return rows.mapInPandas(run, "doc_id long, fold int, y double, terms array<string>, text string")
+    return rows.mapInPandas(tidy(run), "doc_id long, fold int, y double, terms array<string>, text string")
 
 
 def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, label: str, learn_from) -> dict:
@@ -259,7 +259,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, label: str, learn_
         for f in frames:
             yield pd.DataFrame({"fold": f["fold"], "y": f["y"], "x": [text_features(t, lex[k]) for t, k in zip(f["text"], f["fold"])]})
 
-    t = rows.select("fold", "y", "text", "doc_id").mapInPandas(local, "fold int, y double, x array<double>").collect()  # at most MOST_LABELLED rows
+    t = rows.select("fold", "y", "text", "doc_id").mapInPandas(tidy(local), "fold int, y double, x array<double>").collect()  # at most MOST_LABELLED rows
     scratch.drop(sample, rows)
     fold, yy, x = np.array([r["fold"] for r in t]), np.array([r["y"] for r in t]), np.array([r["x"] for r in t], float)
     order = np.lexsort((*x.T, yy, fold))  # the same whatever order the rows came in
@@ -291,7 +291,7 @@ def scores(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             out["score"] = s
             yield out
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(tidy(run), schema)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label="toxic", mod=4, held=2) -> DataFrame:
@@ -326,5 +326,6 @@ def score_of(model: dict):
         for t in texts:
             x = np.array([text_features(v, lex) for v in t], float).reshape(len(t), len(NAMES))
             yield pd.Series(1 - np.exp(-20 * x[:, 3]) if model["trees"] is None else calibrated(model["trees"].raw(x), model["knots"]))
+        give_back()
 
     return score
