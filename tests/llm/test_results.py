@@ -332,6 +332,21 @@ def test_embedding_settings_find_close_pairs(vectors, least):
     assert met.mean() >= least
 
 
+def test_embedding_links_are_the_same_for_any_number_of_rows(spark, monkeypatch):
+    """Pairs of cosine 0.9 and little more; a table that says it has 3,000,000 rows has the same links."""
+    from turnstile.llm import embeddings
+
+    rng = np.random.default_rng(8)
+    x, z = (embeddings.unit(rng.standard_normal((700, 64))) for _ in range(2))
+    z = embeddings.unit(z - (z * x).sum(1, keepdims=True) * x)
+    v = np.concatenate([x, 0.9001 * x + math.sqrt(1 - 0.9001**2) * z])
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    small = sorted(embeddings.linked(spark, df).collect())
+    monkeypatch.setattr(type(df), "count", lambda self: 3_000_000)
+    assert sorted(embeddings.linked(spark, df).collect()) == small
+    assert sum(r["n_links"] for r in small) >= 2 * 0.98 * 700
+
+
 def test_lattice_decoding():
     rng = np.random.default_rng(1)
     y = rng.standard_normal((200, 8)) * 2
