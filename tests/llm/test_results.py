@@ -406,6 +406,39 @@ def test_wrapper_finds_the_text_without_article_and_class_names(spark):
     assert all("Made by us" in html.extract(h, None) for h in htmls)  # without the wrapper
 
 
+def test_alignments_of_any_length_are_longest():
+    """As a plain table of lengths gives them, for short runs of siblings and for runs of more than 500."""
+
+    def plain(a, b):
+        n, m = len(a), len(b)
+        again = {x[0] for items in (a, b) for x in items if sum(y[0] == x[0] for y in items) > 1}
+        hit = lambda i, j: a[i][0] == b[j][0] and (a[i][0] not in again or html._alike(a[i], b[j]))
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if hit(i, j) else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < n and j < m:
+            if hit(i, j):
+                out, i, j = [*out, (i, j)], i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    rng = random.Random(4)
+    item = lambda name: [name, "", [[c, "", [], []] for c in rng.sample("uvwxyz", rng.randrange(4))], []]
+    for size, names, rounds in ((9, 3, 200), (40, 6, 20), (560, 30, 1)):
+        for _ in range(rounds):
+            # The ends differ, so that nothing but the table decides.
+            a, b = ([[f"{side}0", "", [], []], *(item(f"n{rng.randrange(names)}") for _ in range(rng.randrange(size - size // 9, size))), [f"{side}1", "", [], []]] for side in "ab")
+            assert html.pairs(a, b) == plain(a, b)
+    a = [[f"n{k}", "", [], []] for k in range(600)]
+    b = [*([f"m{k}", "", [], []] for k in range(80)), *a, ["end", "", [], []]]
+    assert html.pairs(a, b) == [(k, 80 + k) for k in range(600)]
+
+
 def test_deep_pages():
     deep = "<div>" * 5000
     assert html.extract(f"<nav>Menu</nav>{deep}<p>Text</p><aside>Aside <b>more</b></aside>", None) == "Text"

@@ -37,6 +37,8 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +71,7 @@ _OWN_HEADER = frozenset("article post entry content story section".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 DEPTH = 256
-EXACT = 250_000  # cells of an alignment table; longer runs of siblings are aligned greedily
+MASK_BYTES = 32 << 20  # of an alignment's masks that are held, others are made again
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -259,10 +261,18 @@ def expression(root: Node) -> list:
     return bare(outline(root)[0])
 
 
+def _inner(item: list) -> frozenset[str]:
+    """The names of what an item holds."""
+    return frozenset(_name(c) for c in item[2])
+
+
+def _half(x: frozenset[str], y: frozenset[str]) -> bool:
+    return not x or not y or 2 * len(x & y) >= len(x | y)
+
+
 def _alike(a: list, b: list) -> bool:
     """Whether what two items hold is half the same, by names."""
-    x, y = ({_name(c) for c in i[2]} for i in (a, b))
-    return not x or not y or 2 * len(x & y) >= len(x | y)
+    return _half(_inner(a), _inner(b))
 
 
 def _append(out: list, item: list) -> None:
@@ -308,8 +318,70 @@ def _name(item: list) -> str:
     return "(" + ",".join(x[0] for x in item[2]) if item[0] == "(" else item[0]
 
 
+def _meetings(a: list, b: list):
+    """For kinds of items in ``a`` and ``b`` (a name, and the names it must be alike by, or None): a function of
+    a place in ``a``; its answer has bit k set if that item equals the k-th last of ``b``."""
+    places: dict[tuple, list[int]] = {}
+    for k, kind in enumerate(reversed(b)):
+        places.setdefault(kind, []).append(k)
+    named: dict[str, list[tuple]] = {}
+    for kind in places:
+        named.setdefault(kind[0], []).append(kind)
+
+    @lru_cache(max(64, MASK_BYTES // (len(b) // 8 + 64)))
+    def mask(kind: tuple) -> int:
+        bits = bytearray(len(b) // 8 + 1)
+        for other in named.get(kind[0], ()):
+            if kind[1] is None or _half(kind[1], other[1]):
+                for k in places[other]:
+                    bits[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(bits, "little")
+
+    return lambda i: mask(a[i])
+
+
+def longest(n: int, m: int, mask) -> list[tuple[int, int]]:
+    """A longest run of pairs, in order, of places below ``n`` and ``m`` that ``mask`` (see ``_meetings``) lets meet.
+
+    A row of the table of lengths is one number: bit k is 0 where the length grows with the k-th last place.
+    About the square root of ``n`` rows are held, the others made again, so memory grows far slower than the table.
+    """
+    full, step = (1 << m) - 1, isqrt(n) + 1
+
+    def above(i: int, row: int) -> int:
+        hit = row & mask(i)
+        return (row + hit | row - hit) & full
+
+    held, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            held[i] = row
+    out, i, j = [], 0, 0
+    for first in range(0, n, step):
+        last = min(first + step, n)
+        rows = {last: held[last]}
+        for k in range(last - 1, first - 1, -1):
+            rows[k] = above(k, rows[k + 1])
+        while i < last and j < m:
+            k = m - 1 - j
+            if mask(i) >> k & 1:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+                continue
+            low = (2 << k) - 1
+            if (rows[i] & low).bit_count() == (rows[i + 1] & low).bit_count():  # as long without item i
+                i += 1
+            else:
+                j += 1
+    return out
+
+
 def pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Which items of two expressions meet, in order: equal names, and alike where a name occurs again."""
+    """Which items of two expressions meet, in order: equal names, and alike where a name occurs again.
+
+    After equal items at both ends, as many as can meet.
+    """
     na, nb = [_name(x) for x in a], [_name(x) for x in b]
     twice = {x for names in (na, nb) for x, n in Counter(names).items() if n > 1} - {"T"}
 
@@ -322,33 +394,9 @@ def pairs(a: list, b: list) -> list[tuple[int, int]]:
     while min(n, m) > lo and same(n - 1, m - 1):
         n, m = n - 1, m - 1
     out = [(i, i) for i in range(lo)]
-    if (n - lo) * (m - lo) > EXACT:
-        where: dict[str, list[int]] = {}
-        for j in range(m - 1, lo - 1, -1):
-            where.setdefault(nb[j], []).append(j)
-        after = lo
-        for i in range(lo, n):
-            own = where.get(na[i], [])
-            while own and own[-1] < after:
-                own.pop()
-            if own and own[-1] - after <= 64 and same(i, own[-1]):
-                out.append((i, own[-1]))
-                after = own[-1] + 1
-    elif n > lo and m > lo:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        hit = [[same(i, j) for j in range(lo, m)] for i in range(lo, n)]
-        for i in range(n - 1, lo - 1, -1):
-            for j in range(m - 1, lo - 1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if hit[i - lo][j - lo] else max(best[i + 1][j], best[i][j + 1])
-        i = j = lo
-        while i < n and j < m:
-            if hit[i - lo][j - lo]:
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    if n > lo and m > lo:
+        kinds = ([(name, _inner(x) if name in twice else None) for name, x in zip(*side)] for side in ((na[lo:n], a[lo:n]), (nb[lo:m], b[lo:m])))
+        out += [(lo + i, lo + j) for i, j in longest(n - lo, m - lo, _meetings(*kinds))]
     return out + [(n + k, m + k) for k in range(len(a) - n)]
 
 
