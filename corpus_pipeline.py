@@ -33,7 +33,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without the passages that documents with smaller ids hold."""
     names = docs.columns
     more = [c for c in names if c != "text"]
-    out = substring.remove_repeats(spark, docs, rest=more)
+    out = substring.remove_repeats(spark, docs, rest=more, chunk_bytes=2 << 20)  # executors are fuller here than in op5
     cols = [F.col("kept").alias(c) if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names]
     out = out.select(*cols)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -545,3 +545,25 @@ def test_pipeline(spark, texts):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "mixing", "packing"]
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r["doc_id"] for r in rows} <= set(texts)
+
+
+def test_pipeline_works_on_small_chunks(spark, monkeypatch):
+    """A task of substring dedup holds 2 MB of text at a time, and rows are those of chunks of any size."""
+    import corpus_pipeline
+    from turnstile.llm import substring
+
+    rng, sizes, pack = random.Random(2), [], substring.pack
+
+    def packed(*args, **more):
+        out = pack(*args, **more)
+        sizes.extend(sum(r["lens"]) for r in out.select("lens").collect())
+        return out
+
+    docs = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(1000))) for k in range(450)]
+    docs += [(450 + k, t[:200]) for k, t in docs[:20]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(substring, "pack", packed)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, df, SF).collect()}
+    assert sum(sizes) > 3_000_000 and max(sizes) < 2.1 * 2**20
+    assert got == {r["doc_id"]: r["kept"] for r in substring.remove_repeats(spark, df, rest=["doc_id"], chunk_bytes=1 << 30).collect()}
+    assert all(len(got[450 + k]) < 30 for k in range(20)) and all(got[k] == t for k, t in docs[:450])

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import NULL_ID, U, Chunk, answer, bucket_count, by_bucket, joined, member, pack, send, windows, with_answers
+from .chunks import CHUNK_BYTES, NULL_ID, U, Chunk, answer, bucket_count, by_bucket, joined, member, pack, send, windows, with_answers
 from .common import Scratch, named, table, tidy
 
 WINDOW = 13
@@ -156,18 +156,19 @@ def _mark(c: Chunk, anchors, smaller, window: int, block: int, buckets: int) ->
     return np.cumsum(cover)[:-1] > 0
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", window=WINDOW, block=BLOCK, rest: list[str] = ()) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, doc_id="doc_id", text="text", window=WINDOW, block=BLOCK, rest: list[str] = (), chunk_bytes=CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept[, rest]) of every document.
 
     ``removed``: the maximal covered spans as (first word, words); ``kept``: the words
     that stay, joined by one space. ``rest``: columns to carry along as one struct; then
-    ``kept`` is the text itself without the spans, white space and all.
+    ``kept`` is the text itself without the spans, white space and all. ``chunk_bytes``: text
+    that a task works on at a time, for its memory; rows don't depend on it.
     """
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block: 2 * block - 1 <= window")
     scratch = Scratch(spark, "substring")
     base = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"), *([F.struct(*[named(c).alias(c) for c in rest]).alias("rest")] if rest else []))
-    chunks = pack(scratch, base)
+    chunks = pack(scratch, base, chunk_bytes=chunk_bytes)
     total = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = bucket_count(total // 6)
     plain = chunks.select("chunk", "ids", "lens", "blob")
