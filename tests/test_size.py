@@ -1,5 +1,16 @@
 """What a task holds, and how often inputs are read, as tables grow."""
 
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from turnstile.config import Roles
+from turnstile.functions.frames import place
+from turnstile.operators import distributions as dist
+from turnstile.operators import estimators as est
+from turnstile.operators import scaling
 from turnstile.sources import inputs
 
 
@@ -16,3 +27,28 @@ def test_squads_are_dealt_by_rows(spark, sf, monkeypatch):
     plan = explained(df)
     assert f"{-(-lines // 100)}), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(l_suppkey") == 0
     assert sorted(map(tuple, df.collect())) == whole
+
+
+def passes(spark, make) -> int:
+    """How often the rows below are computed, one at a time, while ``make`` works on them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(0, 200, 1, 2).select(F.col("id").alias("id"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"), F.concat(F.lit("w"), F.col("id") % 2).alias("word"))
+    make(df.withColumn("x", counted.asNondeterministic()("x")))
+    return seen.value / 200
+
+
+def test_training_rows_are_made_once(spark):
+    m = est.Model("logistic", "y", features=("x", "word"))
+    two = est.Model("linear", "y", features=("x",))
+    assert passes(spark, m.fit) <= 1
+    assert passes(spark, est.Ordinal(m).fit) <= 1
+    assert passes(spark, est.ByValue(two, "word").fit) <= 1
+    assert passes(spark, lambda d: est.Conditional(m, "gate").fit(d.withColumn("gate", F.col("id") % 2 * 2.0))) <= 1
+    grouped = est.Model("linear", "t", features=("x",), granularity=("y",))
+    assert passes(spark, lambda d: grouped.fit(d.withColumn("t", F.col("y") * 2))) <= 1
