@@ -29,6 +29,14 @@ def test_squads_are_dealt_by_rows(spark, sf, monkeypatch):
     assert sorted(map(tuple, df.collect())) == whole
 
 
+def test_halved_steps_find_places(spark):
+    xs = [1.0, 2.0, 2.0, 5.0, 9.0]
+    df = spark.createDataFrame([(float(v),) for v in range(-1, 12)], "v double").withColumn("xs", F.lit(xs).cast("array<double>"))
+    for r in df.withColumns({"upto": place(F.col("xs"), 5, lambda c: c <= F.col("v")), "below": place(F.col("xs"), 300, lambda c: c < F.col("v"))}).collect():
+        assert (r["upto"], r["below"]) == (sum(x <= r["v"] for x in xs), sum(x < r["v"] for x in xs))
+    assert df.select(place(F.array().cast("array<double>"), 5, lambda c: c < F.col("v")).alias("n")).distinct().collect() == [(0,)]
+
+
 def passes(spark, make) -> int:
     """How often the rows below are computed, one at a time, while ``make`` works on them."""
     seen = spark.sparkContext.accumulator(0)
@@ -52,3 +60,8 @@ def test_training_rows_are_made_once(spark):
     assert passes(spark, lambda d: est.Conditional(m, "gate").fit(d.withColumn("gate", F.col("id") % 2 * 2.0))) <= 1
     grouped = est.Model("linear", "t", features=("x",), granularity=("y",))
     assert passes(spark, lambda d: grouped.fit(d.withColumn("t", F.col("y") * 2))) <= 1
+
+
+def test_scaled_steps_are_made_once(spark):
+    steps = scaling.Performance(["x"], zeros=0.5, prefix="")
+    assert passes(spark, steps.fit) <= 2  # zeros are counted first

@@ -6,12 +6,13 @@ expression, so it fuses with whatever follows.
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import clip, finite, interpolate
+from ..functions.frames import clip, finite, interpolate, kept
 from .quantiles import percentiles
 
 
@@ -290,10 +291,15 @@ class Performance:
         self.chain = [Quantile(inflated, weight=self.weight, prefix=self.prefix).fit(df)] if inflated else []
         current = df.withColumns({self.prefix + f: finite(F.col(f)) for f in plain}) if plain else df
         kinds = {"symmetric": Symmetric, "partial_standard": PartialStandard, "min_max": MinMax}
-        for n in self.names if plain else ():
-            step = kinds[n]([self.prefix + f for f in plain]).fit(current)
-            current = step.transform(current)
-            self.chain.append(step)
+        own = [self.prefix + f for f in plain]
+        with ExitStack() as held:
+            for n in self.names if plain else ():
+                # What a step is fitted on is made once: its passes would each compute the steps before it,
+                # whose expressions multiply where a filter is pushed below them.
+                current = held.enter_context(kept(current.select(own), anew=True))
+                step = kinds[n](own).fit(current)
+                current = step.transform(current)
+                self.chain.append(step)
         self.plain = plain
         return self
 
