@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import kept
 from .quantiles import percentiles
 
 
@@ -110,6 +111,33 @@ def student_cdf(x: float, df: float) -> float:
     return 1 - half if x > 0 else half
 
 
+def incomplete_betas(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """``incomplete_beta`` of many numbers, each until its fraction has converged."""
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.nan))
+    at = np.flatnonzero((x > 0) & (x < 1))
+    x = x.ravel()[at]
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(y) + q * np.log1p(-y)) / p
+    c, d = np.ones_like(y), 1.0 / np.maximum(1 - (p + q) * y / (p + 1), 1e-300)
+    value, got, left = np.empty_like(y), d.copy(), np.arange(len(y))
+    for m in range(1, 300):
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 + num * d, 1 + num / c
+            d, c = 1.0 / np.where(d == 0, 1e-300, d), np.where(c == 0, 1e-300, c)
+            got = got * c * d
+        done = np.abs(c * d - 1) < 1e-14
+        if m == 299 or not len(left):
+            done[:] = True
+        if done.any():
+            value[left[done]] = got[done]
+            on = ~done
+            p, q, y, c, d, got, left = p[on], q[on], y[on], c[on], d[on], got[on], left[on]
+    value *= front
+    out.ravel()[at] = np.where(swap, 1.0 - value, value)
+    return out
+
+
 def student_t(mean: Column, sigma: Column, df: float, low: int, high: int) -> Column:
     """Mass of a scaled Student t around each class, renormalised."""
     if df <= 2:
@@ -117,12 +145,13 @@ def student_t(mean: Column, sigma: Column, df: float, low: int, high: int) -> Co
 
     @F.pandas_udf("array<double>")
     def run(m: pd.Series, s: pd.Series) -> pd.Series:
-        edges = [k - 0.5 for k in range(low, high + 2)]
-        out = []
-        for mu, sd in zip(m, s):
-            p = np.diff([student_cdf((e - mu) / sd, df) for e in edges])
-            out.append((p / p.sum()).tolist() if p.sum() > 0 else [1.0 / len(p)] * len(p))
-        return pd.Series(out)
+        edges = np.arange(low, high + 2) - 0.5
+        with np.errstate(all="ignore"):
+            x = (edges[None, :] - m.to_numpy(float)[:, None]) / s.to_numpy(float)[:, None]
+            half = 0.5 * incomplete_betas(df / 2, 0.5, df / (df + x * x))
+            p = np.diff(np.where(x > 0, 1 - half, half), axis=1)
+            total = p.sum(1, keepdims=True)
+            return pd.Series(list(np.where(total > 0, p / total, 1.0 / p.shape[1])))
 
     return run(mean, sigma)
 
@@ -130,17 +159,18 @@ def student_t(mean: Column, sigma: Column, df: float, low: int, high: int) -> Co
 def cell_sigmas(rows: DataFrame, prediction: str, target: str, cells: int = 5, least_rows: int = 30, least: float = 1e-3) -> tuple[list[float], list[float], float]:
     """Quantile edges of the predictions, a robust residual scale for each cell, and the global one."""
     res = rows.select(F.col(prediction).alias("p"), (F.col(target) - F.col(prediction)).alias("e")).where("p IS NOT NULL AND e IS NOT NULL")
-    edges = percentiles(res, F.col("p"), [k / cells for k in range(1, cells)])[()]
-    cell = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda c: c < F.col("p")))
-    res = res.withColumn("cell", cell)
-    middle = lambda d, x, by=(): {k[0] if by else None: v[0] for k, v in percentiles(d, x, [0.5], by).items()}
-    centre = middle(res, F.col("e"), ["cell"])
-    far = F.abs(F.col("e") - F.element_at(F.create_map(*[F.lit(x) for kv in centre.items() for x in kv]), F.col("cell")))
-    mad = middle(res, far, ["cell"])
-    got = {r["cell"]: r for r in res.groupBy("cell").agg(F.stddev("e").alias("sd"), F.count("*").alias("n")).collect()}  # a row a cell
-    whole = 1.4826 * middle(res, F.abs(F.col("e") - F.lit(middle(res, F.col("e"))[None])))[None]
-    whole = max(whole or res.agg(F.stddev("e")).first()[0] or least, least)
-    return edges, [max((1.4826 * mad[k] or got[k]["sd"] or least), least) if k in got and got[k]["n"] >= least_rows else whole for k in range(cells)], whole
+    with kept(res) as res:
+        edges = percentiles(res, F.col("p"), [k / cells for k in range(1, cells)])[()]
+        cell = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda c: c < F.col("p")))
+        res = res.withColumn("cell", cell)
+        middle = lambda d, x, by=(): {k[0] if by else None: v[0] for k, v in percentiles(d, x, [0.5], by).items()}
+        centre = middle(res, F.col("e"), ["cell"])
+        far = F.abs(F.col("e") - F.element_at(F.create_map(*[F.lit(x) for kv in centre.items() for x in kv]), F.col("cell")))
+        mad = middle(res, far, ["cell"])
+        got = {r["cell"]: r for r in res.groupBy("cell").agg(F.stddev("e").alias("sd"), F.count("*").alias("n")).collect()}  # a row a cell
+        whole = 1.4826 * middle(res, F.abs(F.col("e") - F.lit(middle(res, F.col("e"))[None])))[None]
+        whole = max(whole or res.agg(F.stddev("e")).first()[0] or least, least)
+        return edges, [max((1.4826 * mad[k] or got[k]["sd"] or least), least) if k in got and got[k]["n"] >= least_rows else whole for k in range(cells)], whole
 
 
 @dataclass(frozen=True)
