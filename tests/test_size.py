@@ -65,3 +65,18 @@ def test_training_rows_are_made_once(spark):
 def test_scaled_steps_are_made_once(spark):
     steps = scaling.Performance(["x"], zeros=0.5, prefix="")
     assert passes(spark, steps.fit) <= 2  # zeros are counted first
+
+
+def test_student_t_of_many_rows(spark):
+    rows = [(k % 97 / 10 - 2, 0.1 + k % 31 / 5) for k in range(3000)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "m double, s double").coalesce(1).withColumn("p", dist.student_t(F.col("m"), F.col("s"), 4.5, 0, 6))
+    began = time.process_time()
+    got = df.collect()
+    for r in got[::97]:
+        p = [b - a for a, b in zip(*(lambda c: (c, c[1:]))([dist.student_cdf((k - 0.5 - r["m"]) / r["s"], 4.5) for k in range(8)]))]
+        assert r["p"] == pytest.approx([x / sum(p) for x in p], abs=1e-12)
+    assert got[-1]["p"] == pytest.approx([1 / 7] * 7) and time.process_time() - began < 30
+    x = np.random.default_rng(1).normal(0, 3, 300_000)
+    began = time.process_time()
+    dist.incomplete_betas(2.25, 0.5, 4.5 / (4.5 + x * x))
+    assert time.process_time() - began < 3  # one at a time they take several times as long
