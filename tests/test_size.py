@@ -62,6 +62,20 @@ def test_training_rows_are_made_once(spark):
     assert passes(spark, lambda d: grouped.fit(d.withColumn("t", F.col("y") * 2))) <= 1
 
 
+def test_folds_are_made_once(spark):
+    roles = Roles(match="id", team="id", date="d")
+    dated = lambda d: d.withColumn("d", F.timestamp_seconds(F.col("id") * 50_000))
+    m = est.Model("linear", "y", features=("x",))
+
+    def trials(d):
+        folds = est.MatchKFold(roles, n_splits=2).prepared(dated(d))
+        for _ in range(3):
+            assert folds.predictions(m).count() == 100
+        folds.release()
+
+    assert passes(spark, trials) <= 2  # numbering the matches reads them, too
+
+
 def test_scaled_steps_are_made_once(spark):
     steps = scaling.Performance(["x"], zeros=0.5, prefix="")
     assert passes(spark, steps.fit) <= 2  # zeros are counted first
